@@ -73,9 +73,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.ones(len(h1), bool)
         fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         fresh[0] = last is None or (h1[0], h2[0]) != last[0]
-        run = np.cumsum(fresh) - 1
-        heads = key[fresh]
-        first = heads[run] if fresh[0] else np.where(run < 0, last[1], heads[run])
+        heads = np.append(last[1] if last else 0, key[fresh])  # before them the head of the open run
+        first = heads[np.cumsum(fresh)]
         opening = opening or (h1[0], h2[0])
         drop = key != first
         edge = ~drop & (h1 == opening[0]) & (h2 == opening[1])
