@@ -215,7 +215,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     p = plan(sizes, **options)
     rows = common.written(offsets(sizes, p), "offsets")
     slots = slot_table(spark, p)
-    taken = pieces(rows, p.block).join(slots, ["s", "block"]).withColumn("taken", F.least("_to", "words") - F.col("_from"))
+    # the planner takes the slots for a few rows, as it can't see what a shard yields; they grow with the corpus
+    taken = pieces(rows, p.block).join(slots.hint("merge"), ["s", "block"]).withColumn("taken", F.least("_to", "words") - F.col("_from"))
     return rows, taken.filter("taken > 0").select("s", "off", "_id", "_tid", "shard", "slot", "pass", "_start", "taken")
 
 
