@@ -42,9 +42,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: lineage is cut, executors may be lost."""
+def written(df: DataFrame, name: str, deal: bool = True) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: lineage is cut, executors may be lost.
+
+    With ``deal``, for narrow rows, they are dealt anew into files of the session's
+    advisory size, where each input split would leave a tiny file of its own.
+    """
     spark = df.sparkSession
+    df = df.hint("rebalance") if deal else df
     path = f"{scratch_root(spark).rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
