@@ -5,14 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, mixing, quality, qualityrules, repeats, simhash, sketch, toxicity
+from . import bpe, linededup, mixing, pst, quality, qualityrules, repeats, simhash, sketch, toxicity
 from .common import read_table
 
-RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.digests(read_table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *qualityrules.COLUMNS, "base_failed", "kept")
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.scored(read_table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(read_table(spark, sf_dir, "documents"))
 

@@ -249,11 +249,14 @@ def _link(threshold: int, large: int):
 
 
 def linked(classes: DataFrame, threshold: int = THRESHOLD, large: int = LARGE) -> DataFrame:
-    """(u, v) links between distinct fingerprints ``fp``; enough of them to span every component."""
+    """(u, v) links between distinct fingerprints ``fp``; enough of them to span every component.
+
+    Rows of an anchor come in order, so which links it returns doesn't depend on the run.
+    """
     if threshold > THRESHOLD:
         raise ValueError(f"the replicas cover up to {THRESHOLD} bits of difference")
     sent = classes.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_link(threshold, large), "u long, v long")
+    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_link(threshold, large), "u long, v long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -273,8 +276,85 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each group: that with the least id (one row of it, if repeated)."""
-    keep = grouped(docs, id_col, text_col, shingle).filter("doc_id = component_id").select(F.col("component_id").alias("_keep")).distinct()
-    rows = docs.join(keep, docs[id_col].cast("long") == keep["_keep"], "left_semi")
-    return rows.dropDuplicates([id_col])
+#: Near-dedup of documents: words of a shingle, least similarity, and tables of word SimHashes that propose pairs.
+NEAR_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 3
+
+
+def word_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
+    """SimHashes of the text's words, one for each table's seed."""
+    words = text.lower().split()
+    out = []
+    for seed in range(tables):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * bits > len(words)).tobytes(), "big"))
+    return out
+
+
+def similarity(a: bytes, b: bytes, shingle: int = NEAR_SHINGLE) -> float:
+    """Jaccard similarity of two texts' word shingles; of fewer words, the whole sequence is one."""
+
+    def shingles(text: bytes) -> set:
+        words = text.lower().split()
+        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+    left, right = shingles(a), shingles(b)
+    return len(left & right) / len(left | right)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, least: float = SIMILARITY) -> DataFrame:
+    """(tid, label) of the texts, by XXH64, that have a near duplicate; texts of a group share their label.
+
+    Two bits of a 64-bit SimHash over five-word shingles would stand for a similarity
+    of about 0.97.  So pairs are proposed by several SimHashes over words, which move
+    less, each linked by anchors, and every proposed pair is checked on its texts: at
+    least ``least`` of all its five-word shingles are shared.  Proposals are forests of
+    the anchors and stars of equal fingerprints, so they are in proportion to the texts.
+    """
+    rows = common.id_text(docs, id_col, text_col).select(F.xxhash64("_text").alias("_tid"), "_text")
+    names = [f"f{t}" for t in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches, "_text"):
+            fps = np.array([word_fingerprints(t, tables) for t in common.blobs(batch.column("_text"))], np.uint64).reshape(-1, tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_tid"), *(pa.array(fps[:, t]) for t in range(tables))], ["tid", *names])
+
+    schema = "tid long, " + ", ".join(f"{n} long" for n in names)
+    texts = common.written(rows.mapInArrow(run, schema).groupBy("tid").agg(*[F.first(n).alias(n) for n in names]), "words")
+    proposed = None
+    for name in names:
+        classes = texts.groupBy(F.col(name).alias("fp")).agg(F.min("tid").alias("rep"))
+        own = texts.join(classes, texts[name] == classes["fp"]).select(F.col("tid").alias("a"), F.col("rep").alias("b"))
+        left, right = (classes.select(F.col("fp").alias(k), F.col("rep").alias(n)) for k, n in (("u", "a"), ("v", "b")))
+        between = linked(classes).distinct().join(left, "u").join(right, "v").select("a", "b")
+        pairs = own.unionByName(between)
+        proposed = pairs if proposed is None else proposed.unionByName(pairs)
+    proposed = proposed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    proposed = common.written(proposed, "pairs")
+    needed = proposed.select(F.explode(F.array("a", "b")).alias("_tid")).distinct()
+    needed = common.written(rows.join(needed, "_tid", "left_semi").dropDuplicates(["_tid"]), "texts")
+    both = proposed.join(needed.select(F.col("_tid").alias("a"), F.col("_text").alias("ta")), "a")
+    both = both.join(needed.select(F.col("_tid").alias("b"), F.col("_text").alias("tb")), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(common.blobs(batch.column("ta")), common.blobs(batch.column("tb")), strict=True)
+            near = pa.array([similarity(x, y) >= least for x, y in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["u", "v"])
+
+    return components(both.select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")).select(F.col("node").alias("tid"), "label")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group of equal or near-equal texts: that with the least id.
+
+    All columns stay as they are.  A null id counts as larger than any other.
+    """
+    groups = common.written(near_groups(docs, id_col, text_col, **options), "groups")
+    marked = docs.withColumn("_lakeloom_tid", F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    ids = marked.groupBy(F.col("_lakeloom_tid").alias("tid")).agg(F.min(F.col(id_col).cast("long")).alias("least"))
+    ids = ids.join(groups, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    first = ids.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "tid")).alias("first"))
+    keep = first.select(F.col("first.least").alias("_keep_id"), F.col("first.tid").alias("_keep_tid"))
+    kept = marked.join(keep, (marked["_lakeloom_tid"] == keep["_keep_tid"]) & marked[id_col].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
+    return kept.dropDuplicates(["_lakeloom_tid"]).drop("_lakeloom_tid")

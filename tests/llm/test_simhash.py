@@ -81,7 +81,22 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_one_stays(spark):
-    same = "one two three four five six seven eight nine ten " * 9
-    docs = documents(spark, [same, "quite another text about other things", same, same.upper()])
-    assert sorted(r.doc_id for r in simhash.deduplicated(docs).collect()) == [0, 3]
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(400)]
+    base = [rng.choice(words, 150).tolist() for _ in range(6)]
+    rows = [" ".join(b) for b in base]
+    rows += [" ".join(base[0][:-1] + ["other"]), rows[1], rows[1].upper(), " ".join(base[2][:70] + rng.choice(words, 80).tolist()), None, "", "a b", "a b c"]
+    docs = documents(spark, rows)
+    out = simhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    # 6 is near 0 and 7, 8 equal 1; 9 shares under half with 2; 11 is as empty as 10
+    assert sorted(r.doc_id // 3 for r in out.collect()) == [0, 1, 2, 3, 4, 5, 9, 10, 12, 13]
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
+    repeated = docs.filter("doc_id < 6").union(docs.filter("doc_id = 3")).union(docs.filter("doc_id = 3"))
+    assert sorted(r.doc_id for r in simhash.deduplicated(repeated).collect()) == [0, 3]
+
+
+def test_similarity():
+    assert simhash.similarity(b"", b" ") == 1.0 and simhash.similarity(b"a b", b"A b") == 1.0 and simhash.similarity(b"a", b"b") == 0.0
+    assert simhash.similarity(b"a b c d e f", b"a b c d e g") == 1 / 3
