@@ -1,0 +1 @@
+"""Composable DataFrame operators for lakehouse pipelines: ingest, chunking, audits, contracts, versions, logs."""
