@@ -25,7 +25,7 @@ def settings(spark: SparkSession, **values):
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast the right side only if the optimizer's bound on its size is within ``most_bytes``, else join by merge."""
-    size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return left.join(F.broadcast(right) if size <= most_bytes else right.hint("merge"), on, how)
 
 
