@@ -1 +1,228 @@
-"""..."""
+"""Sinks, versions, catalog and file sources: written, read back, compared with what went in.
+
+Each query writes to a folder of its own under ``lakeloom.scratch.dir`` (default: the session's checkpoint folder, else a temporary one).
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import catalog
+from ..plans import ingest
+from ..sources import files, sinks, synthetic
+from ..sources.versions import VersionedTable
+from . import Tables, query
+
+c, lit = F.col, F.lit
+
+
+def scratch(t: Tables) -> str:
+    conf = t.spark.sparkContext.getConf()
+    root = conf.get("lakeloom.scratch.dir") or conf.get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
+
+
+def database(t: Tables) -> str:
+    name = f"lakeloom_{uuid.uuid4().hex[:12]}"
+    t.spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch(t)}'")
+    return name
+
+
+_NATION = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
+
+
+@query(_NATION)
+def k6_parquet(t: Tables):
+    return t.spark.read.parquet(sinks.save(t.nation, scratch(t)))
+
+
+@query(_NATION)
+def k7_csv(t: Tables):
+    path = sinks.save(t.nation, scratch(t), "csv", header=True)
+    return t.spark.read.schema(t.nation.schema).option("header", True).csv(path)
+
+
+@query(_NATION)
+def k7_json(t: Tables):
+    return t.spark.read.schema(t.nation.schema).json(sinks.save(t.nation, scratch(t), "json"))
+
+
+@query("SELECT n_regionkey::BIGINT AS n_regionkey, count(*) AS n FROM nation WHERE n_regionkey = 2 GROUP BY 1")
+def k8_partitioned(t: Tables):
+    """Only the partition asked for is read."""
+    rows = t.spark.read.parquet(sinks.save(t.nation, scratch(t), by=["n_regionkey"]))
+    return rows.filter("n_regionkey = 2").groupBy("n_regionkey").agg(F.count(lit(1)).alias("n"))
+
+
+@query("SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation UNION ALL SELECT 'NEW', 1")
+def k9_insert_values(t: Tables):
+    db = database(t)
+    t.spark.sql(f"CREATE TABLE {db}.x (n_name STRING, n_regionkey INT) USING parquet")
+    t.nation.createOrReplaceTempView("nation_rows")
+    t.spark.sql(f"INSERT INTO {db}.x SELECT n_name, n_regionkey FROM nation_rows")
+    t.spark.sql(f"INSERT INTO {db}.x VALUES ('NEW', 1)")
+    return t.spark.table(f"{db}.x")
+
+
+@query("SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 'ONLY', 3")
+def k2_dynamic_overwrite(t: Tables):
+    db = database(t)
+    sinks.replace_table(t.nation.select("n_name", "n_regionkey"), f"{db}.x", by=["n_regionkey"])
+    sinks.insert(t.spark.sql("SELECT 'ONLY' AS n_name, 3 AS n_regionkey"), f"{db}.x", sinks.Write.OVERWRITE)
+    return t.spark.table(f"{db}.x")
+
+
+@query(f"{_NATION} UNION ALL {_NATION}")
+def k3_append(t: Tables):
+    db = database(t)
+    sinks.replace_table(t.nation, f"{db}.x")
+    sinks.insert(t.nation, f"{db}.x")
+    return t.spark.table(f"{db}.x")
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey >= 20 THEN 'upd' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 25, 'upd' UNION ALL SELECT 26, 'upd'")
+def k4_merge(t: Tables):
+    table = VersionedTable(t.spark, scratch(t))
+    table.overwrite(t.nation.select("n_nationkey", "n_name"))
+    table.merge(t.spark.range(20, 27).select(c("id").cast("int").alias("n_nationkey"), lit("upd").alias("n_name")), ["n_nationkey"])
+    return table.read()
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderpriority")
+def k11_bucketed_join(t: Tables):
+    """Both sides bucketed by the key: the join needs no exchange."""
+    db = database(t)
+    sinks.bucketed(t.orders.select("o_custkey", "o_orderpriority"), f"{db}.o", 8, ["o_custkey"])
+    sinks.bucketed(t.customer.select("c_custkey"), f"{db}.c", 8, ["c_custkey"])
+    joined = t.spark.table(f"{db}.o").join(t.spark.table(f"{db}.c").hint("merge"), c("o_custkey") == c("c_custkey"))
+    return joined.groupBy("o_orderpriority").agg(F.count(lit(1)).alias("n"))
+
+
+@query("SELECT 'main' AS branch, count(*) AS n FROM region UNION ALL SELECT 'staging', 2 * count(*) FROM region UNION ALL SELECT 'forwarded', 2 * count(*) FROM region")
+def d6_fast_forward(t: Tables):
+    table = VersionedTable(t.spark, scratch(t))
+    table.overwrite(t.region)
+    table.create_branch("staging")
+    table.append(t.region, "staging")
+    n = lambda df, name: df.agg(F.count(lit(1)).alias("n")).select(lit(name).alias("branch"), "n")
+    before, staged = n(table.read("main"), "main"), n(table.read("staging"), "staging")
+    table.fast_forward("main", "staging")
+    return before.unionByName(staged).unionByName(n(table.read("main"), "forwarded"))
+
+
+@query("SELECT 'main' AS name, 'BRANCH' AS type UNION ALL SELECT 'staging', 'BRANCH'")
+def s12_refs(t: Tables):
+    table = VersionedTable(t.spark, scratch(t))
+    table.overwrite(t.region)
+    table.create_branch("staging")
+    return table.refs().select("name", "type")
+
+
+@query("SELECT 'bad' AS step, 25::BIGINT AS n_main UNION ALL SELECT 'good', 50")
+def d5_write_audit_publish(t: Tables):
+    """What an audit refuses stays on the branch."""
+    from ..operators.audits import not_null
+
+    table, checks = VersionedTable(t.spark, scratch(t)), {"name": not_null("n_name")}
+    table.overwrite(t.nation)
+    table.publish(t.nation.withColumn("n_name", F.nullif("n_name", "n_name")), checks, "staging-1")
+    bad = table.read().agg(F.count(lit(1)).alias("n_main")).select(lit("bad").alias("step"), "n_main")
+    table.publish(t.nation, checks, "staging-2")
+    return bad.unionByName(table.read().agg(F.count(lit(1)).alias("n_main")).select(lit("good").alias("step"), "n_main"))
+
+
+@query("SELECT table_name, n_columns::BIGINT AS n_columns FROM (VALUES ('pv_data', 10), ('pv_site', 12), ('pv_system', 10), ('docs', 10), ('docs_metadata', 14)) v(table_name, n_columns)")
+def d10_create_all(t: Tables):
+    db = database(t)
+    catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
+    names = catalog.table_names(catalog.filled(catalog.DDL, db=db))
+    rows = [(n.split(".")[-1], len(t.spark.table(n).columns)) for n in names]
+    return t.spark.createDataFrame(rows, "table_name string, n_columns int")
+
+
+@query("SELECT 25::BIGINT AS expected, count(*) AS actual, true AS ok FROM nation")
+def d16_load_check(t: Tables):
+    return catalog.load_check(t.nation, 25)
+
+
+@query("SELECT position::BIGINT AS position, col_name, data_type FROM (VALUES (0, 'r_regionkey', 'int'), (1, 'r_name', 'string')) v(position, col_name, data_type)")
+def d15_describe(t: Tables):
+    return catalog.schema_of(t.region).select("position", "col_name", "data_type")
+
+
+@query("SELECT count(*) AS n_files FROM nation WHERE n_regionkey >= 0 AND n_nationkey < 5")
+def s1_list_files(t: Tables):
+    path = sinks.save(t.nation, scratch(t), by=["n_regionkey"])
+    return files.list_files(t.spark, path, "*.parquet").agg(F.count(lit(1)).alias("n_files"))
+
+
+@query("SELECT n_name, n_regionkey::VARCHAR AS region FROM nation")
+def s2_read_with_paths(t: Tables):
+    """Leaf files have lost their partition columns: the path gives them back."""
+    path = sinks.save(t.nation.select("n_name", "n_regionkey"), scratch(t), by=["n_regionkey"])
+    leaves = [r.path for r in files.list_files(t.spark, path, "*.parquet").collect()]
+    return files.read_files(t.spark, leaves, rules={"region": r"n_regionkey=(\d+)"}).select("n_name", "region")
+
+
+@query("SELECT count(*) AS n_lines FROM nation")
+def s5_text_lines(t: Tables):
+    path = sinks.save(t.nation.select(c("n_name").alias("value")), scratch(t), "text")
+    return t.spark.read.text(path).agg(F.count(lit(1)).alias("n_lines"))
+
+
+@query("SELECT (n_nationkey % 24)::BIGINT AS system_id, count(*) AS n, sum(n_nationkey)::DOUBLE AS total FROM nation GROUP BY 1")
+def i7_measurements(t: Tables):
+    """The whole ingest: files with paths, casts, dynamic overwrite, read back."""
+    db = database(t)
+    catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
+    rows = t.nation.select(
+        lit("2024-01-02 03:04:05").alias("measured_on"), lit("2024-01-02 03:04:05").alias("utc_measured_on"), lit("m").alias("metric_id"), c("n_nationkey").cast("string").alias("value"),
+        F.pmod("n_nationkey", lit(24)).alias("system_id"), lit(2024).alias("year"), lit(1).alias("month"), lit(2).alias("day"),
+    )
+    path = sinks.save(rows, scratch(t), by=["system_id", "year", "month", "day"])
+    leaves = [r.path for r in files.list_files(t.spark, path, "*.parquet").collect()]
+    ingest.run(t.spark, ingest.pv_data(db), leaves, "job")
+    return t.spark.table(f"{db}.pv_data").groupBy("system_id").agg(F.count(lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("SELECT 'valid' AS part, 40::BIGINT AS n UNION ALL SELECT 'quarantine', 0")
+def k10_documents_and_quarantine(t: Tables):
+    from ..operators.contracts import valid_document
+
+    made = synthetic.documents(t.spark, 40)
+    good, bad = sinks.split_valid(made, valid_document(c("content"), c("document_type")))
+    count = lambda df, n: df.agg(F.count(lit(1)).alias("n")).select(lit(n).alias("part"), "n")
+    return count(good, "valid").unionByName(count(bad, "quarantine"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.language'), 'en') AS language, coalesce(json_extract_string(props, '$.method'), 'spark') AS method, 0::BIGINT AS file_size FROM events")
+def i5_metadata_rows(t: Tables):
+    rows = t.events.select(c("event_id").cast("string").alias("document_id"), c("event_type").alias("document_type"), c("props").alias("value"), lit("x").alias("file_path"))
+    return ingest.metadata_rows(rows, "job").select(c("document_id").cast("long").alias("event_id"), "language", "method", "file_size")
+
+
+@query("SELECT doc_id::VARCHAR AS document_id, length(text) AS text_length FROM documents")
+def i4_content_rows(t: Tables):
+    rows = t.documents.select(c("doc_id").alias("document_id"), c("source").alias("document_type"), c("text").alias("value"), lit("x").alias("file_path"))
+    return ingest.content_rows(rows, "job").select("document_id", "text_length")
+
+
+@query("SELECT source AS document_type, lang AS language, count(*) AS n, max(length(text)) AS longest FROM documents WHERE doc_id >= 100 AND doc_id < 600 GROUP BY 1, 2")
+def q2_incremental_model(t: Tables):
+    """Two runs over adjoining ranges, and one of them again, leave each row once."""
+    from ..plans import models
+
+    rows = t.documents.select(c("doc_id").alias("moment"), c("source").alias("document_type"), c("lang").alias("language"), F.length("text").cast("long").alias("size"))
+    model = models.Model("sizes", lambda df: df, "moment")
+    table = VersionedTable(t.spark, scratch(t))
+    for start, end in ((100, 300), (300, 600), (300, 600)):
+        if table.exists():
+            models.run(model, table, rows, start, end)
+        else:
+            table.overwrite(rows.filter((c("moment") >= start) & (c("moment") < end)))
+    out: DataFrame = table.read()
+    return out.groupBy("document_type", "language").agg(F.count(lit(1)).alias("n"), F.max("size").alias("longest"))

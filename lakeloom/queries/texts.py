@@ -1 +1,133 @@
-"""..."""
+"""Chunkers and document kinds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import chunking as ch
+from . import Tables, query
+
+c, lit = F.col, F.lit
+_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+
+
+@query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents")
+def c1_token_counts(t: Tables):
+    return t.documents.select("doc_id", F.size(ch.tokens(c("text"))).alias("n_tokens"))
+
+
+_WINDOWS = f"""WITH k AS (SELECT doc_id, text, {_TOKENS} AS w FROM documents),
+n AS (SELECT doc_id, text, w, CASE WHEN len(w) <= 100 THEN 0 ELSE CAST(ceil((len(w) - 100) / 80.0) AS BIGINT) END AS last FROM k),
+x AS (SELECT doc_id, text, w, unnest(range(last + 1)) AS i FROM n WHERE text <> '')
+SELECT doc_id, i AS chunk_index, CASE WHEN len(w) <= 100 THEN text ELSE array_to_string(w[i * 80 + 1 : i * 80 + 100], ' ') END AS chunk_text FROM x"""
+
+
+@query(_WINDOWS)
+def c2_token_windows(t: Tables):
+    return ch.exploded(t.documents, "doc_id", ch.token_windows(c("text"))).select("doc_id", "chunk_index", "chunk_text")
+
+
+@query()
+def c3_sentence_chunks(t: Tables):
+    return ch.exploded(t.documents, "doc_id", ch.sentence_chunks(c("text")))
+
+
+@query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_text, chunk_index) AS chunk_id, len(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+')) AS token_count, 100::BIGINT AS chunk_size, 20::BIGINT AS overlap FROM ({_WINDOWS})")
+def c5_chunk_table(t: Tables):
+    from pyspark.sql import Window as W
+
+    rows = ch.exploded(t.documents, "doc_id", ch.token_windows(c("text")))
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("chunk_text", "chunk_index"))
+    return rows.select("doc_id", number.alias("chunk_id"), "token_count", lit(100).alias("chunk_size"), lit(20).alias("overlap"))
+
+
+@query(f"""SELECT count(*) AS n_chunks, min(k) AS min_tokens, max(k) AS max_tokens, sum(k)::BIGINT / count(*) AS avg_tokens, count(*) / count(DISTINCT doc_id) AS chunks_per_doc
+FROM (SELECT doc_id, len(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+')) AS k FROM ({_WINDOWS}))""")
+def c6_chunk_stats(t: Tables):
+    rows = ch.exploded(t.documents, "doc_id", ch.token_windows(c("text"))).select("doc_id", c("token_count").cast("long").alias("k"))
+    per = rows.groupBy("doc_id").agg(F.count(lit(1)).alias("n"), F.min("k").alias("mn"), F.max("k").alias("mx"), F.sum("k").alias("s"))
+    n = F.sum("n")
+    return per.agg(n.alias("n_chunks"), F.min("mn").alias("min_tokens"), F.max("mx").alias("max_tokens"), (F.sum("s") / n).alias("avg_tokens"), (n / F.count(lit(1))).alias("chunks_per_doc"))
+
+
+@query(f"SELECT token_count, count(*) AS n FROM (SELECT len(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+')) AS token_count FROM ({_WINDOWS})) GROUP BY token_count")
+def c18_size_histogram(t: Tables):
+    return ch.exploded(t.documents, "doc_id", ch.token_windows(c("text"))).groupBy("token_count").agg(F.count(lit(1)).alias("n"))
+
+
+@query()
+def c7_outline(t: Tables):
+    return t.documents.select("doc_id", F.explode(ch.outline(c("text"))).alias("s")).select("doc_id", "s.section", F.size("s.paragraphs").alias("n_paragraphs"))
+
+
+@query()
+def c8_boundaries(t: Tables):
+    return t.documents.select("doc_id", F.explode(ch.boundaries(c("text"))).alias("b")).select("doc_id", "b.pos", "b.name")
+
+
+@query()
+def c9_semantic_chunks(t: Tables):
+    rows = ch.semantic_chunks(t.documents.select("doc_id", "text"), max_tokens=200, overlap=200)
+    return rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "chunk.*")
+
+
+@query()
+def c10_paragraph_chunks(t: Tables):
+    return ch.exploded(t.documents, "doc_id", ch.paragraph_chunks(c("text"), 200, 100))
+
+
+@query("SELECT doc_id, length(text) // 4 AS estimated FROM documents")
+def c11_estimated_tokens(t: Tables):
+    return t.documents.select("doc_id", ch.estimated_tokens(c("text")).alias("estimated"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN trim(regexp_extract(right(text, 80), '([^.!?]*[.!?])\\s*$', 1)) <> ''
+THEN regexp_replace(regexp_extract(right(text, 80), '([^.!?]*[.!?])\\s*$', 1), '^\\s+|\\s+$', '', 'g') ELSE string_split(right(text, 80), chr(10))[-1] END AS overlap FROM documents""")
+def c12_overlap(t: Tables):
+    return t.documents.select("doc_id", ch.overlap_text(c("text"), 80).alias("overlap"))
+
+
+def _sql_score(kind: str) -> str:
+    weight, cues = ch.KINDS[kind]
+    return "(" + " + ".join(f"len(regexp_extract_all(text, '(?i){x}'))" for x in cues) + f") * {weight}"
+
+
+@query(f"""SELECT doc_id, CASE WHEN l >= a AND l >= b AND l >= c THEN 'legal' WHEN a >= b AND a >= c THEN 'academic' WHEN b >= c THEN 'business' ELSE 'technical' END AS document_type
+FROM (SELECT doc_id, {_sql_score('legal')} AS l, {_sql_score('academic')} AS a, {_sql_score('business')} AS b, {_sql_score('technical')} AS c FROM documents)""")
+def c13_document_kind(t: Tables):
+    return t.documents.select("doc_id", ch.kind(c("text")).alias("document_type"))
+
+
+@query()
+def c15_typed_semantic_chunks(t: Tables):
+    rows = ch.semantic_chunks(t.documents.select("doc_id", "text"), max_tokens=200, overlap=200, by_kind=True)
+    chunks = rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "chunk.*")
+    return chunks.withColumns({"max_tokens": lit(200), "chunking_method": lit("enhanced_semantic")})
+
+
+@query()
+def c16_semantic_stats(t: Tables):
+    rows = ch.semantic_chunks(t.documents.select("doc_id", "text"), max_tokens=200, overlap=200).select("doc_id", F.explode("chunks").alias("k"))
+    return rows.groupBy("k.boundary_type", "k.chunk_strategy").agg(F.count(lit(1)).alias("n"), F.min("k.estimated_tokens").alias("least"), F.max("k.estimated_tokens").alias("most"), F.avg("k.estimated_tokens").alias("mean"))
+
+
+_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_S = _STRIP.format("s")
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+') AS p FROM documents)),
+sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, {_S} AS s FROM raw WHERE length({_S}) > 10),
+walk AS (SELECT doc_id, 0::BIGINT AS i, '' AS cur, NULL::VARCHAR AS emitted, false AS last FROM (SELECT DISTINCT doc_id FROM sent)
+ UNION ALL SELECT w.doc_id, w.i + 1,
+  CASE WHEN n.s IS NULL THEN '' WHEN length(w.cur) + length(n.s) > 512 AND w.cur <> '' THEN right(w.cur, 128) || ' ' || n.s WHEN w.cur = '' THEN n.s ELSE w.cur || ' ' || n.s END,
+  CASE WHEN n.s IS NULL THEN w.cur WHEN length(w.cur) + length(n.s) > 512 AND w.cur <> '' THEN w.cur END, n.s IS NULL
+ FROM walk w LEFT JOIN sent n ON n.doc_id = w.doc_id AND n.i = w.i + 1 WHERE NOT w.last)
+SELECT doc_id::VARCHAR AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_position, {_STRIP.format('emitted')} AS chunk_text,
+length({_STRIP.format('emitted')}) AS chunk_length FROM walk WHERE emitted IS NOT NULL AND {_STRIP.format('emitted')} <> ''""")
+def c17_char_chunks(t: Tables):
+    return ch.embedding_rows(t.documents).select("document_id", "chunk_position", "chunk_text", "chunk_length")
+
+
+@query()
+def c17_embedding_rows(t: Tables):
+    return ch.embedding_rows(t.documents)
