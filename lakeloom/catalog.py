@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.joblogs import JOB_LOGS
+
 
 def statements(script: str) -> list[str]:
     """The statements of a SQL script: split at ``;`` outside of quotes and comments; ``--`` and ``/* */`` comments go."""
@@ -126,3 +128,4 @@ CREATE TABLE IF NOT EXISTS ${db}.docs_metadata (
   task_execution_id BIGINT, document_type STRING, source STRING
 ) USING parquet PARTITIONED BY (document_type, source) COMMENT 'document metadata';
 """
+DDL += f"CREATE TABLE IF NOT EXISTS ${{db}}.job_logs ({JOB_LOGS}) USING parquet COMMENT 'jobs, batches and operations';\n"

@@ -104,7 +104,7 @@ def job_log_rows(df: DataFrame, data: str = "data", source: str = "minio", creat
 
 
 #: Columns of the job-log table (fixed names and types).
-JOB_LOGS = T.StructType.fromDDL(
+JOB_LOGS = (
     "job_id string, job_level string, job_type string, operation_type string, operation_name string, app_name string, source string, source_path string,"
     " target_table string, start_time timestamp, end_time timestamp, duration_ms bigint,"
     " records_listed bigint, records_processed bigint, records_inserted bigint, records_failed bigint, records_missing bigint, records_updated bigint, records_deleted bigint,"
@@ -116,15 +116,20 @@ JOB_LOGS = T.StructType.fromDDL(
 )
 
 
-def conformed(df: DataFrame, schema: T.StructType = JOB_LOGS) -> DataFrame:
-    """All columns of a schema, in order; those missing are empty: 0 for numbers, '' for text, else null."""
+def job_logs_schema() -> T.StructType:
+    """Needs an active session, as parsing DDL does."""
+    return T.StructType.fromDDL(JOB_LOGS)
+
+
+def conformed(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """All columns of a schema (default: the job-log table), in order; those missing are empty: 0 for numbers, '' for text, else null."""
 
     def empty(t: T.DataType) -> Column:
         if isinstance(t, T.NumericType):
             return F.lit(0).cast(t)
         return F.lit("") if isinstance(t, T.StringType) else F.lit(None).cast(t)
 
-    return df.select(*[(df[f.name].cast(f.dataType) if f.name in df.columns else empty(f.dataType)).alias(f.name) for f in schema])
+    return df.select(*[(df[f.name].cast(f.dataType) if f.name in df.columns else empty(f.dataType)).alias(f.name) for f in schema or job_logs_schema()])
 
 
 def load_job_logs(spark: SparkSession, path: str, write=None) -> DataFrame:

@@ -135,7 +135,7 @@ def d5_write_audit_publish(t: Tables):
     return bad.unionByName(table.read().agg(F.count(lit(1)).alias("n_main")).select(lit("good").alias("step"), "n_main"))
 
 
-@query("SELECT table_name, n_columns::BIGINT AS n_columns FROM (VALUES ('pv_data', 10), ('pv_site', 12), ('pv_system', 10), ('docs', 10), ('docs_metadata', 14)) v(table_name, n_columns)")
+@query("SELECT table_name, n_columns::BIGINT AS n_columns FROM (VALUES ('pv_data', 10), ('pv_site', 12), ('pv_system', 10), ('docs', 10), ('docs_metadata', 14), ('job_logs', 42)) v(table_name, n_columns)")
 def d10_create_all(t: Tables):
     db = database(t)
     catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
