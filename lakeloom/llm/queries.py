@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, linededup, mixing, pst, quality, qualityrules, repeats, simhash, sketch, toxicity
 from .common import read_table
+from .oracles import ORACLES
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -57,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
