@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Pre-tokens whose ids a worker remembers, and the length up to which it does (bounds its memory).
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 class RankQueue:
@@ -176,6 +176,9 @@ def tokenizer(rank_file: str, pattern: str) -> ByteBPE:
     return ByteBPE(rank_file, pattern)
 
 
+common.remembers("bpe", tokenizer.cache_clear)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``ids`` (array of int) for each document; no special tokens."""
 
@@ -185,7 +188,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
             ids = [bpe.encode(t or "") for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return common.id_text(docs, id_col, text_col).mapInArrow(common.task("bpe", run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -198,7 +201,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     rows = encoded.select(encoded[id_col].cast("long").alias("_id"), encoded[ids_col].alias("_ids"))
-    return rows.mapInArrow(run, "doc_id long, bytes binary")
+    return rows.mapInArrow(common.task("bpe", run), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,5 +223,5 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
             )
 
     return common.id_text(docs, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        common.task("bpe", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -74,7 +74,7 @@ def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], object], li
         model = fit([r[1] for r in got], y) if len(set(y.tolist())) == 2 else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    found = rows.repartition(1).mapInArrow(common.task("classify", run), "model binary").collect()
     return pickle.loads(bytes(found[0][0])) if found else None
 
 
@@ -89,7 +89,7 @@ def scored(docs: DataFrame, score: Callable[[list[bytes]], np.ndarray], cut: flo
             )
 
     rows = common.id_text(docs, id_col, text_col).withColumn("_held", held_out(F.col("_id")))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(common.task("classify", run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,7 +74,7 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that vectors over a batch stay small."""
     for batch in batches:
         if not batch.num_rows:
@@ -86,6 +89,42 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             at += n
 
 
+#: Functions that empty an operator's memory in this process, by operator.
+_memories: dict[str, list] = {}
+
+
+def remembers(name: str, forget) -> None:
+    """Say how to empty what operator ``name`` keeps between tasks."""
+    _memories.setdefault(name, []).append(forget)
+
+
+def task(name: str, run):
+    """``run`` (an iterator of batches to another) as a task of operator ``name``.
+
+    Worker processes serve many operators.  What others remember is dropped first, and
+    memory that the task has freed goes back to the system at its end.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, forgets in _memories.items():
+            if other != name:
+                for forget in forgets:
+                    forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit integers (two multiply-xorshift rounds)."""
     x = x.astype(np.uint64, copy=True)

@@ -59,7 +59,7 @@ def line_hashes(rows: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
                 ["h1", "h2", "key", "tid", "pos"],
             )
 
-    return rows.select("_key", "_tid", "_text").mapInArrow(run, "h1 long, h2 long, key long, tid long, pos int")
+    return rows.select("_key", "_tid", "_text").mapInArrow(common.task("lines", run), "h1 long, h2 long, key long, tid long, pos int")
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +111,13 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = ["h1", "h2", "key", "pos"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     verdicts = common.written(
-        lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream, VERDICT), "lines"
+        lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(common.task("lines", _stream), VERDICT), "lines", "size"
     )
     heads = verdicts.filter("kind >= 1").groupBy("h1", "h2").agg(F.min("key").alias("head"))
     late = verdicts.filter("kind = 1").join(heads, ["h1", "h2"]).filter("key <> head")
     gone = verdicts.filter("kind = 0").select("key", "tid", "pos").unionByName(late.select("key", "tid", "pos"))
     grouped = gone.groupBy("key", "tid").agg(F.collect_set("pos").alias("positions"))
-    return grouped.mapInArrow(_bitmaps, "key long, tid long, gone binary")
+    return grouped.mapInArrow(common.task("lines", _bitmaps), "key long, tid long, gone binary")
 
 
 def kept_lines(text: bytes, gone: bytes | None) -> tuple[list[bytes], int]:
@@ -153,7 +153,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             )
 
     rows = joined(docs, drop_bitmaps(docs, id_col, text_col, min_key), id_col, text_col)
-    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.mapInArrow(common.task("lines", run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY) -> DataFrame:

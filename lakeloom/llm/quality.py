@@ -38,6 +38,7 @@ def _shape(word: bytes) -> int:
 
 
 _codes = classify.WordCodes(_shape)
+common.remembers("classify", _codes.clear)
 
 
 def features(text: bytes, seen: np.ndarray) -> np.ndarray:

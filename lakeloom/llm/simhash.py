@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in common.blobs(batch.column("_text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return common.id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return common.id_text(docs, id_col, text_col).mapInArrow(common.task("simhash", run), "doc_id long, fp long")
 
 
 class Golay:
@@ -255,8 +255,8 @@ def linked(classes: DataFrame, threshold: int = THRESHOLD, large: int = LARGE) -
     """
     if threshold > THRESHOLD:
         raise ValueError(f"the replicas cover up to {THRESHOLD} bits of difference")
-    sent = classes.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
-    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_link(threshold, large), "u long, v long")
+    sent = classes.select("fp").mapInArrow(common.task("simhash", _replicate), "anchor long, fp long, home boolean")
+    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(common.task("simhash", _link(threshold, large)), "u long, v long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -277,17 +277,17 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 #: Near-dedup of documents: words of a shingle, least similarity, and tables of word SimHashes that propose pairs.
-NEAR_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 3
+NEAR_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
 
 
 def word_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
-    """SimHashes of the text's words, one for each table's seed."""
-    words = text.lower().split()
+    """SimHashes of the text's distinct words, one for each table's seed, of the bits that the anchors look at."""
+    words = set(text.lower().split())
     out = []
     for seed in range(tables):
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * bits > len(words)).tobytes(), "big"))
+        out.append(int.from_bytes(np.packbits(2 * bits > len(words)).tobytes(), "big") & (1 << 2 * BITS) - 1)
     return out
 
 
@@ -306,10 +306,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(tid, label) of the texts, by XXH64, that have a near duplicate; texts of a group share their label.
 
     Two bits of a 64-bit SimHash over five-word shingles would stand for a similarity
-    of about 0.97.  So pairs are proposed by several SimHashes over words, which move
-    less, each linked by anchors, and every proposed pair is checked on its texts: at
-    least ``least`` of all its five-word shingles are shared.  Proposals are forests of
-    the anchors and stars of equal fingerprints, so they are in proportion to the texts.
+    of about 0.97.  So pairs are proposed by several 46-bit SimHashes over the distinct
+    words, which move less, each linked by anchors, and every proposed pair is checked
+    on its texts: at least ``least`` of all its five-word shingles are shared.
+    Proposals are forests of the anchors and stars of equal fingerprints, so they are
+    in proportion to the texts.  Of pairs at 0.8 to 0.85 the four tables propose about
+    86 in 100, at 0.85 to 0.9 92, above 99; groups are found by any of their pairs.
     """
     rows = common.id_text(docs, id_col, text_col).select(F.xxhash64("_text").alias("_tid"), "_text")
     names = [f"f{t}" for t in range(tables)]
@@ -320,7 +322,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("_tid"), *(pa.array(fps[:, t]) for t in range(tables))], ["tid", *names])
 
     schema = "tid long, " + ", ".join(f"{n} long" for n in names)
-    texts = common.written(rows.mapInArrow(run, schema).groupBy("tid").agg(*[F.first(n).alias(n) for n in names]), "words")
+    texts = common.written(rows.mapInArrow(common.task("simhash", run), schema).groupBy("tid").agg(*[F.first(n).alias(n) for n in names]), "words")
     proposed = None
     for name in names:
         classes = texts.groupBy(F.col(name).alias("fp")).agg(F.min("tid").alias("rep"))
@@ -332,7 +334,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     proposed = proposed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     proposed = common.written(proposed, "pairs")
     needed = proposed.select(F.explode(F.array("a", "b")).alias("_tid")).distinct()
-    needed = common.written(rows.join(needed, "_tid", "left_semi").dropDuplicates(["_tid"]), "texts")
+    needed = common.written(rows.join(needed, "_tid", "left_semi").dropDuplicates(["_tid"]), "texts", "size")
     both = proposed.join(needed.select(F.col("_tid").alias("a"), F.col("_text").alias("ta")), "a")
     both = both.join(needed.select(F.col("_tid").alias("b"), F.col("_text").alias("tb")), "b")
 
@@ -342,7 +344,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             near = pa.array([similarity(x, y) >= least for x, y in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["u", "v"])
 
-    return components(both.select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")).select(F.col("node").alias("tid"), "label")
+    return components(both.select("a", "b", "ta", "tb").mapInArrow(common.task("simhash", check), "u long, v long")).select(F.col("node").alias("tid"), "label")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -23,6 +23,7 @@ CUT = 0.3
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _codes = classify.WordCodes(lambda w: xxhash.xxh64_intdigest(w.strip(_EDGE), 7))
+common.remembers("classify", _codes.clear)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
