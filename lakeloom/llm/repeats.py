@@ -56,6 +56,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.multiply.accumulate(ones), np.multiply.accumulate(back), common.mix64(np.arange(1, 257, dtype=np.uint64))
 
 
+common.remembers("repeats", _powers.cache_clear)
+
+
 def _segments(texts: list[bytes]) -> Iterator[list[tuple[int, int, int, int, bytes]]]:
     """Lists of (row, window starts from, to, offset, bytes) of about BUFFER bytes; a long text is cut with margins."""
     held, size = [], 0
@@ -120,7 +123,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                     ["h", "c", "doc", "pos"],
                 )
 
-    return rows.select("_doc", "_text").mapInArrow(run, "h long, c long, doc long, pos long")
+    return rows.select("_doc", "_text").mapInArrow(common.task("repeats", run), "h long, c long, doc long, pos long")
 
 
 def repeated_offsets(groups: np.ndarray, n: np.ndarray, left: list[bytes], right: list[bytes], lo: int = 0, hi: int = REACH) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +187,12 @@ FOUND = "g long, c long, far long, near long"
 
 def resolved(contexts: DataFrame, lo: int = 0, hi: int = REACH, group: int = GROUP) -> DataFrame:
     """(g, c, far, near) of the contexts (g, c, n, l, r) with a window repeated in their group."""
-    sort = lambda rows: rows.repartition("g").sortWithinPartitions("g").mapInArrow(_sorter(lo, hi), FOUND)
+    sort = lambda rows: rows.repartition("g").sortWithinPartitions("g").mapInArrow(common.task("repeats", _sorter(lo, hi)), FOUND)
     hot = common.written(contexts.groupBy("g").count().filter(F.col("count") > group).select("g"), "hot")
     if hot.isEmpty():
         common.dropped(contexts.sparkSession, hot)
         return sort(contexts)
-    contexts = common.written(contexts, "contexts")
+    contexts = common.written(contexts, "contexts", "size")
     parts = [sort(contexts.join(hot, "g", "left_anti"))]
     wide = contexts.join(hot, "g", "left_semi")
     mid = (lo + hi) // 2
@@ -199,7 +202,7 @@ def resolved(contexts: DataFrame, lo: int = 0, hi: int = REACH, group: int = GRO
         half = half.withColumns({"nl": tail(b), "nr": F.substring("r", 1, LENGTH - a)})
         half = half.withColumn("ng", F.xxhash64("g", tail(a), F.substring("r", 1, LENGTH - b)))
         half = half.withColumn("nc", F.xxhash64("nl", F.lit("|"), "nr"))
-        half = common.written(half.select("g", "c", "n", "ng", "nc", "nl", "nr"), "half")
+        half = common.written(half.select("g", "c", "n", "ng", "nc", "nl", "nr"), "half", "size")
         regrouped = half.groupBy(F.col("ng").alias("g"), F.col("nc").alias("c")).agg(F.sum("n").alias("n"), F.min("nl").alias("l"), F.min("nr").alias("r"))
         if a == b:  # the core is the whole window
             below = regrouped.filter("n > 1").select("g", "c", F.lit(a).cast("long").alias("far"), F.lit(a).cast("long").alias("near"))
@@ -240,11 +243,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     rows = _rows(docs, id_col, text_col)
     every = anchors(rows)
     often = every.groupBy("h").count().filter("count > 1").select("h")
-    shared = common.written(every.join(often, "h", "left_semi"), "anchors")
+    shared = common.written(every.join(often, "h", "left_semi"), "anchors", "size")
     contexts = common.written(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")), "contexts")
     several = contexts.groupBy("h").count().filter("count > 1").select("h")
     wanted = contexts.join(several, "h", "left_semi").groupBy(F.col("at.doc").alias("_doc")).agg(F.collect_list(F.struct("h", "c", "n", F.col("at.pos").alias("pos"))).alias("wanted"))
-    once = rows.select("_doc", "_text").join(wanted, "_doc").mapInArrow(_cut_contexts, "g long, c long, n long, l binary, r binary")
+    # the texts are the large side of both joins: they stream past a hash table of the other, without a sort
+    once = rows.select("_doc", "_text").join(wanted.hint("shuffle_hash"), "_doc").mapInArrow(common.task("repeats", _cut_contexts), "g long, c long, n long, l binary, r binary")
     once = once.dropDuplicates(["g", "c"]) if group < GROUP else once  # rows that repeat stand for a context twice
     found = common.written(resolved(once, group=group), "repeats")
     whole = contexts.filter("n > 1").select("h", "c", F.lit(None).cast("long").alias("far"), F.lit(None).cast("long").alias("near"))
@@ -268,7 +272,7 @@ def removed(text: bytes, spans) -> np.ndarray:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFrame:
     spans = repeats(docs, id_col, text_col, group).withColumnRenamed("doc", "_doc")
-    return _rows(docs, id_col, text_col).join(spans, "_doc", "left").select("_id", "_text", "spans")
+    return _rows(docs, id_col, text_col).join(spans.hint("shuffle_hash"), "_doc", "left").select("_id", "_text", "spans")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -285,7 +289,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(kept, pa.binary()), pa.array(runs, kind)], ["doc_id", "kept", "spans"])
 
-    return _joined(docs, id_col, text_col, group).mapInArrow(run, "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
+    return _joined(docs, id_col, text_col, group).mapInArrow(common.task("repeats", run), "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -308,4 +312,4 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
             ints = [pa.array(x, pa.int64()) for x in (size, lost, runs)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *ints, pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _joined(docs, id_col, text_col, group).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(docs, id_col, text_col, group).mapInArrow(common.task("repeats", run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
