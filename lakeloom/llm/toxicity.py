@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from . import classify, common
 
 BUCKETS = 1 << 20
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.5, 1.0, 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 4.0, 0.1, 8
 CUT = 0.3
 _EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
