@@ -52,5 +52,5 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(kinds[type(f.dataType)]).alias(f.name) if type(f.dataType) in kinds else F.col(f"`{f.name}`") for f in df.schema])
 
 
-for _module in ("relational", "scalar", "texts", "quality", "storage"):
+for _module in ("relational", "scalar", "texts", "quality", "storage", "surface"):
     import_module(f"{__name__}.{_module}")
