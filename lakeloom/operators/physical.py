@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 @contextmanager
 def settings(spark: SparkSession, **values):
-    """Settings for a block (``__`` for dots), put back afterwards whatever happens."""
+    """Settings for a block (``__`` for dots), put back afterwards whatever happens.
+
+    A DataFrame is planned when it runs: run it inside, or use :func:`session_with`.
+    """
     names = {k.replace("__", "."): str(v) for k, v in values.items()}
     before = {k: spark.conf.get(k, None) for k in names}
     try:
@@ -23,6 +26,14 @@ def settings(spark: SparkSession, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def session_with(spark: SparkSession, **values) -> SparkSession:
+    """A sister session (same tables and executors) with its own settings, for DataFrames that are run later."""
+    other = spark.newSession()
+    for k, v in values.items():
+        other.conf.set(k.replace("__", "."), str(v))
+    return other
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most_bytes: int = 64 << 20) -> DataFrame:
     """Broadcast the right side only if the optimizer's bound on its size is within ``most_bytes``, else join by merge."""
     size = int(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

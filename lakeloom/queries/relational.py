@@ -376,8 +376,7 @@ def _status(df):
 
 @query(_STATUS)
 def x1_shuffle_partitions(t: Tables):
-    with physical.settings(t.spark, spark__sql__shuffle__partitions=2):
-        return _status(t.orders)
+    return _status(Tables(physical.session_with(t.spark, spark__sql__shuffle__partitions=2), t.sf_dir).orders)
 
 
 @query(_STATUS)
@@ -392,8 +391,7 @@ def x3_coalesce(t: Tables):
 
 @query(_STATUS)
 def x4_without_aqe(t: Tables):
-    with physical.settings(t.spark, spark__sql__adaptive__enabled="false"):
-        return _status(t.orders)
+    return _status(Tables(physical.session_with(t.spark, spark__sql__adaptive__enabled="false"), t.sf_dir).orders)
 
 
 @query("SELECT window_start::VARCHAR AS window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2)")

@@ -245,6 +245,22 @@ def test_settings_come_back(spark):
     assert physical.memory_report(spark).count() == 3
 
 
+def test_sister_session_plans_by_its_own_settings(spark, sf_dir):
+    from lakeloom.queries import REGISTRY
+
+    plan = lambda name: REGISTRY[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(o_orderstatus" in plan("x1_shuffle_partitions") and ", 2)" in plan("x1_shuffle_partitions")
+    assert "AdaptiveSparkPlan" not in plan("x4_without_aqe") and "AdaptiveSparkPlan" in plan("x2_repartition")
+
+
+def test_hints_and_salts_keep_the_rows(spark, sf_dir):
+    from lakeloom.queries import REGISTRY
+
+    rows = lambda name: sorted(map(tuple, REGISTRY[name][0](spark, sf_dir).collect()))
+    assert rows("j1_inner_join") == rows("j4_merge_join") == rows("j4_shuffle_hash_join") == rows("j9_salted_join")
+    assert rows("x1_shuffle_partitions") == rows("x2_repartition") == rows("x3_coalesce") == rows("x4_without_aqe")
+
+
 def test_streams(spark, tmp_path):
     for i in range(3):
         spark.range(10 * i, 10 * i + 10).selectExpr("id", "timestamp_seconds(id * 600) as ts", "id % 2 as k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
