@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import bpe, linededup, mixing, qualityrules, simhash
-from lakeloom.llm.common import read_table, written
+from lakeloom.llm.common import few_files, read_table, written
 from lakeloom.llm.queries import PATTERN, RANKS
 
 
@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's text is encoded and decoded: counts and digests."""
-    return bpe.digests(docs, RANKS, PATTERN)
+    return few_files(bpe.digests(docs, RANKS, PATTERN))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mix), ("byte_bpe", tokens)]
@@ -49,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, one after the other."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name, deal=False)
+        docs = written(stage(spark, docs, sf_dir), name, "none")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,14 +45,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str, deal: bool = True) -> DataFrame:
+def few_files(df: DataFrame) -> DataFrame:
+    """Narrow rows, at most a few a document, dealt out evenly to one task a core: no file for each split or empty partition."""
+    return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def written(df: DataFrame, name: str, deal: str = "few") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage is cut, executors may be lost.
 
-    With ``deal``, for narrow rows, they are dealt anew into files of the session's
-    advisory size, where each input split would leave a tiny file of its own.
+    ``deal``: "few" files for narrow tables of at most some rows a document; "size" for
+    larger ones, files of the session's advisory size; "none": as the partitions are.
     """
     spark = df.sparkSession
-    df = df.hint("rebalance") if deal else df
+    df = few_files(df) if deal == "few" else df.hint("rebalance") if deal == "size" else df
     path = f"{scratch_root(spark).rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -35,7 +35,7 @@ from . import common
 
 BLOCK, SLOTS, SHARE, WEIGHTS, CAP = 128, 8192, 1.5, (5, 2, 1), 2
 #: Documents of a source whose sizes one task adds up in order.
-RUN = 20_000
+RUN = 2_000
 MAX_SOURCES = 1_000_000
 
 
@@ -163,7 +163,7 @@ def _draw(p: Plan, slots: int):
 def slot_table(spark, p: Plan, slots: int = SLOTS) -> DataFrame:
     """(shard, s, slot, pass, block, words): the whole mix, one row a slot."""
     shards = -(-p.total // slots)
-    drawn = spark.range(shards).mapInArrow(_draw(p, slots), "shard long, s int, n long")
+    drawn = spark.range(shards).mapInArrow(common.task("mixing", _draw(p, slots)), "shard long, s int, n long")
     got = np.zeros(len(p.names), np.int64)
     for s, n in drawn.groupBy("s").agg(F.sum("n")).collect():
         got[s] = n
@@ -190,7 +190,7 @@ def slot_table(spark, p: Plan, slots: int = SLOTS) -> DataFrame:
 
     before = W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     based = drawn.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return based.repartition("shard").mapInArrow(run, "shard long, s int, slot long, pass long, block long, words long")
+    return based.repartition(max(1, shards // 16), "shard").mapInArrow(common.task("mixing", run), "shard long, s int, slot long, pass long, block long, words long")
 
 
 def pieces(rows: DataFrame, block: int) -> DataFrame:

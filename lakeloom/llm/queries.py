@@ -6,14 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, linededup, mixing, pst, quality, qualityrules, repeats, simhash, sketch, toxicity
-from .common import read_table
+from .common import few_files, read_table
 from .oracles import ORACLES
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(read_table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return few_files(bpe.digests(read_table(spark, sf_dir, "documents"), RANKS, PATTERN))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,36 +21,36 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.digests(read_table(spark, sf_dir, "documents"))
+    return few_files(repeats.digests(read_table(spark, sf_dir, "documents")))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return few_files(toxicity.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = qualityrules.judged(read_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", *qualityrules.COLUMNS, "base_failed", "kept")
+    return few_files(rows.select("doc_id", *qualityrules.COLUMNS, "base_failed", "kept"))
 
 
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pst.scored(read_table(spark, sf_dir, "documents"))
+    return few_files(pst.scored(read_table(spark, sf_dir, "documents")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.digests(read_table(spark, sf_dir, "documents"))
+    return few_files(linededup.digests(read_table(spark, sf_dir, "documents")))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digests(read_table(spark, sf_dir, "documents"))
+    return few_files(simhash.digests(read_table(spark, sf_dir, "documents")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return few_files(quality.judged(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(read_table(spark, sf_dir, "documents"))
+    return few_files(mixing.report(read_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict:
