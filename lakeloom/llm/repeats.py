@@ -242,7 +242,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     """
     rows = _rows(docs, id_col, text_col)
     every = anchors(rows)
-    often = every.groupBy("h").count().filter("count > 1").select("h")
+    # written, so that both sides of the join come straight from an exchange and a hot hash can be split
+    often = common.written(every.groupBy("h").count().filter("count > 1").select("h"), "often", "size")
     shared = common.written(every.join(often, "h", "left_semi"), "anchors", "size")
     contexts = common.written(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")), "contexts")
     several = contexts.groupBy("h").count().filter("count > 1").select("h")
