@@ -74,7 +74,7 @@ def classified(event: Column) -> dict[str, Column]:
     return {"job_level": F.lit("operation"), "job_type": kind, "operation_type": operation}
 
 
-def job_log_rows(df: DataFrame, data: str = "data", source: str = "minio", created_by: str = "hybrid_logger") -> DataFrame:
+def job_log_rows(df: DataFrame, data: str = "data", source: str = "minio", created_by: str = "job_logger") -> DataFrame:
     """Log payloads (map<string,string>) in the shape of the job-log table."""
     of = {f: F.try_element_at(F.col(data), F.lit(f)) for f in FIELDS}
     whole = lambda *names: F.coalesce(*[of[n].try_cast("double").cast("long") for n in names])
