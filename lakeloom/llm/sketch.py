@@ -30,8 +30,8 @@ from . import common
 
 SHINGLE, SCALE, FLOOR = 5, 16, 64
 LIMIT = (1 << 63) // SCALE
-#: Documents of a range that one window task walks in order.
-RANGE_ROWS = 5_000
+#: Documents of a range that one window walks in order, and how many ranges there are at most (their bounds are in the plan).
+RANGE_ROWS, MAX_RANGES = 2_000, 100_000
 
 
 def let(value: Column, body) -> Column:
@@ -116,7 +116,7 @@ def with_next(docs: DataFrame, extra: dict[str, Column], id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = common.id_text(docs, id_col, text_col).withColumn("_order", F.coalesce("_id", F.lit(-(2**63))))
     keys = rows.select("_order")
-    ranges = max(1, math.ceil(keys.count() / RANGE_ROWS))
+    ranges = min(MAX_RANGES, max(1, math.ceil(keys.count() / RANGE_ROWS)))
     points = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(keys.agg(F.percentile_approx("_order", points, max(10_000, 10 * ranges))).first()[0] or [])) if points else []
     firsts = dict(keys.groupBy(_range_of(F.col("_order"), bounds).alias("r")).agg(F.min("_order")).collect())
