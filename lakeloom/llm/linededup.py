@@ -133,7 +133,7 @@ def joined(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col
     """``_id``, ``_text`` and ``gone`` (null where nothing goes)."""
     rows = _keyed(docs, id_col, text_col)
     bits = bitmaps.select(bitmaps.key.alias("_key"), bitmaps.tid.alias("_tid"), "gone")
-    return rows.join(bits, ["_key", "_tid"], "left").select("_id", "_text", "gone")
+    return rows.join(bits.hint("shuffle_hash"), ["_key", "_tid"], "left").select("_id", "_text", "gone")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY) -> DataFrame:
@@ -161,10 +161,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Other columns stay as they are, but for ``n_chars``, which follows the text.
     """
+    rest = [c for c in docs.columns if c != text_col]
     inner = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        F.struct(F.lit(0).alias("none"), *[docs[c] for c in rest]).alias("_rest"),
         F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("_key"),
-        F.coalesce(docs[text_col], F.lit("")).alias("_text"),
+        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"),
     ).withColumn("_tid", F.xxhash64("_text"))
     bits = drop_bitmaps(docs, id_col, text_col, min_key)
     bits = bits.select(bits.key.alias("_key"), bits.tid.alias("_tid"), "gone")
@@ -173,7 +174,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(texts, gone):
         return texts.combine(gone, lambda t, g: t if g is None else b"\n".join(kept_lines(t.encode(), g)[0]).decode())
 
-    left = inner.join(bits, ["_key", "_tid"], "left").withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(cut("_text", "gone")))
+    left = inner.join(bits.hint("shuffle_hash"), ["_key", "_tid"], "left").withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(cut("_text", "gone")))
     left = left.filter(F.col("gone").isNull() | (F.trim("_kept") != ""))
     new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return left.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+    return left.select(*[(new[c] if c in new else F.col("_rest")[c]).alias(c) for c in docs.columns])
