@@ -50,14 +50,18 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def written(df: DataFrame, name: str, deal: str = "few") -> DataFrame:
+def written(df: DataFrame, name: str, deal: str | int = "few") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage is cut, executors may be lost.
 
     ``deal``: "few" files for narrow tables of at most some rows a document; "size" for
-    larger ones, files of the session's advisory size; "none": as the partitions are.
+    larger ones, files of the session's advisory size; "none": as the partitions are; or
+    just so many files, where the number of rows is known.
     """
     spark = df.sparkSession
-    df = few_files(df) if deal == "few" else df.hint("rebalance") if deal == "size" else df
+    if isinstance(deal, int):
+        df = df.repartition(deal)
+    else:
+        df = few_files(df) if deal == "few" else df.hint("rebalance") if deal == "size" else df
     path = f"{scratch_root(spark).rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -111,10 +115,7 @@ def task(name: str, run):
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other, forgets in _memories.items():
-            if other != name:
-                for forget in forgets:
-                    forget()
+        begin(name)
         try:
             yield from run(batches)
         finally:
@@ -123,7 +124,16 @@ def task(name: str, run):
     return wrapped
 
 
+def begin(name: str) -> None:
+    """Drop what operators other than ``name`` remember in this process."""
+    for other, forgets in _memories.items():
+        if other != name:
+            for forget in forgets:
+                forget()
+
+
 def give_back() -> None:
+    """Return freed memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call

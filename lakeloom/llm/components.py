@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Edges in one file of a round; steps never make more edges than there were.
+FILE_ROWS = 1_000_000
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -34,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = common.written(small, "edges")
+        now = common.written(small, "edges", 1 + state[0] // FILE_ROWS)
         seen = _state(now)
         common.dropped(edges.sparkSession, edges)
         edges, before, state = now, state, seen

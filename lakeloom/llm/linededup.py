@@ -172,7 +172,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("string")
     def cut(texts, gone):
-        return texts.combine(gone, lambda t, g: t if g is None else b"\n".join(kept_lines(t.encode(), g)[0]).decode())
+        common.begin("lines")
+        out = texts.combine(gone, lambda t, g: t if g is None else b"\n".join(kept_lines(t.encode(), g)[0]).decode())
+        common.give_back()
+        return out
 
     left = inner.join(bits.hint("shuffle_hash"), ["_key", "_tid"], "left").withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(cut("_text", "gone")))
     left = left.filter(F.col("gone").isNull() | (F.trim("_kept") != ""))

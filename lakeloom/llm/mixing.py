@@ -238,25 +238,30 @@ def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     joined by one line break.  Other columns are the document's, but for
     ``n_chars``, which follows the text.  A document untouched by the mix goes.
     """
-    _, taken = mixed(docs, id_col, text_col, source_col, **options)
-    # rows that repeat a document have the same text: any of them serves all that was taken of any
+    rows, taken = mixed(docs, id_col, text_col, source_col, **options)
     spans = taken.groupBy("_id", "_tid", "off", "pass").agg(F.collect_list(F.struct("_start", "taken")).alias("spans"))
+    rest = [c for c in docs.columns if c != text_col]
     inner = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        F.struct(F.lit(0).alias("none"), *[docs[c] for c in rest]).alias("_rest"),
         docs[id_col].cast("long").alias("_key"),
         docs[text_col].alias("_text"),
-        docs[source_col].alias("_src"),
-    ).withColumn("_txt", F.xxhash64(F.coalesce("_text", F.lit(""))))
-    inner = inner.dropDuplicates(["_key", "_txt"])
+        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_txt"),
+    )
+    if not rows.groupBy("_id", "_tid").count().filter("count > 1").isEmpty():
+        # rows that repeat a document have the same text: any of them serves all that was taken of any
+        inner = inner.dropDuplicates(["_key", "_txt"])
 
     @F.pandas_udf("string")
     def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: _cut(t.encode(), s).decode())
+        common.begin("mixing")
+        out = texts.combine(spans, lambda t, s: _cut(t.encode(), s).decode())
+        common.give_back()
+        return out
 
     joined = inner.join(spans, inner["_key"].eqNullSafe(spans["_id"]) & (inner["_txt"] == spans["_tid"]))
-    joined = joined.withColumn("_kept", cut("_text", "spans"))
+    joined = joined.select("_rest", cut("_text", "spans").alias("_kept"))
     new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return joined.select(*[(new[c] if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+    return joined.select(*[(new[c] if c in new else F.col("_rest")[c]).alias(c) for c in docs.columns])
 
 
 def _cut(text: bytes, spans) -> bytes:

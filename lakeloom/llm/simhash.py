@@ -358,5 +358,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = ids.join(groups, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
     first = ids.groupBy("label").agg(F.min(F.struct(F.col("least").isNull(), "least", "tid")).alias("first"))
     keep = first.select(F.col("first.least").alias("_keep_id"), F.col("first.tid").alias("_keep_tid"))
-    kept = marked.join(keep, (marked["_lakeloom_tid"] == keep["_keep_tid"]) & marked[id_col].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
-    return kept.dropDuplicates(["_lakeloom_tid"]).drop("_lakeloom_tid")
+    kept = marked.join(keep.hint("shuffle_hash"), (marked["_lakeloom_tid"] == keep["_keep_tid"]) & marked[id_col].cast("long").eqNullSafe(keep["_keep_id"]), "left_semi")
+    if not marked.groupBy("_lakeloom_tid", id_col).count().filter("count > 1").isEmpty():  # else the texts needn't be dealt out again
+        kept = kept.dropDuplicates(["_lakeloom_tid"])
+    return kept.drop("_lakeloom_tid")
