@@ -19,6 +19,7 @@ keeps its row and counts as larger than any other id in a component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -26,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -276,19 +277,48 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-dedup of documents: words of a shingle, least similarity, and tables of word SimHashes that propose pairs.
-NEAR_SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
+#: Near-dedup of documents: words of a shingle, least similarity.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Texts that the order of shingles is learned from, and shingles that it lists; neither touches the result.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
+#: Pairs for each row of texts that are apart, up to which all are checked at once.
+STAR_PAIRS = 2
 
 
-def word_fingerprints(text: bytes, tables: int = TABLES) -> list[int]:
-    """SimHashes of the text's distinct words, one for each table's seed, of the bits that the anchors look at."""
-    words = set(text.lower().split())
-    out = []
-    for seed in range(tables):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * bits > len(words)).tobytes(), "big") & (1 << 2 * BITS) - 1)
-    return out
+def shingle_hashes(words: list[int], shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Distinct hashes of the shingles of a sequence of word hashes; of fewer words, the whole sequence is one."""
+    x = np.array(words, np.uint64)
+    n = max(1, len(x) - shingle + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(shingle, len(x))):
+        out = common.mix64(out + x[i : i + n])
+    return np.unique(out)
+
+
+def _hashed(texts: list[bytes], number: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """Shingle hashes of each text; ``number`` remembers a bounded number of words."""
+    for t in texts:
+        if len(number) > 300_000:
+            number.clear()
+        words = t.lower().split()
+        for w in words:
+            if w not in number:
+                number[w] = xxhash.xxh64_intdigest(w, 7)
+        yield shingle_hashes([number[w] for w in words])
+
+
+def prefix_size(n: int, least: float) -> int:
+    """Of n shingles in one order for all texts, so many first ones meet those of every text at ``least`` or above."""
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
+def prefix(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles, those that ``keys`` (sorted) lists last, by their ``counts``."""
+    often = np.zeros(len(hashes), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        often = np.where(keys[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[: prefix_size(len(hashes), least)]]
 
 
 def similarity(a: bytes, b: bytes, shingle: int = NEAR_SHINGLE) -> float:
@@ -302,40 +332,33 @@ def similarity(a: bytes, b: bytes, shingle: int = NEAR_SHINGLE) -> float:
     return len(left & right) / len(left | right)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, least: float = SIMILARITY) -> DataFrame:
-    """(tid, label) of the texts, by XXH64, that have a near duplicate; texts of a group share their label.
+def _shingle_order(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of ORDER_TEXTS texts hold, and how many do.
 
-    Two bits of a 64-bit SimHash over five-word shingles would stand for a similarity
-    of about 0.97.  So pairs are proposed by several 46-bit SimHashes over the distinct
-    words, which move less, each linked by anchors, and every proposed pair is checked
-    on its texts: at least ``least`` of all its five-word shingles are shared.
-    Proposals are forests of the anchors and stars of equal fingerprints, so they are
-    in proportion to the texts.  Of pairs at 0.8 to 0.85 the four tables propose about
-    86 in 100, at 0.85 to 0.9 92, above 99; groups are found by any of their pairs.
+    They order the shingles of all texts, so that passages held by many texts propose no
+    pairs.  Any order finds the same pairs.
     """
-    rows = common.id_text(docs, id_col, text_col).select(F.xxhash64("_text").alias("_tid"), "_text")
-    names = [f"f{t}" for t in range(tables)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
         for batch in common.sliced(batches, "_text"):
-            fps = np.array([word_fingerprints(t, tables) for t in common.blobs(batch.column("_text"))], np.uint64).reshape(-1, tables).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("_tid"), *(pa.array(fps[:, t]) for t in range(tables))], ["tid", *names])
-
-    schema = "tid long, " + ", ".join(f"{n} long" for n in names)
-    texts = common.written(rows.mapInArrow(common.task("simhash", run), schema).groupBy("tid").agg(*[F.first(n).alias(n) for n in names]), "words")
-    proposed = None
-    for name in names:
-        classes = texts.groupBy(F.col(name).alias("fp")).agg(F.min("tid").alias("rep"))
-        own = texts.join(classes, texts[name] == classes["fp"]).select(F.col("tid").alias("a"), F.col("rep").alias("b"))
-        left, right = (classes.select(F.col("fp").alias(k), F.col("rep").alias(n)) for k, n in (("u", "a"), ("v", "b")))
-        between = linked(classes).distinct().join(left, "u").join(right, "v").select("a", "b")
-        pairs = own.unionByName(between)
-        proposed = pairs if proposed is None else proposed.unionByName(pairs)
-    proposed = proposed.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    proposed = common.written(proposed, "pairs")
-    needed = proposed.select(F.explode(F.array("a", "b")).alias("_tid")).distinct()
+            for hashes in _hashed(common.blobs(batch.column("_text")), number):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["key"])
+
+    part = math.ceil(rows.count() / ORDER_TEXTS)
+    some = rows.filter(F.pmod("_tid", F.lit(part)) == 0).dropDuplicates(["_tid"]) if part else rows
+    held = some.select("_text").mapInArrow(common.task("simhash", run), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    got = held.filter("n > 1").orderBy(F.desc("n"), "key").limit(ORDER_SHINGLES).toArrow()
+    keys, counts = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs (a, b) of which at least ``least`` of all shingles are shared, by their texts."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("_tid")).distinct()
     needed = common.written(rows.join(needed, "_tid", "left_semi").dropDuplicates(["_tid"]), "texts", "size")
-    both = proposed.join(needed.select(F.col("_tid").alias("a"), F.col("_text").alias("ta")), "a")
+    both = pairs.join(needed.select(F.col("_tid").alias("a"), F.col("_text").alias("ta")), "a")
     both = both.join(needed.select(F.col("_tid").alias("b"), F.col("_text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +367,79 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             near = pa.array([similarity(x, y) >= least for x, y in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["u", "v"])
 
-    return components(both.select("a", "b", "ta", "tb").mapInArrow(common.task("simhash", check), "u long, v long")).select(F.col("node").alias("tid"), "label")
+    out = both.select("a", "b", "ta", "tb").mapInArrow(common.task("simhash", check), "u long, v long")
+    out = common.written(out, "alike")
+    common.dropped(rows.sparkSession, needed)
+    return out
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(tid, label) of the texts, by XXH64, that have a near duplicate; texts of a group share their label.
+
+    Near duplicates share at least ``least`` of all their five-word shingles.  The search
+    is exact: with the shingles of all texts in one order, such texts share one among
+    their first 1 - ``least`` (``prefix_size``), so only texts that meet there are
+    compared.  First, each text is checked with the least text of each shingle; while
+    that leaves many pairs, those still apart with another one; at last, of texts that
+    share a shingle, all pairs that the links so far leave apart.  So a group of near
+    copies costs about a row a text, and no link is lost with one that fails.
+    """
+    rows = common.id_text(docs, id_col, text_col).select(F.xxhash64("_text").alias("_tid"), "_text")
+    keys, counts = _shingle_order(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        for batch in common.sliced(batches, "_text"):
+            sizes, firsts = [], []
+            for hashes in _hashed(common.blobs(batch.column("_text")), number):
+                sizes.append(len(hashes))
+                firsts.append(prefix(hashes, keys, counts, least))
+            each = [len(f) for f in firsts]
+            tid = np.repeat(batch.column("_tid").to_numpy(), each)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(tid), pa.array(np.repeat(sizes, each).astype(np.int32))], ["key", "tid", "n"])
+
+    held = rows.mapInArrow(common.task("simhash", run), "key long, tid long, n int")
+    of_key = Window.partitionBy("key")
+    first = F.min(F.struct("tid", "n")).over(of_key)
+    shared = held.withColumn("first", first).withColumn("last", F.max("tid").over(of_key)).filter("first.tid <> last")
+    shared = common.written(shared.select("key", "tid", "n", F.col("first.tid").alias("rep"), F.col("first.n").alias("m")), "shared", "size")
+
+    def enough(met: DataFrame) -> DataFrame:
+        """The pairs (a, b), of n and m shingles, that share as many first shingles as near duplicates do at least."""
+        met = met.filter(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-6)
+        rest = F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.ceil(F.lit(least) * F.col("m") - 1e-9)) - 1
+        need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-6
+        return met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= need - rest).select("a", "b")
+
+    pairs = enough(shared.filter("tid <> rep").select(F.col("rep").alias("a"), F.col("tid").alias("b"), "n", "m"))
+    checked = alike = None
+    last, turn = False, 0
+    while True:
+        pairs = common.written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        found = _alike(pairs, rows, least)
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        alike = found if alike is None else alike.unionByName(found)
+        if last:
+            return components(alike).select(F.col("node").alias("tid"), "label")
+        turn += 1
+        labels = common.written(components(alike).select(F.col("node").alias("tid"), "label"), "labels")
+        named = shared.select("key", "tid", "n").distinct().join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+        named = named.withColumn("least", F.min("label").over(of_key)).withColumn("most", F.max("label").over(of_key)).filter("least <> most")
+        named = common.written(named.select("key", "tid", "n", "label"), "apart", "size")
+        of = named.groupBy("key").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()
+        # another star saves pairs if there are many, and if the last one had a good part of the rows and linked a good part of its own
+        tried = pairs.count()
+        last = of[1] <= STAR_PAIRS * of[0] or 200 * tried < of[0] or 8 * found.count() < tried
+        if last:
+            met = named.join(named.select("key", F.col("tid").alias("tid2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "key").filter("tid < tid2")
+        else:
+            pivot = F.min(F.struct(F.xxhash64("tid", F.lit(turn)).alias("at"), F.col("tid").alias("tid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))).over(of_key)
+            met = named.withColumn("pivot", pivot).select("tid", "n", "label", "pivot.*")
+        down = F.col("tid") < F.col("tid2")
+        met = met.filter("label <> label2").select(
+            F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"), F.when(down, F.col("n")).otherwise(F.col("n2")).alias("n"), F.when(down, F.col("n2")).otherwise(F.col("n")).alias("m")
+        )
+        pairs = enough(met)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -100,3 +100,29 @@ def test_one_of_each_group_stays(spark):
 def test_similarity():
     assert simhash.similarity(b"", b" ") == 1.0 and simhash.similarity(b"a b", b"A b") == 1.0 and simhash.similarity(b"a", b"b") == 0.0
     assert simhash.similarity(b"a b c d e f", b"a b c d e g") == 1 / 3
+
+
+def near_by_all_pairs(texts):
+    """Indices of the texts that stay, all pairs compared; the first of each group."""
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if simhash.similarity(texts[a].encode(), texts[b].encode()) >= 0.8:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return sorted(set(group))
+
+
+def test_a_failed_pair_hides_no_other(spark):
+    """Texts of one set of words: two are near copies, and those before them in other orders are like neither."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    one = [words[i] for i in rng.permutation(60)] * 2
+    rows = [" ".join(words[i] for i in rng.permutation(60)) for _ in range(8)]
+    rows += [" ".join(one), " ".join(one[:-4] + one[-2:] + one[-4:-2])]
+    # of a common start, and so of some shared shingles, each pair of neighbours alone is near
+    base = rng.integers(0, 10**6, 120).astype(str).tolist()
+    rows += [" ".join(base[:60] + rng.integers(0, 10**6, 60).astype(str).tolist()) for _ in range(6)]
+    rows += [r.rsplit(" ", 3)[0] for r in rows[-6:]]
+    kept = sorted(r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect())
+    assert kept == near_by_all_pairs(rows) and len(kept) == 15
