@@ -126,3 +126,32 @@ def test_a_failed_pair_hides_no_other(spark):
     rows += [r.rsplit(" ", 3)[0] for r in rows[-6:]]
     kept = sorted(r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect())
     assert kept == near_by_all_pairs(rows) and len(kept) == 15
+
+
+def test_block_edits_and_appended_text_are_found(spark):
+    rng = np.random.default_rng(13)
+    vocabulary = np.array([f"v{i}" for i in range(3000)])
+    draw = lambda n: vocabulary[np.minimum(rng.zipf(1.3, n), 3000) - 1].tolist()
+    rows = []
+    for _ in range(25):
+        a = draw(300)
+        at = int(rng.integers(0, 260))
+        rows += [a, a[:at] + draw(25) + a[at + 25 :]]
+        b = draw(300)
+        rows += [b, b + draw(int(rng.integers(30, 70)))]
+    rows = [" ".join(r) for r in rows]
+    want = near_by_all_pairs(rows)
+    assert len(want) <= 55  # nearly all are near copies
+    assert sorted(r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect()) == want
+
+
+def test_first_shingles_meet_in_any_order():
+    rng = np.random.default_rng(17)
+    for _ in range(300):
+        n, m, both = (int(x) for x in rng.integers(1, 60, 3))
+        pool = rng.integers(0, 2**63, n + m + both).astype(np.uint64)
+        a, b = np.unique(pool[: n + both]), np.unique(pool[n:])
+        keys = np.unique(rng.choice(pool, 20))
+        counts = rng.integers(2, 9, len(keys))
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(simhash.prefix(a, keys, counts, 0.8), simhash.prefix(b, keys, counts, 0.8)))
