@@ -86,6 +86,13 @@ def f7_integrality(t: Tables):
     return t.lineitem.filter((F.floor(p) != p) & (c("l_orderkey") % 100 == 0)).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice FROM lineitem WHERE floor(l_extendedprice) <> l_extendedprice")
+def f7_integrality_all(t: Tables):
+    """F7 over all lines; f7_integrality judges those that its SQL picks."""
+    p = c("l_extendedprice")
+    return t.lineitem.filter(F.floor(p) != p).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("SELECT event_id, 'category_' || (user_id % 10)::VARCHAR AS category FROM events")
 def f8_bucket_label(t: Tables):
     return t.events.select("event_id", F.concat(lit("category_"), F.pmod("user_id", lit(10)).cast("string")).alias("category"))
