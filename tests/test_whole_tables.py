@@ -10,3 +10,18 @@ def test_every_line_is_judged(spark, sf_dir):
     want = sorted((k, n) for k, n, p in rows if p is not None and math.floor(p) != p)
     got = sorted((r.l_orderkey, r.l_linenumber) for r in REGISTRY["f7_integrality_all"][0](spark, sf_dir).collect())
     assert got == want and any(k % 100 for k, _ in got)
+
+
+def test_every_line_is_joined(spark, sf_dir):
+    orders: dict = {}
+    for k, at in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderdate").collect():
+        orders.setdefault(k, []).append(at)
+    want = {}
+    for k, n, s, at in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate").collect():
+        before = [o for o in orders.get(s, []) if o <= at]
+        if before:
+            want.setdefault((k, n), []).append(str(max(before)))
+    got: dict = {}
+    for r in REGISTRY["j_as_of_all"][0](spark, sf_dir).collect():
+        got.setdefault((r.l_orderkey, r.l_linenumber), []).append(r.last_before)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(k % 50 for k, _ in got)
