@@ -34,15 +34,27 @@ def utf8_bytes(text: Column) -> Column:
     return F.octet_length(F.encode(text, "utf-8"))
 
 
+def one_decimal(value: Column) -> Column:
+    """A double of at least 1 with one decimal, rounded by its exact binary value, exact halves to even."""
+    whole = F.floor(value)
+    tenths = ((value - whole) * float(1 << 52)).cast("long") * 10
+    digit, rest = F.shiftright(tenths, 52), tenths.bitwiseAND(F.lit((1 << 52) - 1))
+    half = F.lit(1 << 51)
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    total = whole * 10 + digit + up.cast("long")
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
+
 def human_duration(ms: Column) -> Column:
     """``850ms``, ``1.5s``, ``2.0min``."""
     ms = ms.cast("double")
-    return F.when(ms < 1000, F.format_string("%.0fms", ms)).when(ms < 60_000, F.format_string("%.1fs", ms / 1000)).otherwise(F.format_string("%.1fmin", ms / 60_000))
+    part = lambda by, unit: F.concat(one_decimal(ms / by), F.lit(unit))
+    return F.when(ms < 1000, F.concat(F.rint(ms).cast("long").cast("string"), F.lit("ms"))).when(ms < 60_000, part(1000, "s")).otherwise(part(60_000, "min"))
 
 
 def human_bytes(size: Column) -> Column:
     """``512B``, then KB, MB and GB in steps of 1024."""
-    part = lambda power, unit: F.format_string(f"%.1f{unit}", size.cast("double") / 1024.0**power)
+    part = lambda power, unit: F.concat(one_decimal(size.cast("double") / 1024.0**power), F.lit(unit))
     return (
         F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit("B")))
         .when(size < 1024**2, part(1, "KB"))

@@ -25,3 +25,19 @@ def test_every_line_is_joined(spark, sf_dir):
     for r in REGISTRY["j_as_of_all"][0](spark, sf_dir).collect():
         got.setdefault((r.l_orderkey, r.l_linenumber), []).append(r.last_before)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(k % 50 for k, _ in got)
+
+
+def test_halves_are_rounded_by_their_exact_value(spark):
+    from pyspark.sql import functions as F
+
+    from lakeloom.functions import text
+
+    def duration(ms):
+        return f"{ms:.0f}ms" if ms < 1000 else f"{ms / 1000:.1f}s" if ms < 60_000 else f"{ms / 60_000:.1f}min"
+
+    def size(n):
+        return f"{n}B" if n < 1024 else f"{n / 1024:.1f}KB" if n < 1024**2 else f"{n / 1024**2:.1f}MB" if n < 1024**3 else f"{n / 1024**3:.1f}GB"
+
+    values = [*range(0, 200_000, 50), 1280, 1792, 2304, 1024**2 * 5 // 4, 1024**3 * 7 // 4, 10**12 + 7, 59_999, 1024**2 - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", text.human_duration(F.col("v")).alias("took"), text.human_bytes(F.col("v")).alias("size")).collect()
+    assert [(r.took, r.size) for r in rows] == [(duration(r.v), size(r.v)) for r in rows]
