@@ -41,3 +41,9 @@ def test_halves_are_rounded_by_their_exact_value(spark):
     values = [*range(0, 200_000, 50), 1280, 1792, 2304, 1024**2 * 5 // 4, 1024**3 * 7 // 4, 10**12 + 7, 59_999, 1024**2 - 1]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", text.human_duration(F.col("v")).alias("took"), text.human_bytes(F.col("v")).alias("size")).collect()
     assert [(r.took, r.size) for r in rows] == [(duration(r.v), size(r.v)) for r in rows]
+
+
+def test_every_document_is_in_the_model(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = REGISTRY["q2_incremental_model_all"][0](spark, sf_dir).collect()
+    assert sum(r.n for r in got) == docs.filter("doc_id IS NOT NULL").count()
