@@ -2,13 +2,15 @@
 
 Each pre-token is merged on its own.  Its nodes form a doubly linked list; the
 queue holds, for each merge rank, a bucket (heap) of left-node positions, and a
-three-level bitmap over the ranks tells by find-first-set which bucket is next.
+two-level bitmap over the ranks tells by find-first-set which bucket is next.
 An entry is stale, and skipped, when its node has gone or its pair has another
 rank by now.  A merge costs a constant number of word operations, however long
 the pre-token, where a scan for the lowest rank would make it quadratic.
 
-Cases: null and empty texts give no tokens and the digest of nothing; equal
-rows give equal rows; an empty table an empty table; other columns are ignored.
+Cases: null and empty texts give no tokens and the digest of nothing; a very long
+text is worked through in runs of ``RUN`` pre-tokens, digests running on; equal rows
+give equal rows; an empty table an empty table; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -26,16 +28,18 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Pre-tokens whose ids a worker remembers, and the length up to which it does (bounds its memory).
+#: Pre-tokens whose ids a worker remembers in each of two generations, and their greatest length (bounds its memory).
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Texts of more characters are split as they are read, so many pre-tokens at once.
+LONG, RUN = 1 << 20, 100_000
 
 
 class RankQueue:
     """Buckets of positions by rank; the lowest rank first, then the lowest position.
 
-    The bitmap has words of 2**SHIFT bits: ``low`` has a bit for each rank with a
-    bucket, ``high`` a bit for each word of ``low`` that isn't zero, ``top`` one
-    for each word of ``high``.  A bucket of one is the bare position, else a heap.
+    ``low`` has a bit for each rank with a bucket, in words of 2**SHIFT bits, and
+    ``top`` one for each word of ``low`` that isn't zero.  A bucket of one is the bare
+    position, else a heap.
     """
 
     SHIFT = 8
@@ -43,38 +47,27 @@ class RankQueue:
     def __init__(self, ranks: int):
         self.buckets: dict[int, int | list[int]] = {}
         self.low = [0] * ((ranks >> self.SHIFT) + 1)
-        self.high = [0] * ((len(self.low) >> self.SHIFT) + 1)
         self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        buckets = self.buckets
-        if rank in buckets:
-            bucket = buckets[rank]
-            if type(bucket) is int:
-                buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
-            else:
-                heappush(bucket, position)
-            return
-        buckets[rank] = position
-        w = rank >> 8
-        word = self.low[w]
-        self.low[w] = word | 1 << (rank & 255)
-        if not word:
-            word = self.high[w >> 8]
-            self.high[w >> 8] = word | 1 << (w & 255)
-            if not word:
-                self.top |= 1 << (w >> 8)
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.buckets[rank] = position
+            w = rank >> 8
+            self.low[w] |= 1 << (rank & 255)
+            self.top |= 1 << w
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
+            heappush(bucket, position)
 
     def pop(self) -> tuple[int, int] | None:
         top = self.top
         if not top:
             return None
-        v = (top & -top).bit_length() - 1
-        high = self.high[v]
-        w = v << 8 | (high & -high).bit_length() - 1
+        w = (top & -top).bit_length() - 1
         low = self.low[w]
-        bit = low & -low
-        rank = w << 8 | bit.bit_length() - 1
+        rank = w << 8 | (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
         if type(bucket) is not int:
             position = heappop(bucket)
@@ -82,11 +75,9 @@ class RankQueue:
                 return rank, position
             bucket = position
         del self.buckets[rank]
-        self.low[w] = low = low ^ bit
+        self.low[w] = low = low & (low - 1)
         if not low:
-            self.high[v] = high = high & (high - 1)
-            if not high:
-                self.top = top & (top - 1)
+            self.top = top & (top - 1)
         return rank, bucket
 
 
@@ -97,10 +88,10 @@ class ByteBPE:
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {b: a for a, b in self.ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.bytes_of, default=0) + 1)
+        self.ids = _Memory(lambda token: tuple(self.merge(token.encode())))
         self.decimals = {i: str(i) for i in self.bytes_of}
-        self.cache = _Memory(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -144,8 +135,20 @@ class ByteBPE:
             i = after[i]
         return out
 
+    def tokens(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, in runs."""
+        if len(text) <= LONG:
+            yield self.pattern.findall(text)
+            return
+        found = (m.group() for m in self.pattern.finditer(text))
+        while run := list(islice(found, RUN)):
+            yield run
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.cache.__getitem__, self.split(text))))
+        out: list[int] = []
+        for run in self.tokens(text):
+            out.extend(chain.from_iterable(map(self.ids.__getitem__, run)))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -153,21 +156,37 @@ class ByteBPE:
     def decimal(self, ids: list[int]) -> str:
         return ",".join(map(self.decimals.__getitem__, ids))
 
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of their decimals, and of the bytes that they decode to."""
+        n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+        for run in self.tokens(text):
+            ids = list(chain.from_iterable(map(self.ids.__getitem__, run)))
+            of_ids.update((("," if n and ids else "") + self.decimal(ids)).encode())
+            of_bytes.update(self.decode(ids))
+            n += len(ids)
+        return n, of_ids.hexdigest(), of_bytes.hexdigest()
+
 
 class _Memory(dict):
-    """The ids of pre-tokens met before; emptied when full, so its size is bounded."""
+    """What ``make`` gave for strings met lately: those of this generation, and in ``old`` those of the one before.
+
+    A full generation becomes the old one, so the size is bounded and frequent strings stay.
+    """
 
-    def __init__(self, bpe: ByteBPE):
+    def __init__(self, make):
         super().__init__()
-        self.bpe = bpe
+        self.make, self.old = make, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.bpe.merge(piece.encode()))
-        if len(piece) <= CACHE_CHARS:
+    def __missing__(self, key: str):
+        made = self.old.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[key] = made
+        return made
 
 
 @lru_cache(maxsize=2)
@@ -209,18 +228,10 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(rank_file, pattern)
-        sha = hashlib.sha256
         for batch in common.sliced(batches, "_text"):
-            n, ids_sha, text_sha = [], [], []
-            for text in batch.column("_text").to_pylist():
-                ids = bpe.encode(text or "")
-                n.append(len(ids))
-                ids_sha.append(sha(bpe.decimal(ids).encode()).hexdigest())
-                text_sha.append(sha(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            made = [bpe.digest(t or "") for t in batch.column("_text").to_pylist()]
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(
         common.task("bpe", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

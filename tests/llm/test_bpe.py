@@ -29,6 +29,25 @@ def test_very_long_pretokens():
     assert bpe.tokenizer(RANKS, P.PATTERN).encode(text) == encoding().encode_ordinary(text)
 
 
+def test_text_of_many_megabytes():
+    """Worked through in runs: the same ids, and digests, as of the whole."""
+    own, line = bpe.tokenizer(RANKS, P.PATTERN), "Some prose, and näïve 日本語 numbers 1234!\n  "
+    text = line * (12_000_000 // len(line))
+    ids = own.encode(text)
+    part = encoding().encode_ordinary(line * 3)
+    assert ids[: len(part) - 1] == part[:-1] and len(list(own.tokens(text))) > 10
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert own.digest(text) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(text.encode()))
+
+
+def test_memory_is_bounded():
+    made = []
+    memory = bpe._Memory(lambda k: made.append(k) or k.upper())
+    for k in range(3 * bpe.CACHE_ENTRIES):
+        assert memory[str(k)] == str(k) and len(memory) <= bpe.CACHE_ENTRIES and len(memory.old) <= bpe.CACHE_ENTRIES
+    assert memory["x" * 100] == "X" * 100 and "x" * 100 not in memory
+
+
 def test_queue_order():
     queue = bpe.RankQueue(70_000)
     for entry in [(69_999, 1), (3, 9), (3, 2), (3, 5), (255, 0), (256, 0)]:
