@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java/SQL regular expression of one word; white space is these six ASCII characters only.
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -98,6 +99,36 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             at += n
 
 
+def apart(docs: DataFrame, text_col: str) -> list[Column]:
+    """``_rest``, a struct of all columns but the text, so that no name clashes, and ``_text`` as it is."""
+    rest = [docs[c].alias(c) for c in docs.columns if c != text_col]
+    return [F.struct(F.lit(0).alias("none"), *rest).alias("_rest"), docs[text_col].cast("string").alias("_text")]
+
+
+def retexted(rows: DataFrame, docs: DataFrame, text_col: str, name: str, change, extra: str | None = None, recount: bool = True) -> DataFrame:
+    """The columns of ``docs`` from ``rows`` (``_rest``, ``_text`` and ``extra``), with ``change``d texts.
+
+    ``change`` gets some texts (bytes, null as empty) and what ``extra`` has for them, and
+    returns as many texts; rows with None go.  Texts are worked on in slices of bounded size.
+    ``n_chars`` follows the text if ``recount`` says so.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "_text"):
+            more = batch.column(extra).to_pylist() if extra else [None] * batch.num_rows
+            made = pa.array(change(blobs(batch.column("_text")), more), pa.binary())
+            kept = made.is_valid()
+            yield pa.RecordBatch.from_arrays([batch.column("_rest").filter(kept), made.filter(kept).cast(pa.string())], ["_rest", "_kept"])
+
+    rows = rows.select("_rest", "_text", *([extra] if extra else []))
+    schema = T.StructType([rows.schema["_rest"], T.StructField("_kept", T.StringType())])
+    out = rows.mapInArrow(task(name, run), schema)
+    new = {text_col: F.col("_kept").cast(docs.schema[text_col].dataType)}
+    if recount:
+        new["n_chars"] = F.length("_kept").cast("long")
+    return out.select(*[(new[c] if c in new else F.col("_rest")[c]).alias(c) for c in docs.columns])
+
+
 #: Functions that empty an operator's memory in this process, by operator.
 _memories: dict[str, list] = {}
 

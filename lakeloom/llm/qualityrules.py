@@ -8,13 +8,16 @@ Guards: the classes count from ``MIN_CHARS`` code points on, the common words fr
 short text from its own language is noisy, so the limit widens with one over the
 square root of the length.
 
-References are sums over all documents that pass the base rules, by ``lang``.  A
-common word is one that makes up at least ``COMMON`` of a language's words, which
-bounds their number by 1 / COMMON a language.
-
-Cases: null and empty texts have no words and fail the base rules; repeated rows
-get equal verdicts; an empty table gives an empty table; with no reference at all
-(no document passes the base rules) the comparison passes.
+References are sums over all documents that pass the base rules, by ``lang``.  The
+``LANGUAGES`` with most words have one each, all others share one.  A common word is one
+that makes up at least ``COMMON`` of a reference's words, which bounds their number by
+1 / COMMON a reference; words of any length are counted.
+
+Cases: null and empty texts have no words and fail the base rules; null languages are
+one, of their own; repeated rows get equal verdicts; ties (a distance at its limit)
+pass; a very long text is counted like any other, its histogram in parts; an empty
+table gives an empty table; with no reference at all (no document passes the base
+rules) the comparison passes; other columns, whatever their names, only pass by.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ MIN_CHARS, MIN_WORDS = 100, 20
 #: Largest distances that pass, and what is added to them over the root of the length: classes, common words.
 NEAR_CLASSES, NEAR_WORDS = (0.22, 1.0), (0.45, 0.6)
 COMMON = 0.002
-#: Common words are looked for among words of up to so many bytes.
-SHORT = 8
+#: Languages with a reference of their own at most, and the name of the one that all others share.
+LANGUAGES, OTHERS = 1_000, "\0others"
+#: Bytes of a text whose classes are counted at once; words that a worker counts before it reports them.
+PART, HELD_WORDS = 1 << 20, 100_000
 
 CLASSES = 8
 
@@ -72,11 +77,13 @@ class Batch:
         split = [t.split() for t in texts]
         self.words = split
         self.n_words = np.fromiter(map(len, split), np.int64, n)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        owner = np.repeat(np.arange(n), np.fromiter(map(len, texts), np.int64, n))
-        self.classes = np.bincount(owner * CLASSES + _CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES)[:, : CLASSES - 1]
+        bytes_ = np.zeros((n, 256), np.int64)
+        for i, t in enumerate(texts):
+            for at in range(0, len(t), PART):
+                bytes_[i] += np.bincount(np.frombuffer(t, np.uint8, min(PART, len(t) - at), at), minlength=256)
+        self.classes = np.stack([bytes_[:, _CLASS == k].sum(axis=1) for k in range(CLASSES - 1)], axis=1)  # without continuation bytes
         self.word_chars = self.classes.sum(axis=1) - self.classes[:, 3]
-        self.n_symbols = np.bincount(owner[_SYMBOL[data]], minlength=n)
+        self.n_symbols = bytes_[:, _SYMBOL].sum(axis=1)
         self.n_dup_lines = np.fromiter(map(_dup_lines, texts), np.int64, n)
         self.n_repeat_words = self._repeats()
         self.base_failed = (self.n_words < MIN_WORDS_BASE) | (100 * self.n_repeat_words > MAX_REPEAT_PERCENT * self.n_words)
@@ -156,50 +163,52 @@ class References:
         return by_class, by_words, near & ((by_words <= _limit(NEAR_WORDS, words)) | (words < MIN_WORDS))
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
-    """Reference histograms from all documents that pass the base rules."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "what", "item", "n"]
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n): a word's occurrences, lower-cased, in documents that pass the base rules; classes and the number of words under ``what``."""
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.int64()]
 
-        def out(words):
-            rows = [(k, "word", w, n) for k, c in words.items() for w, n in c.items()]
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
+    def out(lang: str, what: str, items: list[bytes], n: list[int]) -> pa.RecordBatch:
+        columns = [[lang] * len(items), [what] * len(items), items, n]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "what", "item", "n"])
 
-        words: dict[str, Counter] = defaultdict(Counter)
-        classes: dict[str, np.ndarray] = {}
-        for batch in common.sliced(batches, "_text"):
-            made = Batch(common.blobs(batch.column("_text")))
-            for i, lang in enumerate(batch.column("_lang").to_pylist()):
-                if made.base_failed[i]:
-                    continue
+    words: dict[str, Counter] = defaultdict(Counter)
+    classes: dict[str, np.ndarray] = {}
+    for batch in common.sliced(batches, "_text"):
+        made = Batch(common.blobs(batch.column("_text")))
+        for i, lang in enumerate(batch.column("_lang").to_pylist()):
+            if not made.base_failed[i]:
                 classes[lang] = classes.get(lang, 0) + np.append(made.classes[i], made.n_words[i])
-                words[lang].update([w for w in b" ".join(made.words[i]).lower().split() if len(w) <= SHORT])
-            if sum(map(len, words.values())) > 200_000:
-                yield out(words)
-                words.clear()
-        yield out(words)
-        rows = [(k, "class", str(i).encode(), int(n)) for k, v in classes.items() for i, n in enumerate(v)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.binary(), pa.int64()], strict=True)], names)
+                words[lang].update(b" ".join(made.words[i]).lower().split())
+        del made
+        if sum(map(len, words.values())) + CLASSES * len(classes) > HELD_WORDS:
+            yield from (out(k, "word", list(c), list(c.values())) for k, c in words.items())
+            yield from (out(k, "class", [b"%d" % i for i in range(CLASSES)], v.tolist()) for k, v in classes.items())
+            words.clear()
+            classes.clear()
+    yield from (out(k, "word", list(c), list(c.values())) for k, c in words.items())
+    yield from (out(k, "class", [b"%d" % i for i in range(CLASSES)], v.tolist()) for k, v in classes.items())
+
 
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
+    """Reference histograms from all documents that pass the base rules."""
     rows = docs.select(
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), F.coalesce(docs[lang_col].cast("string"), F.lit("")).alias("_lang")
     )
-    counted = rows.mapInArrow(common.task("rules", run), "lang string, what string, item binary, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
-    counted = common.written(counted, "histograms")
+    counted = rows.mapInArrow(common.task("rules", _histograms), "lang string, what string, item binary, n long").groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
+    counted = stored = common.written(counted, "histograms")
+    sizes = counted.filter((F.col("what") == "class") & (F.col("item").cast("string") == str(CLASSES - 1)))
+    large = F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang"))
+    small = counted.join(large, "lang", "left_anti").withColumn("lang", F.lit(OTHERS)).groupBy("lang", "what", "item").agg(F.sum("n").alias("n"))
+    counted = counted.join(large, "lang", "left_semi").unionByName(small)
     classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(CLASSES))
-    for r in counted.filter("what = 'class'").collect():
+    for r in counted.filter("what = 'class'").collect():  # so many rows a reference
         classes[r.lang][int(bytes(r["item"]))] = r.n
     totals = {k: int(v[-1]) for k, v in classes.items()}
-    frequent = F.lit(False)
-    for k, n in totals.items():
-        frequent |= (F.col("lang") == k) & (F.col("n") >= COMMON * n)
+    of = docs.sparkSession.createDataFrame([(k, COMMON * n) for k, n in totals.items()], "lang string, least double")
     words: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for r in counted.filter("what = 'word'").filter(frequent).collect():
+    for r in counted.filter("what = 'word'").join(F.broadcast(of), "lang").filter("n >= least").collect():  # at most 1 / COMMON a reference
         words[r.lang][bytes(r["item"])] = r.n
-    common.dropped(docs.sparkSession, counted)
+    common.dropped(docs.sparkSession, stored)
     return References({k: v[:-1] for k, v in classes.items()}, words, totals)
 
 
@@ -226,23 +235,8 @@ def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     """The rows of ``docs`` that the rules keep, all columns as they are; no shuffle, the text is judged in place."""
     known = references(docs, text_col, lang_col)
 
-    @F.pandas_udf("boolean")
-    def keep(texts):
-        import pandas as pd
-
-        common.begin("rules")
-        out: list[bool] = []
-        held, size = [], 0
-        for t in texts:
-            held.append(t.encode())
-            size += len(held[-1])
-            if size > 2 << 20:
-                made, held, size = Batch(held), [], 0
-                out.extend(known.nearest(made)[2] & ~made.base_failed)
-        made = Batch(held)
-        out.extend(known.nearest(made)[2] & ~made.base_failed)
-        del made, held
-        common.give_back()
-        return pd.Series(out, dtype=bool)
-
-    return docs.filter(keep(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    def judge(texts: list[bytes], _) -> list[bytes | None]:
+        made = Batch(texts)
+        return [t if ok else None for t, ok in zip(texts, known.nearest(made)[2] & ~made.base_failed, strict=True)]
+
+    return common.retexted(docs.select(*common.apart(docs, text_col)), docs, text_col, "rules", judge, recount=False)
