@@ -78,13 +78,39 @@ def lineage(df: DataFrame) -> DataFrame:
     return df.withColumns({"spark_partition_id": F.spark_partition_id(), "task_execution_id": F.monotonically_increasing_id()})
 
 
+#: Rows that bounds of ranges are taken from, for each range.
+SAMPLE = 64
+
+
+def range_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
+    """Bounds that cut ``df`` into about equal ranges of ``order``, from a bounded sample by hash: a scalar subquery, so one value a query."""
+    key = F.struct(*order).alias("k")
+    drawn = df.select(key).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * ranges).agg(F.sort_array(F.collect_list("k")).alias("s"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get(F.col("s"), F.floor(i * F.size("s") / ranges).cast("int")))
+    return drawn.select(F.when(F.size("s") > 0, at).alias("bounds")).scalar()
+
+
+def range_of(key: Column, bounds: Column, ranges: int) -> Column:
+    """How many bounds are at or below the key, by halving."""
+
+    def halve(s: Column, _) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(bounds, mid) <= key)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(ranges - 1).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ranges.bit_length())), start, halve)["lo"]
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
-    """A global row number without a single task: range-partitioned, numbered in each range, shifted by the ranges before.
+    """A global row number without a single task: cut into ranges, numbered in each range, shifted by the ranges before.
 
-    One count a partition is summed up; ``order`` should be total.
+    Rows and counts see the same bounds, whatever columns are read of the result.
+    One count a range is summed up; ``order`` should be total.  Nulls come first.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.withColumn("__bounds", range_bounds(df, order, ranges))  # subqueries can't stand inside of lambdas
+    placed = placed.withColumn("__part", range_of(F.struct(*order), F.col("__bounds"), ranges)).drop("__bounds")
     counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -275,3 +275,19 @@ def test_streams(spark, tmp_path):
     query = micro.windowed_counts(stream(), "ts", "k").writeStream.outputMode("complete").format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == 30
+
+
+def test_row_numbers_are_one_to_n_whatever_is_read(spark):
+    """Over a million rows, with a column that counting doesn't need: as one plain window numbers them."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators.aggregates import numbered
+
+    n = 1_200_000
+    rows = spark.range(n, numPartitions=7).select(F.when(F.col("id") % 1000 == 0, None).otherwise(F.xxhash64("id") % 1000).alias("a"), F.col("id").alias("b"), F.sha2(F.col("id").cast("string"), 256).alias("extra"))
+    got = numbered(rows, ["a", "b"])
+    assert got.select("row_number", "extra").agg(F.count_distinct("row_number"), F.min("row_number"), F.max("row_number")).first()[:] == (n, 1, n)
+    plain = rows.select("b", F.row_number().over(Window.orderBy("a", "b")).alias("want"))
+    assert got.select("b", "row_number").join(plain, "b").filter("row_number <> want").count() == 0
+    assert numbered(rows.limit(0), ["a", "b"]).count() == 0 and [r.row_number for r in numbered(rows.limit(1), ["b"]).collect()] == [1]

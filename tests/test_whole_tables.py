@@ -8,7 +8,7 @@ from lakeloom.queries import REGISTRY
 def test_every_line_is_judged(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice").collect()
     want = sorted((k, n) for k, n, p in rows if p is not None and math.floor(p) != p)
-    got = sorted((r.l_orderkey, r.l_linenumber) for r in REGISTRY["f7_integrality_all"][0](spark, sf_dir).collect())
+    got = sorted((r.l_orderkey, r.l_linenumber) for r in REGISTRY["f7_integrality"][0](spark, sf_dir).collect())
     assert got == want and any(k % 100 for k, _ in got)
 
 
@@ -22,7 +22,7 @@ def test_every_line_is_joined(spark, sf_dir):
         if before:
             want.setdefault((k, n), []).append(str(max(before)))
     got: dict = {}
-    for r in REGISTRY["j_as_of_all"][0](spark, sf_dir).collect():
+    for r in REGISTRY["j_as_of"][0](spark, sf_dir).collect():
         got.setdefault((r.l_orderkey, r.l_linenumber), []).append(r.last_before)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(k % 50 for k, _ in got)
 
@@ -45,5 +45,5 @@ def test_halves_are_rounded_by_their_exact_value(spark):
 
 def test_every_document_is_in_the_model(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = REGISTRY["q2_incremental_model_all"][0](spark, sf_dir).collect()
+    got = REGISTRY["q2_incremental_model"][0](spark, sf_dir).collect()
     assert sum(r.n for r in got) == docs.filter("doc_id IS NOT NULL").count()
