@@ -20,9 +20,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: All characters of Unicode's White_Space property (fixed values).
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without any white space at the ends, Unicode included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def tokens(text: Column) -> Column:
@@ -54,42 +58,47 @@ def sentences(text: Column) -> Column:
 
 
 def sentence_chunks(text: Column, size: int = 100, overlap: int = 20) -> Column:
-    """Whole sentences packed up to ``size`` tokens; a chunk begins with the last sentences of the one before that fit ``overlap``."""
+    """Whole sentences packed up to ``size`` tokens; a chunk begins with the last sentences of the one before that fit ``overlap``.
+
+    The fold goes over numbers only: the sentences' tokens; a chunk is where it begins
+    and ends.  Sentences are joined once, at the end.
+    """
     none = F.array().cast(STRINGS)
     if size <= 0:
         return F.when(text.isNull() | (text == ""), none).otherwise(F.array(text))
-    item = "struct<s:string,n:int>"
-    start = F.struct(none.alias("out"), F.array().cast(f"array<{item}>").alias("open"), F.lit(0).alias("n"))
+    ends = F.array().cast("array<struct<a:int,b:int>>")
 
-    def carried(opened: Column) -> Column:
-        """The longest suffix of whole sentences within ``overlap`` tokens."""
-        begin = F.struct(F.array().cast(f"array<{item}>").alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("go"))
+    def packed(x: Column) -> Column:
+        found, counts = x["s"], x["n"]
+        start = F.struct(ends.alias("out"), F.lit(0).alias("a"), F.lit(0).alias("n"))
 
-        def back(acc: Column, s: Column) -> Column:
-            fits = acc["go"] & (acc["n"] + s["n"] <= overlap)
-            return F.struct(
-                F.when(fits, F.concat(F.array(s), acc["kept"])).otherwise(acc["kept"]).alias("kept"),
-                F.when(fits, acc["n"] + s["n"]).otherwise(acc["n"]).alias("n"),
-                fits.alias("go"),
-            )
+        def carried(a: Column, b: Column) -> Column:
+            """How many of the last whole sentences before ``b`` have up to ``overlap`` tokens together, and how many tokens."""
+            none_yet = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("go"))
 
-        return F.aggregate(F.reverse(opened), begin, back)
+            def back(acc: Column, n: Column) -> Column:
+                fits = acc["go"] & (acc["n"] + n <= overlap)
+                return F.struct((acc["k"] + fits.cast("int")).alias("k"), (acc["n"] + F.when(fits, n).otherwise(0)).alias("n"), fits.alias("go"))
 
-    def pack(acc: Column, s: Column) -> Column:
-        full = (acc["n"] + s["n"] > size) & (F.size(acc["open"]) > 0)
-        again = carried(acc["open"]) if overlap > 0 else F.struct(F.array().cast(f"array<{item}>").alias("kept"), F.lit(0).alias("n"))
-        emitted = F.concat(acc["out"], F.array(F.array_join(F.transform(acc["open"], lambda x: x["s"]), " ")))
-        return F.when(
-            full,
-            let(again, lambda a: F.struct(emitted.alias("out"), F.concat(a["kept"], F.array(s)).alias("open"), (a["n"] + s["n"]).alias("n"))),
-        ).otherwise(F.struct(acc["out"].alias("out"), F.concat(acc["open"], F.array(s)).alias("open"), (acc["n"] + s["n"]).alias("n")))
+            return F.aggregate(F.reverse(F.slice(counts, a + 1, b - a)), none_yet, back) if overlap > 0 else none_yet
 
-    def close(acc: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.array_join(F.transform(acc["open"], lambda x: x["s"]), " ")))
+        def step(acc: Column, i: Column) -> Column:
+            n = F.get(counts, i)
+            cut = F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), i.alias("b"))))
+            after = let(carried(acc["a"], i), lambda k: F.struct(cut.alias("out"), (i - k["k"]).alias("a"), (k["n"] + n).alias("n")))
+            return F.when((acc["n"] + n > size) & (i > acc["a"]), after).otherwise(F.struct(acc["out"].alias("out"), acc["a"].alias("a"), (acc["n"] + n).alias("n")))
+
+        def close(acc: Column) -> Column:
+            return F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), F.size(found).alias("b"))))
 
-    counted = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.size(tokens(s)).alias("n")))
-    packed = let(counted, lambda c: F.when(F.size(c) == 0, F.array(text)).otherwise(F.aggregate(c, start, pack, close)))
-    return F.when(text.isNull() | (text == ""), none).otherwise(packed)
+        chunks = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, close)
+        return F.transform(chunks, lambda k: F.array_join(F.slice(found, k["a"] + 1, k["b"] - k["a"]), " "))
+
+    def counted(found: Column) -> Column:
+        numbers = F.struct(found.alias("s"), F.transform(found, lambda s: F.size(tokens(s))).alias("n"))
+        return F.when(F.size(found) == 0, F.array(text)).otherwise(let(numbers, packed))
+
+    return F.when(text.isNull() | (text == ""), none).otherwise(let(sentences(text), counted))
 
 
 def char_chunks(text: Column, size: int = 512, overlap: int = 128, least: int = 10) -> Column:
@@ -166,10 +175,7 @@ KINDS = {
 
 def kind_scores(text: Column, kinds=KINDS) -> dict[str, Column]:
     """Weighted numbers of cues, in whole tenths so that ties are exact."""
-    out = {}
-    for name, (weight, cues) in kinds.items():
-        out[name] = sum((F.regexp_count(text, F.lit("(?i)" + c)) for c in cues[1:]), F.regexp_count(text, F.lit("(?i)" + cues[0]))) * weight
-    return out
+    return {name: sum((F.regexp_count(text, F.lit("(?i)" + c)) for c in cues[1:]), F.regexp_count(text, F.lit("(?i)" + cues[0]))) * weight for name, (weight, cues) in kinds.items()}
 
 
 def kind(text: Column, kinds=KINDS) -> Column:
@@ -251,12 +257,17 @@ def semantic_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100
         out = []
         for text, kind_name in zip(texts, kinds, strict=True):
             found = _found(text or "", kind_name)
-            rows = _by_boundary(text, found, max_tokens, overlap) if found else _by_paragraph(text or "", max_tokens, 2000)
-            out.append([{"text": t, "boundary_type": b, "estimated_tokens": len(t) // 4, "chunk_strategy": s, "document_type": kind_name or "general"} for t, b, s in rows])
+            rows = _by_boundary(text, found, max_tokens, overlap) if found else []
+            out.append([{"text": t, "boundary_type": b, "estimated_tokens": len(t) // 4, "chunk_strategy": "semantic_boundary", "document_type": kind_name or "general"} for t, b in rows])
         return pd.Series(out)
 
     of_kind = kind(F.coalesce(F.col(text_col), F.lit(""))) if by_kind else F.lit(None).cast("string")
-    return df.withColumn("chunks", cut(F.col(text_col), of_kind))
+    kind_name, found = F.coalesce(of_kind, F.lit("general")), cut(F.col(text_col), of_kind)
+    plain = F.transform(
+        paragraph_chunks(F.col(text_col), max_tokens),
+        lambda x: F.struct(x.alias("text"), F.lit("paragraph_group").alias("boundary_type"), estimated_tokens(x).cast("int").alias("estimated_tokens"), F.lit("paragraph_fallback").alias("chunk_strategy"), kind_name.alias("document_type")),
+    )
+    return df.withColumn("chunks", F.when(F.size(found) > 0, found).otherwise(plain))
 
 
 def tail_overlap(text: str, n: int) -> str:
@@ -268,6 +279,7 @@ def tail_overlap(text: str, n: int) -> str:
 
 
 def _by_boundary(text: str, found, max_tokens: int, overlap: int):
+    """(text, last boundary) of the chunks."""
     cuts = [(0, "document_start")] + [(pos, name) for pos, _, name in found]
     segments = [(text[a : cuts[k + 1][0] if k + 1 < len(cuts) else len(text)], name) for k, (a, name) in enumerate(cuts)]
     rows, open_, last = [], "", None
@@ -276,25 +288,10 @@ def _by_boundary(text: str, found, max_tokens: int, overlap: int):
             last = name if open_ else last
             continue
         if open_ and (len(open_) + len(segment)) // 4 > max_tokens:
-            rows.append((open_.strip(), last, "semantic_boundary"))
+            rows.append((open_.strip(), last))
             open_ = tail_overlap(open_, overlap) if overlap < max_tokens * 4 else ""
         open_, last = open_ + segment, name
-    if open_.strip():
-        rows.append((open_.strip(), last, "semantic_boundary"))
-    return rows
-
-
-def _by_paragraph(text: str, max_tokens: int, overlap: int):
-    rows, open_ = [], ""
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
-        joined = f"{open_}\n\n{p}" if open_ else p
-        if open_ and len(joined) // 4 > max_tokens:
-            rows.append((open_, "paragraph_group", "paragraph_fallback"))
-            joined = f"{tail_overlap(open_, overlap)}\n\n{p}"
-        open_ = joined
-    return rows + [(open_, "paragraph_group", "paragraph_fallback")] * bool(open_)
+    return rows + [(open_.strip(), last)] * bool(open_.strip())
 
 
 # --- frames of chunks ---------------------------------------------------------------------------
