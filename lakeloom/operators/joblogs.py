@@ -31,9 +31,18 @@ def log_files(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFra
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), value: files are read whole, so that lines keep their numbers."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("p", "value"))
-    return whole.select("file", (F.col("p") + 1).alias("line"), "value").filter(F.trim("value") != "")
+    """file, line (from 1), value.
+
+    Files are split like any text.  A line's number is its place by split and by its
+    place in the split, which tasks give to rows as they read on; lines are numbered
+    within a split, then shifted by the splits of the file before.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("row"))
+    counts = rows.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("file").alias("f"), F.col("at").alias("a"), "first", before.alias("before"))
+    placed = rows.join(counts, (rows["file"] == counts["f"]) & (rows["at"] == counts["a"]))
+    return placed.select("file", (F.col("before") + F.col("row") - F.col("first") + 1).alias("line"), "value").filter(F.trim("value") != "")
 
 
 def json_lines(lines: DataFrame) -> DataFrame:

@@ -49,15 +49,20 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) ->
 
 @contextmanager
 def job_group(spark: SparkSession, name: str, description: str = ""):
-    """Jobs of a block carry a group (or a tag on Connect) that event logs show."""
-    try:
-        spark.sparkContext.setJobGroup(name, description)
-        yield
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    except AttributeError:
+    """Jobs of a block carry a group (or a tag on Connect) that event logs show; taken back whatever happens."""
+    context = getattr(spark, "_sc", None)
+    if context is not None:
+        context.setJobGroup(name, description)
+    else:
         spark.addTag(name)
+    try:
         yield
-        spark.removeTag(name)
+    finally:
+        if context is not None:
+            for key in ("spark.jobGroup.id", "spark.job.description"):
+                context.setLocalProperty(key, None)
+        else:
+            spark.removeTag(name)
 
 
 def megabytes(text: str) -> float:

@@ -1,6 +1,6 @@
 """Sinks, versions, catalog and file sources: written, read back, compared with what went in.
 
-Each query writes to a folder of its own under ``lakeloom.scratch.dir`` (default: the session's checkpoint folder, else a temporary one).
+Each query writes to a folder of its own under ``lakeloom.scratch.dir`` (default: the session's checkpoint folder; on a local master without one, a temporary folder).
 """
 
 from __future__ import annotations
@@ -21,8 +21,13 @@ c, lit = F.col, F.lit
 
 
 def scratch(t: Tables) -> str:
-    conf = t.spark.sparkContext.getConf()
-    root = conf.get("lakeloom.scratch.dir") or conf.get("spark.checkpoint.dir") or tempfile.gettempdir()
+    context = t.spark.sparkContext
+    conf = context.getConf()
+    root = conf.get("lakeloom.scratch.dir") or conf.get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/lakeloom-{uuid.uuid4().hex}"
 
 

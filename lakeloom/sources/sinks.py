@@ -9,6 +9,8 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.physical import settings
+
 
 class Write(Enum):
     OVERWRITE = "overwrite"
@@ -26,12 +28,12 @@ def insert(df: DataFrame, table: str, mode: Write = Write.APPEND) -> dict:
     spark = df.sparkSession
     seen, began = Observation(f"rows-{uuid4().hex[:8]}"), time.time()
     counted = df.observe(seen, F.count(F.lit(1)).alias("n")).select(*spark.table(table).columns)
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        counted.write.insertInto(table, overwrite=mode is Write.OVERWRITE)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    if mode is Write.OVERWRITE:
+        # inserts into catalog tables ignore the writer's option of this name, so it is a setting for just this write
+        with settings(spark, spark__sql__sources__partitionOverwriteMode="dynamic"):
+            counted.write.insertInto(table, overwrite=True)
+    else:
+        counted.write.insertInto(table)
     n = seen.get["n"]
     return {"total_records": n, "successful_inserts": n, "failed_inserts": 0, "error_codes": {}, "insertion_time_ms": int(1000 * (time.time() - began))}
 

@@ -23,12 +23,17 @@ def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkp
 
 
 def batch_counter(key: str, condition, log: Callable[[int, dict], None], every: int = 10) -> Callable[[DataFrame, int], None]:
-    """Filter, group, count a micro-batch; every so many batches are logged."""
+    """Filter, group, count each micro-batch; every so many batches are logged, with the rows and batches since."""
+    since = {"batches": 0, "rows": 0}
 
     def work(df: DataFrame, batch: int) -> None:
         counts = df.filter(condition).groupBy(key).count()
+        found = counts.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first().asDict()
+        since["batches"] += 1
+        since["rows"] += found["rows"]
         if batch % every == 0:
-            log(batch, counts.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first().asDict())
+            log(batch, found | {"batches_since": since["batches"], "rows_since": since["rows"]})
+            since.update(batches=0, rows=0)
 
     return work
 

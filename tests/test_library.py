@@ -291,3 +291,62 @@ def test_row_numbers_are_one_to_n_whatever_is_read(spark):
     plain = rows.select("b", F.row_number().over(Window.orderBy("a", "b")).alias("want"))
     assert got.select("b", "row_number").join(plain, "b").filter("row_number <> want").count() == 0
     assert numbered(rows.limit(0), ["a", "b"]).count() == 0 and [r.row_number for r in numbered(rows.limit(1), ["b"]).collect()] == [1]
+
+
+def test_appends_and_merges_write_only_what_changes(spark, tmp_path):
+    import os
+
+    t = VersionedTable(spark, str(tmp_path / "v"))
+    written = lambda: {f"{d}/{n}" for d, _, names in os.walk(tmp_path / "v/data") for n in names if n.endswith(".parquet")}
+    t.append(spark.range(0, 100, 1, 1).selectExpr("id", "'a' as x"))
+    first = written()
+    for k in range(1, 20):  # past the commit that lists all files again
+        t.append(spark.range(k * 100, k * 100 + 100, 1, 1).selectExpr("'b' as x", "cast(id as int) as id"))
+    assert len(written()) == 20 and first < written() and t.read().count() == 2000 and len(t.files(t.branches()["main"])) == 20
+    before = t.branches()["main"]
+    t.merge(spark.createDataFrame([(150, "new"), (5000, "more")], "id long, x string"), ["id"])
+    kept, now = set(t.files(before)), set(t.files(t.branches()["main"]))
+    assert len(kept - now) == 1 and t.read().filter("id = 150").first().x == "new" and t.read().count() == 2001 == t.history().orderBy("committed_at").collect()[-1].rows
+    assert t.read(snapshot=before).filter("id = 150").first().x == "b"
+    t.merge(spark.createDataFrame([(-1, "none touched")], "id long, x string"), ["id"])
+    assert now < set(t.files(t.branches()["main"]))
+    t.overwrite(spark.range(0).selectExpr("id", "'c' as x"))
+    assert t.read().count() == 0
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "w"))
+    t.append(spark.range(3).toDF("id"))
+    head = t._head("main")
+    t._commit(spark.range(5).toDF("id"), "main", head, "append", [])
+    with pytest.raises(RuntimeError, match="moved on"):
+        t._commit(spark.range(7).toDF("id"), "main", head, "append", [])
+    assert t.read().count() == 8
+    open(tmp_path / "w/refs/main/9", "w").close()  # an entry that is still being written
+    assert t.read().count() == 8
+    with pytest.raises(ValueError, match="exists"):
+        t.create_branch("main", "main", if_not_exists=False)
+
+
+def test_batches_are_all_counted(spark):
+    logged = []
+    work = micro.batch_counter("k", F.col("v") > 0, lambda batch, figures: logged.append((batch, figures["rows"], figures["batches_since"], figures["rows_since"])), every=3)
+    for batch in range(7):
+        work(spark.createDataFrame([(1, 1), (2, 1), (2, 0)], "k int, v int"), batch)
+    assert logged == [(0, 2, 1, 2), (3, 2, 3, 6), (6, 2, 3, 6)]
+
+
+def test_job_groups_end_with_an_exception(spark):
+    with pytest.raises(AttributeError), physical.job_group(spark, "g", "d"):
+        raise AttributeError("inside")
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    from lakeloom.operators import joblogs
+
+    for k in range(3):
+        (tmp_path / f"{k}.log").write_text("".join(f"line {i}\n" if i % 5 else "\n" for i in range(1, 3000)))
+    with physical.settings(spark, spark__sql__files__maxPartitionBytes=4000, spark__sql__files__openCostInBytes=100):
+        rows = joblogs.log_lines(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 * sum(bool(i % 5) for i in range(1, 3000)) and all(r.value == f"line {r.line}" for r in rows)
