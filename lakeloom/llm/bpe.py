@@ -8,7 +8,7 @@ rank by now.  A merge costs a constant number of word operations, however long
 the pre-token, where a scan for the lowest rank would make it quadratic.
 
 Cases: null and empty texts give no tokens and the digest of nothing; a very long
-text is worked through in runs of ``RUN`` pre-tokens, digests running on; equal rows
+text is worked through in runs of ``RUN`` pre-tokens and ``SPELLED`` ids; equal rows
 give equal rows; an empty table an empty table; other columns, whatever their names,
 are ignored.
 """
@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain, islice
+from itertools import chain, islice, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ from . import common
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 #: Texts of more characters are split as they are read, so many pre-tokens at once.
 LONG, RUN = 1 << 20, 100_000
+#: Ids that are written out at once.
+SPELLED = 1 << 18
 
 
 class RankQueue:
@@ -90,45 +94,65 @@ class ByteBPE:
         self.bytes_of = {b: a for a, b in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(self.bytes_of, default=0) + 1)
-        self.ids = _Memory(lambda token: tuple(self.merge(token.encode())))
-        self.decimals = {i: str(i) for i in self.bytes_of}
+        self.pairs: list[list[int | None]] = [[self.ranks.get(bytes((x, y))) for y in range(256)] for x in range(256)]
+        self.ids = _Memory(lambda token: array("i", self.merge(token.encode())).tobytes())
+        self.spelled, self.decimals = Spelling(self.bytes_of), Spelling({i: b",%d" % i for i in self.bytes_of})
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token.  Most buckets hold one position, so those steps of the queue are written out here."""
         ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, find, push, pop = len(piece), ranks.get, self.queue.push, self.queue.pop
+        n, find, queue = len(piece), ranks.get, self.queue
+        buckets, low, top, push = queue.buckets, queue.low, 0, queue.push
         after = list(range(1, n + 1))  # the next node's start, which is this node's end
         before = list(range(-1, n - 1))
-        pair: list[int | None] = [find(piece[i : i + 2]) for i in range(n - 1)]
+        pair: list[int | None] = [self.pairs[x][y] for x, y in pairwise(piece)]
         pair.append(None)
         for i, rank in enumerate(pair):
             if rank is not None:
-                push(rank, i)
-        while (entry := pop()) is not None:
-            rank, i = entry
+                if rank in buckets:
+                    push(rank, i)
+                else:
+                    buckets[rank] = i
+                    w = rank >> 8
+                    low[w] |= 1 << (rank & 255)
+                    top |= 1 << w
+        while top:
+            w = (top & -top).bit_length() - 1
+            word = low[w]
+            rank = w << 8 | (word & -word).bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int or len(i) == 1:
+                i = i if type(i) is int else i[0]
+                del buckets[rank]
+                low[w] = word = word & (word - 1)
+                if not word:
+                    top &= top - 1
+            else:
+                i = heappop(i)
             if pair[i] != rank:
                 continue  # stale
             j = after[i]
-            k = after[j]
-            after[i] = k
+            k = after[i] = after[j]
             pair[j] = None
+            changed = (i, before[i]) if before[i] >= 0 else (i,)
             if k < n:
                 before[k] = i
-                new = pair[i] = find(piece[i : after[k]])
-                if new is not None:
-                    push(new, i)
-            else:
-                pair[i] = None
-            h = before[i]
-            if h >= 0:
-                new = find(piece[h:k])
-                if new != pair[h]:
+            for h in changed:
+                new = find(piece[h : after[after[h]]]) if after[h] < n else None
+                if new != pair[h] or h == i:
                     pair[h] = new
-                    if new is not None:
+                    if new is None:
+                        continue
+                    if new in buckets:
                         push(new, h)
+                    else:
+                        buckets[new] = h
+                        w = new >> 8
+                        low[w] |= 1 << (new & 255)
+                        top |= 1 << w
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : after[i]]])
@@ -144,27 +168,58 @@ class ByteBPE:
         while run := list(islice(found, RUN)):
             yield run
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as int32."""
+        return b"".join(map(self.ids.__getitem__, chain.from_iterable(self.tokens(text))))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for run in self.tokens(text):
-            out.extend(chain.from_iterable(map(self.ids.__getitem__, run)))
-        return out
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def decimal(self, ids: list[int]) -> str:
-        return ",".join(map(self.decimals.__getitem__, ids))
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of their decimals, and of the bytes that they decode to."""
-        n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
-        for run in self.tokens(text):
-            ids = list(chain.from_iterable(map(self.ids.__getitem__, run)))
-            of_ids.update((("," if n and ids else "") + self.decimal(ids)).encode())
-            of_bytes.update(self.decode(ids))
-            n += len(ids)
-        return n, of_ids.hexdigest(), of_bytes.hexdigest()
+        return ",".join(map(str, ids))
+
+    def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: number of ids, SHA-256 of their decimals joined by commas, and of the bytes that they decode to."""
+        packed = [self.packed(t) for t in texts]
+        size = [len(x) // 4 for x in packed]
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        del packed
+        return size, self.decimals.hashes(ids, size, skip=1), self.spelled.hashes(ids, size)
+
+
+class Spelling:
+    """Bytes of every id, written out for whole vectors of ids."""
+
+    def __init__(self, of: dict[int, bytes]):
+        self.size, self.start = np.zeros((2, max(of, default=-1) + 1), np.int64)
+        for i, x in of.items():
+            self.size[i] = len(x)
+        self.start[:] = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(of[i] for i in sorted(of)), np.uint8)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids, one after the other, and where each one's begin (and the last one's end)."""
+        size = self.size[ids]
+        begin = np.concatenate(([0], np.cumsum(size)))
+        return self.data[np.arange(begin[-1]) + np.repeat(self.start[ids] - begin[:-1], size)], begin
+
+    def hashes(self, ids: np.ndarray, sizes: list[int], skip: int = 0) -> list[str]:
+        """SHA-256 of the bytes of so many ids each, without the first ``skip`` bytes of each; SPELLED ids at once."""
+        made = [hashlib.sha256() for _ in sizes]
+        ends = np.cumsum(sizes)
+        for lo in range(0, len(ids), SPELLED):
+            data, begin = self.of(ids[lo : lo + SPELLED])
+            hi = lo + len(begin) - 1
+            for k in range(int(np.searchsorted(ends, lo, side="right")), len(sizes)):
+                a = int(ends[k]) - sizes[k]
+                if a >= hi:
+                    break
+                if sizes[k]:
+                    made[k].update(data[begin[max(a, lo) - lo] + (skip if a >= lo else 0) : begin[min(int(ends[k]), hi) - lo]])
+        return [m.hexdigest() for m in made]
 
 
 class _Memory(dict):
@@ -229,8 +284,8 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(rank_file, pattern)
         for batch in common.sliced(batches, "_text"):
-            made = [bpe.digest(t or "") for t in batch.column("_text").to_pylist()]
-            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            made = bpe.digests([t or "" for t in batch.column("_text").to_pylist()])
+            columns = [pa.array(x, kind) for x, kind in zip(made, (pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.id_text(docs, id_col, text_col).mapInArrow(

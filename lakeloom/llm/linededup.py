@@ -11,7 +11,8 @@ The result is one zlib-compressed bitmap of dropped lines a document, not text.
 Cases: null and empty texts are one empty line; rows that share a doc_id are one
 document, and rows equal to each other get equal verdicts; a null doc_id sorts
 before all others; an empty table gives an empty table; lines whose key is short
-always stay.
+always stay; a very long text is split into its lines by itself; other columns,
+whatever their names, only pass by.
 """
 
 from __future__ import annotations
@@ -157,27 +158,18 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY) -> DataFrame:
-    """``docs`` with the dropped lines taken out of its text; documents of which nothing is left go.
+    """``docs`` with the dropped lines taken out of its text; documents that lose lines and of which only white space is left go.
 
-    Other columns stay as they are, but for ``n_chars``, which follows the text.
+    Other columns stay as they are, but for ``n_chars``, which follows the text; a null text becomes empty.
     """
-    rest = [c for c in docs.columns if c != text_col]
-    inner = docs.select(
-        F.struct(F.lit(0).alias("none"), *[docs[c] for c in rest]).alias("_rest"),
-        F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("_key"),
-        F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"),
-    ).withColumn("_tid", F.xxhash64("_text"))
+    inner = docs.select(*common.apart(docs, text_col), F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))).alias("_key"))
+    inner = inner.withColumn("_tid", F.xxhash64(F.coalesce("_text", F.lit(""))))
     bits = drop_bitmaps(docs, id_col, text_col, min_key)
     bits = bits.select(bits.key.alias("_key"), bits.tid.alias("_tid"), "gone")
 
-    @F.pandas_udf("string")
-    def cut(texts, gone):
-        common.begin("lines")
-        out = texts.combine(gone, lambda t, g: t if g is None else b"\n".join(kept_lines(t.encode(), g)[0]).decode())
-        common.give_back()
-        return out
-
-    left = inner.join(bits.hint("shuffle_hash"), ["_key", "_tid"], "left").withColumn("_kept", F.when(F.col("gone").isNull(), F.col("_text")).otherwise(cut("_text", "gone")))
-    left = left.filter(F.col("gone").isNull() | (F.trim("_kept") != ""))
-    new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return left.select(*[(new[c] if c in new else F.col("_rest")[c]).alias(c) for c in docs.columns])
+    def cut(text: bytes, gone: bytes | None) -> bytes | None:
+        kept = text if gone is None else b"\n".join(kept_lines(text, gone)[0])
+        return kept if gone is None or kept.strip(common.SPACES) else None
+
+    rows = inner.join(bits.hint("shuffle_hash"), ["_key", "_tid"], "left")
+    return common.retexted(rows, docs, text_col, "lines", lambda texts, gone: [cut(t, g) for t, g in zip(texts, gone, strict=True)], "gone")

@@ -16,13 +16,15 @@ Only one row for each *source* (a label, at most ``MAX_SOURCES``) visits the dri
 Everything follows from the rows and ``seed``: reruns agree.
 
 Cases: null source is a source of its own, last in order; null and empty texts
-have size 0 and are never taken; repeated rows have ranges of their own; an
-empty table gives an empty table.
+have size 0 and are never taken; repeated rows, and ties in the order of a source
+(equal id and text), have ranges of their own; a very long text is many blocks; an
+empty table gives an empty table; other columns, whatever their names, only pass by.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from . import common
 BLOCK, SLOTS, SHARE, WEIGHTS, CAP = 128, 8192, 1.5, (5, 2, 1), 2
 #: Documents of a source whose sizes one task adds up in order.
 RUN = 2_000
+#: Runs, or shards, of a source that one task adds up in order.
+SPAN = 4_096
 MAX_SOURCES = 1_000_000
 
 
@@ -90,11 +94,13 @@ class Plan:
     """Per-source figures, held on the driver and sent with the tasks: one entry a source."""
 
     def __init__(self, totals: list, weights, share: float, cap: float, block: int, seed: int):
+        """``totals``: source, words and documents of each source."""
         totals = sorted(totals, key=lambda r: (r[0] is None, r[0] or ""))
         if len(totals) > MAX_SOURCES:
             raise ValueError(f"over {MAX_SOURCES} sources")
         self.names = [r[0] for r in totals]
         self.sizes = [int(r[1]) for r in totals]
+        self.runs = [max(1, int(r[2]) // RUN) for r in totals]
         self.targets = targets(self.sizes, [weights[i % len(weights)] for i in range(len(totals))], share, cap)
         self.words = np.array([min(round(t), int(cap * s)) for t, s in zip(self.targets, self.sizes, strict=True)], np.int64)
         size = np.array(self.sizes, np.int64)
@@ -105,8 +111,8 @@ class Plan:
         self.total = int(self.slots.sum())
 
     def frame(self, spark) -> DataFrame:
-        rows = [(i, n, s, float(t)) for i, (n, s, t) in enumerate(zip(self.names, self.sizes, self.targets, strict=True))]
-        return spark.createDataFrame(rows, "s int, _name string, source_size long, target double")
+        rows = [(i, n, s, float(t), r) for i, (n, s, t, r) in enumerate(zip(self.names, self.sizes, self.targets, self.runs, strict=True))]
+        return spark.createDataFrame(rows, "s int, _name string, source_size long, target double, runs long")
 
     def locate(self, s: int, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pass, block index and words taken of a source's slots."""
@@ -123,7 +129,21 @@ class Plan:
 
 
 def plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 42) -> Plan:
-    return Plan(sizes.groupBy("_source").agg(F.sum("size")).collect(), weights, share, cap, block, seed)
+    return Plan(sizes.groupBy("_source").agg(F.sum("size"), F.count(F.lit(1))).collect(), weights, share, cap, block, seed)
+
+
+def before(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """Adds ``base``, the sum of ``value`` over a source's rows that come before by ``order`` (counted from 0).
+
+    In two levels: within spans of SPAN, and over the spans' sums, so that no task walks all rows of a source.
+    """
+    rows = rows.withColumn("span", F.expr(f"{order} div {SPAN}"))
+    spans = rows.groupBy("s", "span").agg(F.sum(value).alias("in_span"))
+    earlier = W.partitionBy("s").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.select("s", "span", F.coalesce(F.sum("in_span").over(earlier), F.lit(0)).alias("of_spans"))
+    within = W.partitionBy("s", "span").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("in_span", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return rows.join(spans, ["s", "span"]).withColumn("base", F.col("of_spans") + F.col("in_span")).drop("span", "of_spans", "in_span")
 
 
 def offsets(sizes: DataFrame, p: Plan) -> DataFrame:
@@ -132,11 +152,8 @@ def offsets(sizes: DataFrame, p: Plan) -> DataFrame:
     frame = p.frame(spark)
     frame = F.broadcast(frame) if len(p.names) <= 100_000 else frame
     rows = sizes.join(frame, sizes["_source"].eqNullSafe(frame["_name"])).drop("_name")
-    runs = max(1, sizes.count() // RUN)
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("_id", "_tid"), F.lit(runs)))
-    base = rows.groupBy("s", "run").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("s").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
-    base = base.select("s", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("_id", "_tid"), F.col("runs")))
+    base = before(rows.groupBy("s", "run").agg(F.sum("size").alias("words")), "run", "words").select("s", "run", "base")
     within = W.partitionBy("s", "run").orderBy("_id", "_tid").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return rows.join(base, ["s", "run"]).select(
@@ -188,8 +205,7 @@ def slot_table(spark, p: Plan, slots: int = SLOTS) -> DataFrame:
                         ["shard", "s", "slot", "pass", "block", "words"],
                     )
 
-    before = W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    based = drawn.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    based = before(drawn, "shard", "n").select("shard", "s", "n", "base")
     return based.repartition(max(1, shards // 16), "shard").mapInArrow(common.task("mixing", run), "shard long, s int, slot long, pass long, block long, words long")
 
 
@@ -198,7 +214,7 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
     cut = rows.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(off div {block}, (off + size - 1) div {block})")))
     begin = F.greatest("off", F.col("block") * block)
     return cut.select(
-        "s", "block", "off", "_id", "_tid",
+        "s", "block", "off", "_id", "_tid", "_source",
         (begin - F.col("block") * block).alias("_from"),
         (F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block).alias("_to"),
         (begin - F.col("off")).alias("_start"),
@@ -208,7 +224,7 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> tuple[DataFrame, DataFrame]:
     """The documents with their offsets, and one row for each piece of one that the mix takes.
 
-    The second has s, off (which tell the document), _id, _tid, shard, slot, pass, _start and ``taken`` words.
+    The second has s, off (which tell the document), _id, _tid, _source, shard, slot, pass, _start and ``taken`` words.
     """
     spark = docs.sparkSession
     sizes = placed(docs, id_col, text_col, source_col)
@@ -217,7 +233,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     slots = slot_table(spark, p)
     # the planner takes the slots for a few rows, as it can't see what a shard yields; they grow with the corpus
     taken = pieces(rows, p.block).join(slots.hint("merge"), ["s", "block"]).withColumn("taken", F.least("_to", "words") - F.col("_from"))
-    return rows, taken.filter("taken > 0").select("s", "off", "_id", "_tid", "shard", "slot", "pass", "_start", "taken")
+    return rows, taken.filter("taken > 0").select("s", "off", "_id", "_tid", "_source", "shard", "slot", "pass", "_start", "taken")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -239,38 +255,33 @@ def resampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ``n_chars``, which follows the text.  A document untouched by the mix goes.
     """
     rows, taken = mixed(docs, id_col, text_col, source_col, **options)
-    spans = taken.groupBy("_id", "_tid", "off", "pass").agg(F.collect_list(F.struct("_start", "taken")).alias("spans"))
-    rest = [c for c in docs.columns if c != text_col]
+    spans = taken.groupBy("_id", "_tid", "_source", "off", "pass").agg(F.collect_list(F.struct("_start", "taken")).alias("spans"))
     inner = docs.select(
-        F.struct(F.lit(0).alias("none"), *[docs[c] for c in rest]).alias("_rest"),
+        *common.apart(docs, text_col),
         docs[id_col].cast("long").alias("_key"),
-        docs[text_col].alias("_text"),
+        docs[source_col].cast("string").alias("_from"),
         F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_txt"),
     )
-    if not rows.groupBy("_id", "_tid").count().filter("count > 1").isEmpty():
-        # rows that repeat a document have the same text: any of them serves all that was taken of any
-        inner = inner.dropDuplicates(["_key", "_txt"])
-
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        common.begin("mixing")
-        out = texts.combine(spans, lambda t, s: _cut(t.encode(), s).decode())
-        common.give_back()
-        return out
-
-    joined = inner.join(spans, inner["_key"].eqNullSafe(spans["_id"]) & (inner["_txt"] == spans["_tid"]))
-    joined = joined.select("_rest", cut("_text", "spans").alias("_kept"))
-    new = {text_col: F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
-    return joined.select(*[(new[c] if c in new else F.col("_rest")[c]).alias(c) for c in docs.columns])
+    if not rows.groupBy("_id", "_tid", "_source").count().filter("count > 1").isEmpty():
+        # rows that repeat a document have the same text: the least of them serves all that was taken of any
+        inner = inner.groupBy("_key", "_from", "_txt").agg(F.min_by(F.struct("_rest", "_text"), F.to_json("_rest")).alias("row")).select("_key", "_from", "_txt", "row.*")
+    same = inner["_key"].eqNullSafe(spans["_id"]) & (inner["_txt"] == spans["_tid"]) & inner["_from"].eqNullSafe(spans["_source"])
+    joined = inner.join(spans, same)
+    return common.retexted(joined, docs, text_col, "mixing", lambda texts, taken: [_cut(t, s) for t, s in zip(texts, taken, strict=True)], "spans")
 
 
 def _cut(text: bytes, spans) -> bytes:
     """The words of ``spans`` (first word, number) of a text."""
-    where = [m.span() for m in _word.finditer(text)]
-    out: list[tuple[int, int]] = []
+    wanted: list[list[int]] = []
     for start, n in sorted((s["_start"], s["taken"]) for s in spans):
-        if out and out[-1][1] == start:
-            out[-1] = (out[-1][0], start + n)
+        if wanted and wanted[-1][1] == start:
+            wanted[-1][1] += n
         else:
-            out.append((start, start + n))
-    return b"\n".join(text[where[a][0] : where[b - 1][1]] for a, b in out)
+            wanted.append([start, start + n])
+    out, words, at = [], _word.finditer(text), 0
+    for a, b in wanted:  # no word past the last one wanted is looked for
+        begin = next(islice(words, a - at, None)).start()
+        end = next(islice(words, b - a - 2, None)).end() if b - a > 1 else _word.match(text, begin).end()
+        out.append(text[begin:end])
+        at = b
+    return b"\n".join(out)

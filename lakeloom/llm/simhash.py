@@ -281,8 +281,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Texts that the order of shingles is learned from, and shingles that it lists; neither touches the result.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
-#: Pairs for each row of texts that are apart, up to which all are checked at once.
-STAR_PAIRS = 2
+#: How many times its prefix a text must have of shared shingles among its first ones to be looked at any further.
+SLACK = 1.25
+#: Pairs for each row of texts that are apart, up to which all are checked at once; pairs that one text is checked in by a task's step.
+STAR_PAIRS, STEP = 2, 256
+#: Keys of a text that are looked back to, so that few pairs are made twice.
+LATELY = 8
 
 
 def shingle_hashes(words: list[int], shingle: int = NEAR_SHINGLE) -> np.ndarray:
@@ -312,23 +316,34 @@ def prefix_size(n: int, least: float) -> int:
     return n - math.ceil(least * n - 1e-9) + 1
 
 
-def prefix(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles, those that ``keys`` (sorted) lists last, by their ``counts``."""
-    often = np.zeros(len(hashes), np.int64)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        often = np.where(keys[at] == hashes, counts[at], 0)
-    return hashes[np.lexsort((hashes, often))[: prefix_size(len(hashes), least)]]
+def often(hashes: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count of each shingle that ``keys`` (sorted) lists, 0 for others."""
+    if not len(keys):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, counts[at], 0)
 
 
-def similarity(a: bytes, b: bytes, shingle: int = NEAR_SHINGLE) -> float:
-    """Jaccard similarity of two texts' word shingles; of fewer words, the whole sequence is one."""
+def reach(n: int, least: float) -> tuple[int, int]:
+    """Of n shingles: how many first ones must hold a prefix that none shares, and how many are looked up for that.
+
+    Let d have a prefix's number of shingles, among its first SLACK prefixes, that no other
+    text has among those it looks up.  A near duplicate e of d shares one of them.  In e it
+    comes at most as many places later as e has shingles that d hasn't, so e, of up to
+    1 / ``least`` times the size, would have looked it up: there is no e.
+    """
+    own = min(n, math.ceil(SLACK * prefix_size(n, least)))
+    return own, min(n, math.ceil(SLACK * prefix_size(int(n / least), least)) + n - math.ceil(least * n - 1e-9))
 
-    def shingles(text: bytes) -> set:
-        words = text.lower().split()
-        return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
 
-    left, right = shingles(a), shingles(b)
+def _shingles(text: bytes, shingle: int = NEAR_SHINGLE) -> set:
+    words = text.lower().split()
+    return {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+
+def similarity(a: bytes, b: bytes, shingle: int = NEAR_SHINGLE) -> float:
+    """Jaccard similarity of two texts' word shingles; of fewer words, the whole sequence is one."""
+    left, right = _shingles(a, shingle), _shingles(b, shingle)
     return len(left & right) / len(left | right)
 
 
@@ -354,92 +369,163 @@ def _shingle_order(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs (a, b) of which at least ``least`` of all shingles are shared, by their texts."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("_tid")).distinct()
-    needed = common.written(rows.join(needed, "_tid", "left_semi").dropDuplicates(["_tid"]), "texts", "size")
-    both = pairs.join(needed.select(F.col("_tid").alias("a"), F.col("_text").alias("ta")), "a")
-    both = both.join(needed.select(F.col("_tid").alias("b"), F.col("_text").alias("tb")), "b")
+def _suspects(rows: DataFrame, keys: np.ndarray, counts: np.ndarray, least: float) -> DataFrame:
+    """(_tid): texts that may have a near duplicate, by ``reach``; no other has one.  Copies in a task are looked at once."""
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = zip(common.blobs(batch.column("ta")), common.blobs(batch.column("tb")), strict=True)
-            near = pa.array([similarity(x, y) >= least for x, y in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], ["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[bytes, int] = {}
+        seen: set[int] = set()
+        for batch in common.sliced(batches, "_text"):
+            tids = batch.column("_tid").to_pylist()
+            new = [i for i, t in enumerate(tids) if t not in seen and not seen.add(t)]
+            texts = common.blobs(batch.column("_text").take(pa.array(new, pa.int64())))
+            firsts, room, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], []
+            for hashes in _hashed(texts, number):
+                own, looked = reach(len(hashes), least)
+                firsts.append(hashes[np.lexsort((hashes, often(hashes, keys, counts)))[:looked]])
+                spare = np.full(looked, -1, np.int32)
+                spare[:own] = own - prefix_size(len(hashes), least)
+                room.append(spare)
+                size.append(looked)
+            tid = np.repeat(np.array([tids[i] for i in new], np.int64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(tid), pa.array(np.concatenate(room))], ["key", "_tid", "room"])
 
-    out = both.select("a", "b", "ta", "tb").mapInArrow(common.task("simhash", check), "u long, v long")
-    out = common.written(out, "alike")
-    common.dropped(rows.sparkSession, needed)
-    return out
+    of_key = Window.partitionBy("key")
+    held = rows.mapInArrow(common.task("simhash", run), "key long, _tid long, room int")
+    met = held.select("_tid", "room", F.min("_tid").over(of_key).alias("first"), F.max("_tid").over(of_key).alias("last")).filter("first <> last")
+    return met.groupBy("_tid").agg(F.count_if(F.col("room") >= 0).alias("shared"), F.max("room").alias("room")).filter("shared > 0 and shared > room").select("_tid")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(tid, label) of the texts, by XXH64, that have a near duplicate; texts of a group share their label.
+def _prefixes(texts: DataFrame, keys: np.ndarray, counts: np.ndarray, least: float) -> DataFrame:
+    """(key, tid, n, pos): the prefixes of some texts, of n shingles each, as far as others of them have those shingles.
 
-    Near duplicates share at least ``least`` of all their five-word shingles.  The search
-    is exact: with the shingles of all texts in one order, such texts share one among
-    their first 1 - ``least`` (``prefix_size``), so only texts that meet there are
-    compared.  First, each text is checked with the least text of each shingle; while
-    that leaves many pairs, those still apart with another one; at last, of texts that
-    share a shingle, all pairs that the links so far leave apart.  So a group of near
-    copies costs about a row a text, and no link is lost with one that fails.
+    ``pos`` is a shingle's place in its text's order, from 0.  Rare ones come first, by how many of the texts hold them; listed ones, which very
+    many may hold, come last and aren't counted.
     """
-    rows = common.id_text(docs, id_col, text_col).select(F.xxhash64("_text").alias("_tid"), "_text")
-    keys, counts = _shingle_order(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
         for batch in common.sliced(batches, "_text"):
-            sizes, firsts = [], []
+            found = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
+            size, rare, each = [], [], []
             for hashes in _hashed(common.blobs(batch.column("_text")), number):
-                sizes.append(len(hashes))
-                firsts.append(prefix(hashes, keys, counts, least))
-            each = [len(f) for f in firsts]
-            tid = np.repeat(batch.column("_tid").to_numpy(), each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(tid), pa.array(np.repeat(sizes, each).astype(np.int32))], ["key", "tid", "n"])
+                n, listed = len(hashes), often(hashes, keys, counts)
+                free = listed == 0
+                more = np.lexsort((hashes.view(np.int64), listed))[int(free.sum()) : prefix_size(n, least)]  # as they are ordered below
+                found[0] += [hashes[free], hashes[more]]
+                found[1] += [listed[free], listed[more]]
+                size.append(n)
+                rare.append(int(free.sum()))
+                each.append(rare[-1] + len(more))
+            columns = [np.concatenate(found[0]).view(np.int64), np.repeat(batch.column("_tid").to_numpy(), each), *(np.repeat(x, each).astype(np.int32) for x in (size, rare)), np.concatenate(found[1])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "tid", "n", "rare", "often"])
+
+    held = texts.mapInArrow(common.task("simhash", run), "key long, tid long, n int, rare int, often long")
+    held = held.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("df > 1")
+    of_text = Window.partitionBy("tid")
+    held = held.withColumn("alone", F.col("rare") - F.count_if(F.col("often") == 0).over(of_text))
+    held = held.withColumn("place", F.row_number().over(of_text.orderBy("often", F.when(F.col("often") == 0, F.col("df")), "key")))
+    held = held.withColumn("pos", F.col("alone") + F.col("place") - 1)
+    return held.filter(F.col("pos") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9)).select("key", "tid", "n", "pos")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs (a, b) of which at least ``least`` of all shingles are shared, by their texts.
+
+    A text ``a`` goes once to each STEP of its pairs, so that a large star doesn't carry it once a pair.
+    """
+    steps = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STEP).alias("steps"))
+    keyed = pairs.join(steps, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("steps")).alias("step"))
+    left = keyed.select("a", "step").distinct().join(texts.select(F.col("_tid").alias("a"), "_text"), "a").select("a", "step", F.lit(None).cast("long").alias("b"), "_text")
+    right = keyed.join(texts.select(F.col("_tid").alias("b"), "_text"), "b").select("a", "step", "b", "_text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: set = set()
+        for batch in common.sliced(batches, "_text"):
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            u, v = [], []
+            for i, text in enumerate(common.blobs(batch.column("_text"))):
+                other = _shingles(text)
+                if b[i] is None:
+                    own = other
+                    continue
+                shared = len(own & other)
+                if shared >= least * (len(own) + len(other) - shared):
+                    u.append(a[i])
+                    v.append(b[i])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    both = left.unionByName(right).repartition("a", "step").sortWithinPartitions("a", "step", F.col("b").asc_nulls_first())
+    return common.written(both.mapInArrow(common.task("simhash", check), "u long, v long"), "alike")
+
+
+def _by_fingerprint(texts: DataFrame) -> DataFrame:
+    """(a, b): texts whose SimHashes are equal or linked, as stars around a fingerprint's least text and links between those."""
+    own = common.written(fingerprints(texts, "_tid", "_text", NEAR_SHINGLE), "prints")
+    classes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    same = own.join(classes, "fp").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    near = linked(classes).join(classes.select(F.col("fp").alias("u"), F.col("rep").alias("x")), "u").join(classes.select(F.col("fp").alias("v"), F.col("rep").alias("y")), "v")
+    return same.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(tid, label) of the texts, by XXH64, that have a near duplicate; texts of a group share their label.
 
-    held = rows.mapInArrow(common.task("simhash", run), "key long, tid long, n int")
+    Near duplicates share at least ``least`` of all their five-word shingles.  Links
+    between SimHashes are proposed first, and checked on the texts.  What they miss is
+    found by a search that is exact: with the shingles of all texts in one order, near
+    duplicates share one among their first 1 - ``least`` (``prefix_size``).  The order is by
+    how many texts hold a shingle, counted over all texts that can have a near duplicate
+    at all (``_suspects``), so texts that meet mostly are near duplicates, and only those
+    that meet early enough are checked.  Of texts that meet, each is first checked with one of the others (a star); at last, all pairs that
+    the links so far leave apart.  So a group of near copies costs about a row a text, and
+    no link is lost with one that fails.
+    """
+    rows = common.id_text(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("_tid"), "_text")
+    keys, counts = _shingle_order(rows)
+    # one row of each suspect's text, found by its least id, so that copies aren't dealt to one task
+    one = rows.groupBy("_tid").agg(F.min("_id").alias("least")).join(_suspects(rows.select("_tid", "_text"), keys, counts, least), "_tid")
+    one = one.select(F.col("_tid").alias("t"), "least")
+    texts = rows.join(one.hint("shuffle_hash"), (rows["_tid"] == one["t"]) & rows["_id"].eqNullSafe(one["least"]), "left_semi")
+    texts = common.written(texts.select("_tid", "_text").dropDuplicates(["_tid"]), "texts", "size")
     of_key = Window.partitionBy("key")
-    first = F.min(F.struct("tid", "n")).over(of_key)
-    shared = held.withColumn("first", first).withColumn("last", F.max("tid").over(of_key)).filter("first.tid <> last")
-    shared = common.written(shared.select("key", "tid", "n", F.col("first.tid").alias("rep"), F.col("first.n").alias("m")), "shared", "size")
-
-    def enough(met: DataFrame) -> DataFrame:
-        """The pairs (a, b), of n and m shingles, that share as many first shingles as near duplicates do at least."""
-        met = met.filter(F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-6)
-        rest = F.greatest(F.ceil(F.lit(least) * F.col("n") - 1e-9), F.ceil(F.lit(least) * F.col("m") - 1e-9)) - 1
-        need = F.lit(least / (1 + least)) * (F.col("n") + F.col("m")) - 1e-6
-        return met.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= need - rest).select("a", "b")
-
-    pairs = enough(shared.filter("tid <> rep").select(F.col("rep").alias("a"), F.col("tid").alias("b"), "n", "m"))
-    checked = alike = None
+    shared = common.written(_prefixes(texts, keys, counts, least), "shared", "size")
+
+    # of all that two near duplicates share, the first comes so early in both that enough can follow
+    early = F.expr(f"label <> label2 and least(n - pos, n2 - pos2) >= {least / (1 + least)} * (n + n2) - 1e-6")
+    other = [F.col("tid").alias("tid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("label").alias("label2")]
+    checked = common.written(_by_fingerprint(texts), "pairs")
+    alike = _alike(checked, texts, least)
     last, turn = False, 0
-    while True:
-        pairs = common.written(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        found = _alike(pairs, rows, least)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        alike = found if alike is None else alike.unionByName(found)
-        if last:
-            return components(alike).select(F.col("node").alias("tid"), "label")
+    while not last:
         turn += 1
         labels = common.written(components(alike).select(F.col("node").alias("tid"), "label"), "labels")
-        named = shared.select("key", "tid", "n").distinct().join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+        named = shared.join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid"))
         named = named.withColumn("least", F.min("label").over(of_key)).withColumn("most", F.max("label").over(of_key)).filter("least <> most")
-        named = common.written(named.select("key", "tid", "n", "label"), "apart", "size")
-        of = named.groupBy("key").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()
+        named = common.written(named.select("key", "tid", "n", "pos", "label"), "apart", "size")
+        met_rows, met_pairs = named.groupBy("key").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0))).first()
+        if not met_rows:
+            break
         # another star saves pairs if there are many, and if the last one had a good part of the rows and linked a good part of its own
-        tried = pairs.count()
-        last = of[1] <= STAR_PAIRS * of[0] or 200 * tried < of[0] or 8 * found.count() < tried
+        last = met_pairs <= STAR_PAIRS * met_rows or (turn > 1 and (200 * tried < met_rows or 8 * linked_now < tried))
         if last:
-            met = named.join(named.select("key", F.col("tid").alias("tid2"), F.col("n").alias("n2"), F.col("label").alias("label2")), "key").filter("tid < tid2")
+            # a pair that met at one of the last few keys before isn't made again
+            lately = F.collect_list("key").over(Window.partitionBy("tid").orderBy("pos").rowsBetween(-LATELY, -1))
+            named = common.written(named.withColumn("lately", lately), "apart", "size")
+            met = named.join(named.select("key", F.col("lately").alias("lately2"), *other), "key")
+            met = met.filter(early & (F.col("tid") < F.col("tid2")) & ~F.arrays_overlap("lately", "lately2"))
         else:
-            pivot = F.min(F.struct(F.xxhash64("tid", F.lit(turn)).alias("at"), F.col("tid").alias("tid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))).over(of_key)
-            met = named.withColumn("pivot", pivot).select("tid", "n", "label", "pivot.*")
-        down = F.col("tid") < F.col("tid2")
-        met = met.filter("label <> label2").select(
-            F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b"), F.when(down, F.col("n")).otherwise(F.col("n2")).alias("n"), F.when(down, F.col("n2")).otherwise(F.col("n")).alias("m")
-        )
-        pairs = enough(met)
+            # first the one with fewest shingles of its own, which most others are likest to; then any
+            pivot = F.min(F.struct((F.col("pos") if turn == 1 else F.lit(0)).alias("own"), F.xxhash64("tid", F.lit(turn)).alias("at"), *other)).over(of_key)
+            met = named.withColumn("pivot", pivot).select("tid", "n", "pos", "label", "pivot.*").filter(early)
+        pairs = met.select(F.least("tid", "tid2").alias("a"), F.greatest("tid", "tid2").alias("b")).distinct()
+        pairs = common.written(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs.count()
+        found = _alike(pairs, texts, least)
+        linked_now = found.count()
+        checked, alike = checked.unionByName(pairs), alike.unionByName(found)
+        shared = named.drop("label")  # what is one group by now stays one
+    return components(alike).select(F.col("node").alias("tid"), "label")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -145,13 +145,76 @@ def test_block_edits_and_appended_text_are_found(spark):
     assert sorted(r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect()) == want
 
 
-def test_first_shingles_meet_in_any_order():
-    rng = np.random.default_rng(17)
-    for _ in range(300):
-        n, m, both = (int(x) for x in rng.integers(1, 60, 3))
-        pool = rng.integers(0, 2**63, n + m + both).astype(np.uint64)
-        a, b = np.unique(pool[: n + both]), np.unique(pool[n:])
-        keys = np.unique(rng.choice(pool, 20))
-        counts = rng.integers(2, 9, len(keys))
-        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
-            assert len(np.intersect1d(simhash.prefix(a, keys, counts, 0.8), simhash.prefix(b, keys, counts, 0.8)))
+def test_a_text_left_out_has_no_near_duplicate():
+    """The claim of ``reach``, in any order of the shingles."""
+    rng, near = np.random.default_rng(17), 0
+    for _ in range(3000):
+        both = int(rng.integers(1, 80))
+        pool = np.unique(rng.integers(0, 2**62, both + 30).astype(np.uint64))
+        rng.shuffle(pool)
+        i, j = (int(x) for x in rng.integers(0, 16, 2))
+        a, b = np.sort(pool[: both + i]), np.sort(np.concatenate((pool[:both], pool[both + i : both + i + j])))
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        near += 1
+        (own, looked), (_, other) = simhash.reach(len(a), 0.8), simhash.reach(len(b), 0.8)
+        alone = ~np.isin(a[:looked], b[:other])
+        assert alone[:own].sum() < simhash.prefix_size(len(a), 0.8)
+    assert near > 300
+
+
+def test_permutations_hide_no_pair(spark):
+    """Twenty orders of one set of words, and five pairs at 0.966: one of each pair stays, and all others."""
+    rng = np.random.default_rng(23)
+    words = [f"w{i}" for i in range(300)]
+    rows = [" ".join(words[i] for i in rng.permutation(300)) for _ in range(20)]
+    for _ in range(5):
+        one = [words[i] for i in rng.permutation(300)]
+        rows += [" ".join(one), " ".join([*one[:-1], one[0]])]
+    kept = sorted(r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect())
+    assert len(kept) == 25 and kept == near_by_all_pairs(rows)
+
+
+def test_recall_in_each_band(spark):
+    """Of pairs by similarity, from 0.8 on, none is missed, whatever was changed."""
+    rng = np.random.default_rng(29)
+    rows, bands = [], [0, 0, 0, 0]
+    for k in range(120):
+        a = [f"x{rng.integers(0, 5000)}" for _ in range(int(rng.integers(60, 400)))]
+        b, n = list(a), int(rng.integers(1, len(a) // 5 + 2))
+        at = int(rng.integers(0, len(a) - n))
+        if k % 3 == 0:
+            b[at : at + n] = [f"y{rng.integers(0, 5000)}" for _ in range(n)]  # a block
+        elif k % 3 == 1:
+            b += [f"z{rng.integers(0, 5000)}" for _ in range(n)]  # appended
+        else:
+            for i in rng.choice(len(a), max(1, n // 5), replace=False):
+                b[i] = "other"  # scattered
+        rows += [" ".join(a), " ".join(b)]
+        j = simhash.similarity(rows[-2].encode(), rows[-1].encode())
+        bands[0 if j < 0.8 else 1 if j < 0.85 else 2 if j < 0.9 else 3] += 1
+    assert min(bands) >= 5
+    kept = {r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect()}
+    for k in range(120):
+        near = simhash.similarity(rows[2 * k].encode(), rows[2 * k + 1].encode()) >= 0.8
+        assert ((2 * k + 1) in kept) != near and 2 * k in kept
+
+
+def test_texts_of_nothing_but_common_passages(spark, monkeypatch):
+    """Where all shingles are listed as frequent, the order is theirs, and still no pair is missed."""
+    rng = np.random.default_rng(31)
+    passages = [" ".join(f"p{k}_{i}" for i in range(14)) for k in range(24)]
+    rows = []
+    for _ in range(40):
+        a = [passages[i] for i in rng.permutation(24)[: int(rng.integers(8, 20))]]
+        b = list(a)
+        if rng.random() < 0.7:
+            b.insert(int(rng.integers(0, len(b))), "x y z")
+        else:
+            b.pop()
+        rows += [" ".join(a), " ".join(b)]
+    rows = list(dict.fromkeys(rows))
+    want = near_by_all_pairs(rows)
+    for listed in (1 << 18, 100, 0):
+        monkeypatch.setattr(simhash, "ORDER_SHINGLES", listed)
+        assert sorted(r.doc_id // 3 for r in simhash.deduplicated(documents(spark, rows)).collect()) == want
