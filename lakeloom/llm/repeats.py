@@ -20,8 +20,10 @@ offset, so only suffixes at anchors, about one in 77 bytes, are ever compared.
    contexts that now agree collapse, and so on; at one offset the core is the window.
 
 Cases: null and empty texts have 0 bytes; texts under LENGTH bytes lose nothing;
-repeated rows are documents of their own, so each is the other's copy; an empty table
-gives an empty table.
+repeated rows are documents of their own, so each is the other's copy, and stand for a
+context once; ties of anchors go to the first; a very long text is cut into parts of
+BUFFER bytes with margins, and what goes of it is a list of runs, never a mask; an empty
+table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ REACH = LENGTH - K  # how far before its anchor a window may start
 GROUP = 50_000
 #: Bytes of text hashed at once, contexts sorted at once.
 BUFFER, SORTED = 1 << 20, 40_000
+#: Low bits of an anchor's hash that give way to its place, the same in any batch (a batch has under twice BUFFER bytes).
+PLACE = 22
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -87,7 +91,7 @@ def _anchors(segments, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(number[data] * powers[:n], out=sums[1:])
     grams = common.mix64((sums[K:] - sums[:-K]) * back[: n - K + 1])
-    bits = np.uint64(n.bit_length())
+    bits = np.uint64(PLACE)  # not by the batch's size: equal windows have equal anchors whatever is around them
     least = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
     width, reach = 1, REACH + 1
     while 2 * width <= reach:
@@ -217,10 +221,17 @@ def resolved(contexts: DataFrame, lo: int = 0, hi: int = REACH, group: int = GRO
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, c, n, l, r): the bytes before and from the anchor, for each context that a document stands for."""
-    for batch in batches:
+    """(g, c, n, l, r): the bytes before and from the anchor, for each context that a document stands for.
+
+    Rows that repeat a document come to the same partition, where the first one serves.
+    """
+    seen: set[int] = set()
+    for batch in common.sliced(batches, "_text"):
         g, c, n, left, right = [], [], [], [], []
-        for text, wanted in zip(common.blobs(batch.column("_text")), batch.column("wanted").to_pylist(), strict=True):
+        for doc, text, wanted in zip(batch.column("_doc").to_pylist(), common.blobs(batch.column("_text")), batch.column("wanted").to_pylist(), strict=True):
+            if doc in seen:
+                continue
+            seen.add(doc)
             for w in wanted:
                 p = w["pos"]
                 g.append(w["h"])
@@ -246,11 +257,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     often = common.written(every.groupBy("h").count().filter("count > 1").select("h"), "often", "size")
     shared = common.written(every.join(often, "h", "left_semi"), "anchors", "size")
     contexts = common.written(shared.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("at")), "contexts")
-    several = contexts.groupBy("h").count().filter("count > 1").select("h")
+    several = common.written(contexts.groupBy("h").count().filter("count > 1").select("h"), "several")  # as above
     wanted = contexts.join(several, "h", "left_semi").groupBy(F.col("at.doc").alias("_doc")).agg(F.collect_list(F.struct("h", "c", "n", F.col("at.pos").alias("pos"))).alias("wanted"))
     # the texts are the large side of both joins: they stream past a hash table of the other, without a sort
     once = rows.select("_doc", "_text").join(wanted.hint("shuffle_hash"), "_doc").mapInArrow(common.task("repeats", _cut_contexts), "g long, c long, n long, l binary, r binary")
-    once = once.dropDuplicates(["g", "c"]) if group < GROUP else once  # rows that repeat stand for a context twice
     found = common.written(resolved(once, group=group), "repeats")
     whole = contexts.filter("n > 1").select("h", "c", F.lit(None).cast("long").alias("far"), F.lit(None).cast("long").alias("near"))
     part = found.select(F.col("g").alias("h"), "c", "far", "near").join(whole.select("h", "c"), ["h", "c"], "left_anti")
@@ -259,16 +269,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     return spans
 
 
-def removed(text: bytes, spans) -> np.ndarray:
-    """Which bytes of a text go."""
-    edge = np.zeros(len(text) + 1, np.int64)
-    for s in spans or ():
-        far, near = s["far"], s["near"]
-        a = s["pos"] - (min(s["pos"], REACH) if far is None else far)
-        b = min(len(text), s["pos"] + LENGTH) if near is None else s["pos"] + LENGTH - near
-        edge[a] += 1
-        edge[b] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def removed(size: int, spans) -> list[tuple[int, int]]:
+    """The maximal runs (from, to) of a text's bytes that go."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(
+        (s["pos"] - (min(s["pos"], REACH) if s["far"] is None else s["far"]), min(size, s["pos"] + LENGTH) if s["near"] is None else s["pos"] + LENGTH - s["near"]) for s in spans or ()
+    ):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    """What stays of a text."""
+    edges = [0, *(x for run in runs for x in run), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if runs else text
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFrame:
@@ -280,15 +297,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, ``kept`` (binary: what stays may cut a character) and ``spans`` (removed runs as from, to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, runs = [], []
-            for text, spans in zip(common.blobs(batch.column("_text")), batch.column("spans").to_pylist(), strict=True):
-                gone = removed(text, spans)
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))).reshape(-1, 2)
-                runs.append([{"from": a, "to": b} for a, b in edges.tolist()])
+        for batch in common.sliced(batches, "_text"):
+            texts = common.blobs(batch.column("_text"))
+            gone = [removed(len(t), x) for t, x in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            left = [kept(t, x) for t, x in zip(texts, gone, strict=True)]
+            runs = [[{"from": a, "to": b} for a, b in x] for x in gone]
             kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(kept, pa.binary()), pa.array(runs, kind)], ["doc_id", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(left, pa.binary()), pa.array(runs, kind)], ["doc_id", "kept", "spans"])
 
     return _joined(docs, id_col, text_col, group).mapInArrow(common.task("repeats", run), "doc_id long, kept binary, spans array<struct<from:long,to:long>>")
 
@@ -297,19 +312,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches, "_text"):
             size, lost, runs, sha = [], [], [], []
             for text, spans in zip(common.blobs(batch.column("_text")), batch.column("spans").to_pylist(), strict=True):
+                gone = removed(len(text), spans)
                 size.append(len(text))
-                if not spans:
-                    lost.append(0)
-                    runs.append(0)
-                    sha.append(hashlib.sha256(text).hexdigest())
-                    continue
-                gone = removed(text, spans)
-                lost.append(int(gone.sum()))
-                runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                sha.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest())
+                lost.append(sum(b - a for a, b in gone))
+                runs.append(len(gone))
+                sha.append(hashlib.sha256(kept(text, gone)).hexdigest())
             ints = [pa.array(x, pa.int64()) for x in (size, lost, runs)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *ints, pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 

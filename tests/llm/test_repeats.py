@@ -53,6 +53,34 @@ def test_odd_documents(spark, monkeypatch):
     assert repeats.digests(docs.limit(0)).count() == 0
 
 
+def test_text_of_many_megabytes(spark):
+    rng = random.Random(6)
+    noise = rng.randbytes(6_000_000).hex()
+    passage = noise[:5000]
+    long = noise[5000:] + passage
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.digests(spark.createDataFrame([(1, long), (2, passage + "z" * 150), (3, long[:100])], "doc_id long, text string")).collect()}
+    assert got == {1: (len(long), 5000, 1), 2: (5150, 5000, 1), 3: (100, 0, 0)}
+
+
+def test_many_rows_of_one_document(spark):
+    """They stand for their contexts once, and all lose what repeats."""
+    docs = documents(spark, passages()[:30])
+    rows = docs.unionByName(docs.filter("doc_id < 30")).unionByName(docs.filter("doc_id < 30"))
+    for group in (repeats.GROUP, 5):
+        assert Counter(map(tuple, repeats.digests(rows, group=group).collect())) == brute(plain(rows))
+
+
+def test_anchors_do_not_depend_on_the_batch():
+    rng = random.Random(7)
+    text = "".join(rng.choice("ab") for _ in range(3000)).encode()  # hashes agree in their first bits now and then
+    import numpy as np
+
+    one = repeats._anchors(next(repeats._segments([text])), np.array([len(text)]))[1]
+    many = [rng.randbytes(150_000).hex().encode() for _ in range(3)]
+    both = repeats._anchors(next(repeats._segments([*many, text])), np.array([len(x) for x in [*many, text]]))
+    assert both[1][both[0] == 3].tolist() == one.tolist()
+
+
 def test_spans_and_bytes(spark):
     docs = documents(spark, ["q" + "0123456789" * 25 + "XY"[i] * 5 for i in range(2)])
     got = {r.doc_id: (bytes(r.kept), [tuple(s) for s in r.spans]) for r in repeats.deduplicated(docs).collect()}
