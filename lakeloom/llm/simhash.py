@@ -8,13 +8,17 @@ differ in e1 and e2 bits of the blocks, e1 + e2 <= 2, lie in each block within
 covering radius plus its share of the threshold (about 61), and every anchor
 compares those at home with all that were sent to it.  No pair is missed.
 
+An anchor at home to more than ``HOMES`` fingerprints is split by them over several tasks.
+
 Equal fingerprints are one class from the start.  An anchor returns a spanning
 forest of its links, never all pairs, so a cluster of near copies costs rows in
 proportion to its size.  Components follow by distributed star contraction.
 
 Cases: null and empty texts have fingerprint zero, linked like any other; ties
 between bits (exactly half) are 0; repeated rows share a class; a null doc_id
-keeps its row and counts as larger than any other id in a component.
+keeps its row and counts as larger than any other id in a component; a very long
+text's shingles are hashed at once, some 100 bytes a word; an empty table gives an
+empty table; other columns, whatever their names, only pass by.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ BITS, GENERATOR = 23, 0b110001110101
 MASK = (1 << BITS) - 1
 #: Rows of home and visitors from which on a large anchor is searched by bit flips.
 LARGE = 1 << 26
+#: Fingerprints at home at one anchor in one task; an anchor with more is split, each part with all visitors.
+HOMES = 1 << 18
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -140,13 +146,33 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, (a >> 11) << 12 | b >> 11, (i == 0) & (j == 0)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    code = golay()
     for batch in batches:
-        fps = batch.column("fp").to_numpy()
-        for at in range(0, len(fps), 4096):
-            part = fps[at : at + 4096]
-            rows, anchor, home = anchors(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[rows]), pa.array(home)], ["anchor", "fp", "home"])
+        fps = batch.column("fp").to_numpy().view(np.uint64)
+        nearest = [words ^ code.patterns[code.start[code.syndromes(words)]] for words in ((fps & np.uint64(MASK)).astype(np.int64), (fps >> np.uint64(BITS) & np.uint64(MASK)).astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array((nearest[0] >> 11) << 12 | nearest[1] >> 11)], ["anchor"])
+
+
+def _replicate(hot: np.ndarray, parts: np.ndarray):
+    """Replicas of the fingerprints; at a ``hot`` anchor each is at home in one of its ``parts``, and a visitor in the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            for at in range(0, len(fps), 4096):
+                chunk = fps[at : at + 4096]
+                rows, anchor, home = anchors(chunk.view(np.uint64))
+                part = np.zeros(len(rows), np.int64)
+                if len(hot):
+                    i = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+                    number = np.where(hot[i] == anchor, parts[i], 1)
+                    copy, part = _ramp(number)
+                    own = (common.mix64(chunk[rows].view(np.uint64)) % number.astype(np.uint64)).astype(np.int64)
+                    rows, anchor, home = rows[copy], anchor[copy], home[copy] & (part == own[copy])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part), pa.array(chunk[rows]), pa.array(home)], ["anchor", "part", "fp", "home"])
+
+    return run
 
 
 def _forest_dense(homes: np.ndarray, members: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -236,7 +262,7 @@ def _link(threshold: int, large: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, f, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            a, f, h = batch.column(0).to_numpy() << 32 | batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False)
             cut = int(np.searchsorted(a, a[-1]))  # the last anchor may go on
             if cut or (kept and kept[-1][0][-1] != a[0]):
                 kept.append((a[:cut], f[:cut], h[:cut]))
@@ -256,8 +282,11 @@ def linked(classes: DataFrame, threshold: int = THRESHOLD, large: int = LARGE) -
     """
     if threshold > THRESHOLD:
         raise ValueError(f"the replicas cover up to {THRESHOLD} bits of difference")
-    sent = classes.select("fp").mapInArrow(common.task("simhash", _replicate), "anchor long, fp long, home boolean")
-    return sent.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(common.task("simhash", _link(threshold, large)), "u long, v long")
+    homes = classes.select("fp").mapInArrow(common.task("simhash", _homes), "anchor long").groupBy("anchor").count()
+    full = homes.filter(F.col("count") > HOMES).orderBy("anchor").toArrow()  # at most all 2**24 anchors
+    hot, parts = full.column("anchor").to_numpy(), -(-full.column("count").to_numpy() // HOMES)
+    sent = classes.select("fp").mapInArrow(common.task("simhash", _replicate(hot, parts)), "anchor long, part long, fp long, home boolean")
+    return sent.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "fp").mapInArrow(common.task("simhash", _link(threshold, large)), "u long, v long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

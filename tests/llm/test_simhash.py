@@ -36,7 +36,9 @@ def reach(fps):
     return [find(i) for i in range(len(fps))]
 
 
-def test_brute_force(spark):
+@pytest.mark.parametrize("homes", [simhash.HOMES, 2])
+def test_brute_force(spark, monkeypatch, homes):
+    monkeypatch.setattr(simhash, "HOMES", homes)  # 2: nearly all anchors with neighbours are split
     docs = documents(spark)
     rows = sorted(plain(docs), key=lambda r: (r[0] is None, r[0] or 0))
     fps = [brute_fp(t) for _, t, _ in rows]
@@ -73,6 +75,25 @@ def test_links_span_what_all_pairs_span(large):
     assert label == reach([int(f) for f in fps])
 
 
+def test_split_anchors_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    base = int(rng.integers(0, 2**63))
+    fps = sorted({base} | {base ^ (1 << int(i)) ^ (1 << int(j)) ^ (1 << int(k)) for i, j, k in rng.integers(0, 64, (400, 3))})
+    frame = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    for homes in (simhash.HOMES, 20):
+        monkeypatch.setattr(simhash, "HOMES", homes)
+        label = {r.node % 2**64: r.label for r in components(simhash.linked(frame)).collect()}
+        got = [label.get(f, f) for f in fps]
+        want = reach(fps)
+        assert [got.index(g) for g in got] == [want.index(w) for w in want]
+
+
+def test_text_of_many_megabytes(spark):
+    text = "some words that come again and again " * 330_000
+    docs = spark.createDataFrame([(1, text), (2, text + "end")], "doc_id long, text string")
+    assert len({r.component_id for r in simhash.digests(docs).collect()}) == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 160)] + [(7, 7)]
