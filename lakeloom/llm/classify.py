@@ -2,8 +2,8 @@
 
 Training takes a bounded, deterministic sample of the labelled rows (``limit``, those
 with the least hash of doc_id).  Only ids and labels are sorted for it; the join with
-the texts broadcasts that bounded list, so no text is shuffled but the sample's own.
-One task fits the model and returns its weights; these, bounded by the number of hash
+the texts broadcasts that bounded list, so no text is shuffled but the sample's own,
+and of those at most ``limit``, repeated rows once, reach the one task that fits.  It makes the model and returns its weights; these, bounded by the number of hash
 buckets, go out with the scoring tasks.
 """
 
@@ -54,22 +54,34 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAIN_RO
     """(text, label) of at most ``limit`` labelled rows that aren't held out.
 
     Rows without a label or an id are left out; an id labelled twice counts once, by
-    its larger label; an id with several texts trains on each of them up to the limit.
+    its larger label; an id with several texts trains on each of them up to the limit,
+    on equal ones once.
     """
-    ids = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    ids = training_labels(labels, label, id_col)
     ids = ids.groupBy(F.col(id_col).cast("long").alias("_lid")).agg(F.max(F.col(label).cast("int")).alias("_label"))
     ids = ids.orderBy(F.xxhash64("_lid"), "_lid").limit(limit)
     rows = common.id_text(docs, id_col, text_col)
-    return rows.join(F.broadcast(ids), rows["_id"] == ids["_lid"]).select("_id", "_text", "_label")
+    rows = rows.join(F.broadcast(ids), rows["_id"] == ids["_lid"]).withColumn("_tid", F.xxhash64("_text"))
+    once = rows.groupBy("_id", "_tid").agg(F.first("_text").alias("_text"), F.first("_label").alias("_label"))
+    return once.orderBy(F.xxhash64("_tid", "_id"), "_tid", "_id").limit(limit).select("_id", "_text", "_label")
 
 
-def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], object], limit: int = TRAIN_ROWS):
+def training_labels(labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``labels`` that may be learned from."""
+    return labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+
+
+def share(labels: DataFrame, label: str, id_col: str = "doc_id") -> float:
+    """The mean of the labels that may be learned from; 0 without any."""
+    return float(training_labels(labels, label, id_col).agg(F.avg(F.col(label).cast("int"))).first()[0] or 0.0)
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], object]):
     """The model that ``fit`` makes of the sample, in one task; None if there are no two classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(i, t, y) for b in batches for i, t, y in zip(b.column("_id").to_pylist(), common.blobs(b.column("_text")), b.column("_label").to_pylist(), strict=True)]
         got.sort(key=lambda r: xxhash.xxh64_intdigest(r[1], r[0] & 0xFFFFFFFF))
-        got = got[:limit]
         y = np.array([r[2] for r in got], np.int64)
         model = fit([r[1] for r in got], y) if len(set(y.tolist())) == 2 else None
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])

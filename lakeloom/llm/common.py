@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 #: Java/SQL regular expression of one word; white space is these six ASCII characters only.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
+_white = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,19 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def parts(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut before white space, so that no word is torn."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        found = _white.search(text, end)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that vectors over a batch stay small."""
     for batch in batches:

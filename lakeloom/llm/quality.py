@@ -8,8 +8,11 @@ The n-grams: bytes (2 to 4), words, and one to three word shapes in a row, where
 shape tells case, digits, outer marks, and whether the word repeats the one before.
 All are hashed to ``BUCKETS`` and counted once a document.
 
-Cases: null and empty texts have no n-gram and score by the bias; without labels of
-both classes every score is the labels' mean, or 0 without any; repeats score alike.
+Cases: null and empty texts have no n-gram and score by the bias; without training
+labels of both classes every score is the training labels' mean, or 0 without any;
+repeated rows, and ties, score alike; a score at the cut counts as 1; a very long text is
+worked through in parts of ``PART`` bytes; an empty table gives an empty table; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ CUT = 0.7
 #: Every so many rows of the sample calibrate instead of training.
 CALIBRATE = 5
 _SHIFT = np.uint64(46)
+#: Bytes of a text whose n-grams are made at once.
+PART = 1 << 20
 
 
 def _shape(word: bytes) -> int:
@@ -43,26 +48,31 @@ common.remembers("classify", _codes.clear)
 
 def features(text: bytes, seen: np.ndarray) -> np.ndarray:
     """The buckets of a text, each once; ``seen`` is a scratch mask of ``BUCKETS`` that comes back clear."""
-    data = np.frombuffer(text, np.uint8).astype(np.uint64)
-    gram = data.copy()
-    for order in (2, 3, 4):
-        if len(data) < order:
-            break
-        gram = gram[:-1] << np.uint64(8) | data[order - 1 :]
-        seen[(gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order << 48)) >> _SHIFT] = True
-    words = text.split()
-    if words:
+    for at in range(0, len(text), PART):
+        data = np.frombuffer(text[at : at + PART + 3], np.uint8).astype(np.uint64)
+        gram = data.copy()
+        for order in (2, 3, 4):
+            if len(data) < order:
+                break
+            gram = gram[:-1] << np.uint64(8) | data[order - 1 :]
+            seen[(gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order << 48)) >> _SHIFT] = True
+    before: list[bytes] = []  # the last words of the part before: shapes reach over parts
+    for part in common.parts(text, PART):
+        words = before + part.split()
+        if not words:
+            continue
         codes = _codes.of(words)
         seen[common.mix64(codes) >> _SHIFT] = True
         shapes = (codes & np.uint64(127)) + np.uint64(1)
         shapes[1:] += np.uint64(128) * (codes[1:] == codes[:-1])
-        gram = shapes
+        gram = shapes = shapes[1 if len(before) == 3 else 0 :]  # the first one's own predecessor is gone
         for order in (1, 2, 3):
             if order > 1:
                 if len(shapes) < order:
                     break
                 gram = gram[:-1] << np.uint64(9) | shapes[order - 1 :]
             seen[common.mix64(gram + np.uint64(order << 40)) >> _SHIFT] = True
+        before = words[-3:]
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
@@ -141,7 +151,5 @@ class _Constant:
 
 def judged(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", limit: int = classify.TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = classify.fitted(classify.sample(docs, labels, label, limit, id_col, text_col), fit, limit)
-    if model is None:
-        model = _Constant(float(labels.agg({label: "avg"}).first()[0] or 0.0))
-    return classify.scored(docs, model.score, CUT, id_col, text_col)
+    model = classify.fitted(classify.sample(docs, labels, label, limit, id_col, text_col), fit)
+    return classify.scored(docs, (model or _Constant(classify.share(labels, label, id_col))).score, CUT, id_col, text_col)

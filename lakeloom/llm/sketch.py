@@ -1,21 +1,18 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
 A sketch keeps every distinct shingle hash below a fixed fraction ``1 / SCALE`` of
-the hash range, whatever the document's length, so sketches merge by union and give
-containment between very unequal documents.  So that a short text isn't left with a
-handful of hashes, the ``FLOOR`` smallest are kept too; a union's smallest hashes
-are among its parts' smallest, so merging stays exact.
-
-Two sketches are compared below the lower of the hash values up to which each is
-complete: the threshold, or the largest hash of a longer floor, or no limit at all
-for a text with at most FLOOR shingles.
+the hash range, and nothing else, whatever the document's length, so sketches merge by
+union and give containment between very unequal documents.
 
 Shingles are five lower-cased words; a text of one to four words is one shingle.
 Hashes are XXH64 over the words' XXH64, shifted to 63 bits.
 
-Cases: null and empty texts have an empty sketch, alike to one another (1.0) and to
-nothing else (0.0); repeated rows, and ids that repeat, follow one another by text;
-null ids come first; the last document's next is the first, its own if it is alone.
+Cases: null and empty texts have an empty sketch; two empty sketches, which short texts
+may have too, are evidence of nothing (0.0) unless the texts are equal (1.0, as equal
+texts always are); repeated rows, and ties of ids, follow one another by text; null ids
+come first; the last document's next is the first, its own if it is alone; a very long
+text is one array of hashes, 8 bytes a word; an empty table gives an empty table; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, SCALE, FLOOR = 5, 16, 64
+SHINGLE, SCALE = 5, 4
 LIMIT = (1 << 63) // SCALE
 #: Documents of a range that one window walks in order, and how many ranges there are at most (their bounds are in the plan).
 RANGE_ROWS, MAX_RANGES = 2_000, 100_000
@@ -39,7 +36,7 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def sketch(text: Column, shingle: int = SHINGLE, limit: int = LIMIT, floor: int = FLOOR) -> Column:
+def sketch(text: Column, shingle: int = SHINGLE, limit: int = LIMIT) -> Column:
     """Sorted array of the kept hashes of a text (not null)."""
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
@@ -50,48 +47,34 @@ def sketch(text: Column, shingle: int = SHINGLE, limit: int = LIMIT, floor: int
         short = F.when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<long>"))
         return F.when(n > 0, long).otherwise(short)
 
-    every = F.array_sort(F.array_distinct(F.transform(let(hashed, shingled), lambda x: F.shiftrightunsigned(x, 1))))
-    return F.filter(every, lambda x, i: (i < floor) | (x < limit))
-
-
-def complete_below(sk: Column, limit: int = LIMIT, floor: int = FLOOR) -> Column:
-    """The hash value below which a sketch has every hash of its document."""
-    kept = F.size(sk)
-    return F.when(kept < floor, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.lit(limit), F.element_at(sk, -1) + 1))
-
+    every = F.transform(let(hashed, shingled), lambda x: F.shiftrightunsigned(x, 1))
+    return F.sort_array(F.array_distinct(F.filter(every, lambda x: x < limit)))
 
-def _common_range(a: Column, b: Column, body, limit: int, floor: int) -> Column:
-    def inner(s: Column) -> Column:
-        top = F.least(complete_below(s["a"], limit, floor), complete_below(s["b"], limit, floor))
-        return let(top, lambda t: let(F.struct(F.filter(s["a"], lambda x: x < t).alias("a"), F.filter(s["b"], lambda x: x < t).alias("b")), body))
 
-    return let(F.struct(a.alias("a"), b.alias("b")), inner)
-
-
-def likeness(a: Column, b: Column, limit: int = LIMIT, floor: int = FLOOR) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two documents' shingles from their sketches."""
 
     def jaccard(s: Column) -> Column:
         both = F.size(F.array_intersect(s["a"], s["b"])).cast("double")
         union = F.size(s["a"]) + F.size(s["b"]) - both
-        return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
+        return F.when(union == 0, F.lit(0.0)).otherwise(both / union)
 
-    return F.when(a == b, F.lit(1.0)).otherwise(_common_range(a, b, jaccard, limit, floor))
+    return let(F.struct(a.alias("a"), b.alias("b")), jaccard)
 
 
-def containment(a: Column, b: Column, limit: int = LIMIT, floor: int = FLOOR) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has too."""
+def containment(a: Column, b: Column) -> Column:
+    """Estimated share of ``a``'s shingles that ``b`` has too; 0 for an empty sketch."""
 
     def share(s: Column) -> Column:
         both = F.size(F.array_intersect(s["a"], s["b"])).cast("double")
-        return F.when(F.size(s["a"]) == 0, F.lit(1.0)).otherwise(both / F.size(s["a"]))
+        return F.when(F.size(s["a"]) == 0, F.lit(0.0)).otherwise(both / F.size(s["a"]))
 
-    return _common_range(a, b, share, limit, floor)
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
-def merged(a: Column, b: Column, limit: int = LIMIT, floor: int = FLOOR) -> Column:
+def merged(a: Column, b: Column) -> Column:
     """The sketch of two documents' shingles together."""
-    return F.filter(F.array_sort(F.array_union(a, b)), lambda x, i: (i < floor) | (x < limit))
+    return F.sort_array(F.array_union(a, b))
 
 
 def encoded(sk: Column) -> Column:
@@ -164,8 +147,9 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("left(_text, length(_text) - cast(floor(length(_text) / 4) as int))"), F.substring(F.col("_next")["_text"], F.lit(1), cut))
     rows = rows.select(
-        F.col("_id").alias("doc_id"), n.cast("long").alias("n_chars"), F.col("_sketch").alias("own"), F.col("_next")["_sketch"].alias("next"), edited.alias("edited")
-    )
+        F.col("_id").alias("doc_id"), n.cast("long").alias("n_chars"), F.col("_sketch").alias("own"), F.col("_next")["_sketch"].alias("next"), edited.alias("edited"),
+        (edited == F.col("_text")).alias("unedited"), (F.col("_next")["_text"] == F.col("_text")).alias("same"),
+    )
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited")))
     return rows.select(
         "doc_id",
@@ -173,6 +157,6 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.sha2("edited", 256).alias("edited_sha256"),
         encoded(F.col("own")).alias("fingerprint"),
         encoded(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        F.when(F.col("unedited"), 1.0).otherwise(likeness(F.col("own"), F.col("edited_sketch"))).alias("near_edited"),
+        F.when(F.col("same"), 1.0).otherwise(likeness(F.col("own"), F.col("next"))).alias("near_next"),
     )

@@ -5,8 +5,11 @@ neighbours, and pairs with one word between, each hashed to one of ``BUCKETS`` a
 counted once a document.  Rates are per coordinate, L1 leaves most weights at zero,
 so the model is a short list of buckets and weights.
 
-Cases: null and empty texts score the model's bias alone; without labels of both
-classes every score is the labels' mean, or 0 without any; repeated rows score alike.
+Cases: null and empty texts score the model's bias alone; without training labels of
+both classes every score is the training labels' mean, or 0 without any; repeated rows,
+and ties, score alike; a score at the cut counts as 1; a very long text is one row of
+features, some 100 bytes a word; an empty table gives an empty table; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -92,10 +95,10 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Model:
 
 def judged(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", limit: int = classify.TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for each document."""
-    model = classify.fitted(classify.sample(docs, labels, label, limit, id_col, text_col), fit, limit) or _constant(labels, label)
+    sample = classify.sample(docs, labels, label, limit, id_col, text_col)
+    model = classify.fitted(sample, fit) or _constant(classify.share(labels, label, id_col))
     return classify.scored(docs, model.score, CUT, id_col, text_col)
 
 
-def _constant(labels: DataFrame, label: str) -> Model:
-    share = labels.agg({label: "avg"}).first()[0] or 0.0
+def _constant(share: float) -> Model:
     return Model(float(np.log(max(share, 1e-12) / max(1 - share, 1e-12))), np.zeros(0, np.int32), np.zeros(0, np.float32))
