@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +99,32 @@ def inspected(spark: SparkSession, skip: tuple[str, ...] = ("information_schema"
     return spark.createDataFrame(rows, "database string, table string, n_columns int, n_rows long")
 
 
+def current(spark: SparkSession) -> DataFrame:
+    """One row: catalog_name and schema_name that unqualified names belong to."""
+    return spark.sql("SELECT current_catalog() AS catalog_name, current_schema() AS schema_name")
+
+
+def catalogs(spark: SparkSession, pattern: str | None = None) -> DataFrame:
+    """catalog of each catalog in use."""
+    return spark.sql("SHOW CATALOGS" + (f" LIKE '{pattern}'" if pattern else ""))
+
+
+def schemas(spark: SparkSession, pattern: str | None = None) -> DataFrame:
+    """namespace of each schema of the current catalog."""
+    return spark.sql("SHOW SCHEMAS" + (f" LIKE '{pattern}'" if pattern else ""))
+
+
+@contextmanager
+def using(spark: SparkSession, schema: str):
+    """USE for a block, and back."""
+    before = spark.catalog.currentDatabase()
+    spark.sql(f"USE {schema}")
+    try:
+        yield spark
+    finally:
+        spark.sql(f"USE {before}")
+
+
 def schema_of(df: DataFrame) -> DataFrame:
     """DESCRIBE as rows: position, col_name, data_type, nullable."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]

@@ -152,3 +152,31 @@ def load_job_logs(spark: SparkSession, path: str, write=None) -> DataFrame:
 def sampled(df: DataFrame, batch: str = "batch_id", every: int = 10) -> DataFrame:
     """Only every so many batches are logged."""
     return df.filter(F.col(batch) % every == 0)
+
+
+def main(arguments: list[str] | None = None) -> int:
+    """``python -m lakeloom.operators.joblogs PATH [--table NAME] [--dry-run]``: log files into the job-log table; the number of rows."""
+    import argparse
+
+    parser = argparse.ArgumentParser(description="Loads log files into the job-log table.")
+    parser.add_argument("path")
+    parser.add_argument("--table", default="job_logs")
+    parser.add_argument("--dry-run", action="store_true", help="show the rows and write nothing")
+    given = parser.parse_args(arguments)
+    spark = SparkSession.builder.getOrCreate()
+    if given.dry_run:
+        rows = load_job_logs(spark, given.path)
+        rows.show(truncate=False, vertical=True)
+        n = rows.count()
+    else:
+        from ..sources.sinks import insert
+
+        figures: dict = {}
+        load_job_logs(spark, given.path, lambda rows: figures.update(insert(rows, given.table)))
+        n = figures["total_records"]
+    print(f"{n} rows of {given.path} {'would go' if given.dry_run else 'went'} to {given.table}")
+    return n
+
+
+if __name__ == "__main__":
+    main()

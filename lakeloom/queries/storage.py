@@ -37,30 +37,32 @@ def database(t: Tables) -> str:
     return name
 
 
-_NATION = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation"
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
-@query(_NATION)
+@query(_ORDERS)
 def k6_parquet(t: Tables):
-    return t.spark.read.parquet(sinks.save(t.nation, scratch(t)))
+    return t.spark.read.parquet(sinks.save(t.orders.select(ORDER_COLUMNS), scratch(t)))
 
 
-@query(_NATION)
+@query(_ORDERS)
 def k7_csv(t: Tables):
-    path = sinks.save(t.nation, scratch(t), "csv", header=True)
-    return t.spark.read.schema(t.nation.schema).option("header", True).csv(path)
+    rows = t.orders.select(ORDER_COLUMNS)
+    return t.spark.read.schema(rows.schema).option("header", True).csv(sinks.save(rows, scratch(t), "csv", header=True))
 
 
-@query(_NATION)
+@query(_ORDERS)
 def k7_json(t: Tables):
-    return t.spark.read.schema(t.nation.schema).json(sinks.save(t.nation, scratch(t), "json"))
+    rows = t.orders.select(ORDER_COLUMNS)
+    return t.spark.read.schema(rows.schema).json(sinks.save(rows, scratch(t), "json"))
 
 
-@query("SELECT n_regionkey::BIGINT AS n_regionkey, count(*) AS n FROM nation WHERE n_regionkey = 2 GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
 def k8_partitioned(t: Tables):
     """Only the partition asked for is read."""
-    rows = t.spark.read.parquet(sinks.save(t.nation, scratch(t), by=["n_regionkey"]))
-    return rows.filter("n_regionkey = 2").groupBy("n_regionkey").agg(F.count(lit(1)).alias("n"))
+    rows = t.spark.read.parquet(sinks.save(t.orders.select(ORDER_COLUMNS), scratch(t), by=["o_orderstatus"]))
+    return rows.filter("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count(lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
 
 
 @query("SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation UNION ALL SELECT 'NEW', 1")
@@ -73,27 +75,30 @@ def k9_insert_values(t: Tables):
     return t.spark.table(f"{db}.x")
 
 
-@query("SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 'ONLY', 3")
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '3-MEDIUM' UNION ALL SELECT -1, '3-MEDIUM'")
 def k2_dynamic_overwrite(t: Tables):
     db = database(t)
-    sinks.replace_table(t.nation.select("n_name", "n_regionkey"), f"{db}.x", by=["n_regionkey"])
-    sinks.insert(t.spark.sql("SELECT 'ONLY' AS n_name, 3 AS n_regionkey"), f"{db}.x", sinks.Write.OVERWRITE)
+    sinks.replace_table(t.orders.select("o_orderkey", "o_orderpriority"), f"{db}.x", by=["o_orderpriority"])
+    sinks.insert(t.spark.sql("SELECT -1L AS o_orderkey, '3-MEDIUM' AS o_orderpriority"), f"{db}.x", sinks.Write.OVERWRITE)
     return t.spark.table(f"{db}.x")
 
 
-@query(f"{_NATION} UNION ALL {_NATION}")
+@query(f"{_ORDERS} UNION ALL {_ORDERS}")
 def k3_append(t: Tables):
     db = database(t)
-    sinks.replace_table(t.nation, f"{db}.x")
-    sinks.insert(t.nation, f"{db}.x")
+    sinks.replace_table(t.orders.select(ORDER_COLUMNS), f"{db}.x")
+    sinks.insert(t.orders.select(ORDER_COLUMNS), f"{db}.x")
     return t.spark.table(f"{db}.x")
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey >= 20 THEN 'upd' ELSE n_name END AS n_name FROM nation UNION ALL SELECT 25, 'upd' UNION ALL SELECT 26, 'upd'")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'upd' ELSE o_orderpriority END AS o_orderpriority FROM orders
+UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey > 0""")
 def k4_merge(t: Tables):
+    """All urgent orders are updated, and as many are new."""
     table = VersionedTable(t.spark, scratch(t))
-    table.overwrite(t.nation.select("n_nationkey", "n_name"))
-    table.merge(t.spark.range(20, 27).select(c("id").cast("int").alias("n_nationkey"), lit("upd").alias("n_name")), ["n_nationkey"])
+    table.overwrite(t.orders.select("o_orderkey", "o_orderpriority"))
+    changed = t.orders.filter("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    table.merge(changed.withColumn("o_orderpriority", lit("upd")).union(changed.filter("o_orderkey > 0").select(-c("o_orderkey"), lit("new"))), ["o_orderkey"])
     return table.read()
 
 
@@ -216,6 +221,30 @@ def i4_content_rows(t: Tables):
     return ingest.content_rows(rows, "job").select("document_id", "text_length")
 
 
+@query("""SELECT 'd' || n_nationkey AS document_id, 'type' || n_regionkey AS document_type, 'Text of ' || n_name AS raw_text, length('Text of ' || n_name) AS text_length,
+CASE n_regionkey WHEN 1 THEN 'fr' ELSE 'en' END AS language, n_nationkey::BIGINT AS file_size FROM nation""")
+def i8_document_pipelines(t: Tables):
+    """Texts and their metadata from files, by path rules, into two tables, joined by document; each file is a document."""
+    db, root = database(t), scratch(t)
+    catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
+    language = F.when(c("n_regionkey") == 1, "fr")
+    made = t.nation.select(
+        F.concat(lit("type"), "n_regionkey").alias("kind"), F.concat(lit("d"), "n_nationkey").alias("name"), F.concat(lit("Text of "), "n_name").alias("text"),
+        F.to_json(F.struct(language.alias("language"), c("n_nationkey").alias("file_size"))).alias("meta"),
+    )
+    jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
+    for r in made.collect():  # one small file a document, as such sources are
+        for end, value in (("txt", r.text), ("json", r.meta)):
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/20240131/{r.kind}/{r.name}.{end}")
+            out = path.getFileSystem(conf).create(path, False)
+            out.write(bytearray(value.encode()))
+            out.close()
+    ingest.run(t.spark, ingest.document_contents(db), f"{root}/*/*/*.txt", "job")
+    ingest.run(t.spark, ingest.document_metadata(db), f"{root}/*/*/*.json", "job")
+    meta = t.spark.table(f"{db}.docs_metadata").select("document_id", "document_type", "language", "file_size")
+    return t.spark.table(f"{db}.docs").select("document_id", "document_type", "raw_text", "text_length").join(meta, ["document_id", "document_type"])
+
+
 def _by_ranges(t: Tables, ranges: list[tuple[int, int]]) -> DataFrame:
     """One run for each range; a range that comes again replaces its rows."""
     from ..plans import models

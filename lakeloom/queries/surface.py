@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..functions import rates
+from ..functions import rates, registered
 from ..operators import aggregates as agg
 from ..operators import contracts
 from ..sources import files, sinks
@@ -127,6 +127,33 @@ def f21_success_rate(t: Tables):
     return t.events.groupBy("user_id").agg(rates.success_rate(F.count_if(c("event_type") == "click"), count(lit(1))).alias("rate"))
 
 
+@query("SELECT 'spark_catalog' AS catalog_name, 'default' AS schema_name")
+def f19_current(t: Tables):
+    return catalog.current(t.spark)
+
+
+@query("SELECT 'catalogs' AS what, 1::BIGINT AS n UNION ALL SELECT 'schemas', 1 UNION ALL SELECT 'used', 1")
+def d14_namespaces(t: Tables):
+    db = database(t)
+    with catalog.using(t.spark, db):
+        used = catalog.current(t.spark).filter(c("schema_name") == db).cache()
+        n_used = used.count()
+    rows = [("catalogs", catalog.catalogs(t.spark, "spark_catalog").count()), ("schemas", catalog.schemas(t.spark, db).count()), ("used", n_used)]
+    return t.spark.createDataFrame(rows, "what string, n long")
+
+
+@query("SELECT user_id, median(value) AS middle FROM events GROUP BY user_id")
+def g7_user_aggregate(t: Tables):
+    registered.register(t.spark)
+    return t.view("events").sql("SELECT user_id, middle(value) AS middle FROM events GROUP BY user_id")
+
+
+@query("""SELECT doc_id, k AS chunk_index, substr(text, k * 150 + 1, 200) AS chunk_text FROM documents, unnest(range(CASE WHEN text = '' THEN 0 ELSE greatest(1, CAST(ceil((length(text) - 50) / 150.0) AS BIGINT)) END)) u(k)""")
+def g7_table_function(t: Tables):
+    registered.register(t.spark)
+    return t.view("documents").sql("SELECT doc_id, c.chunk_index, c.chunk_text FROM documents, LATERAL char_chunks(text, 200, 50) c")
+
+
 @query()
 def f23_job_ids(t: Tables):
     return t.region.select(rates.job_id("job").alias("job_id"))

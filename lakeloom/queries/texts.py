@@ -27,6 +27,15 @@ def c2_token_windows(t: Tables):
     return ch.exploded(t.documents, "doc_id", ch.token_windows(c("text"))).select("doc_id", "chunk_index", "chunk_text")
 
 
+@query(_WINDOWS)
+def c4_sql_chunkers(t: Tables):
+    """The chunkers as SQL functions."""
+    from ..functions import registered
+
+    registered.register(t.spark)
+    return t.view("documents").sql("SELECT doc_id, posexplode(w) AS (chunk_index, chunk_text) FROM (SELECT doc_id, token_windows(text, 100, 20) AS w FROM documents)")
+
+
 @query()
 def c3_sentence_chunks(t: Tables):
     return ch.exploded(t.documents, "doc_id", ch.sentence_chunks(c("text")))

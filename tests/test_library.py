@@ -350,3 +350,47 @@ def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
     with physical.settings(spark, spark__sql__files__maxPartitionBytes=4000, spark__sql__files__openCostInBytes=100):
         rows = joblogs.log_lines(spark, str(tmp_path)).collect()
     assert len(rows) == 3 * sum(bool(i % 5) for i in range(1, 3000)) and all(r.value == f"line {r.line}" for r in rows)
+
+
+def test_row_functions_are_refused(spark):
+    """Lambda predicates, RDDs and their relatives raise, with a message that says what to use."""
+    from lakeloom.operators import guards
+
+    df = spark.range(5)
+    assert guards.where(df, "id > 1", F.col("id") < 4).count() == 2
+    with pytest.raises(TypeError, match="column or SQL"):
+        guards.where(df, lambda r: r.id > 1)
+    with pytest.raises(Exception, match="NOT_COLUMN_OR_STR|condition"):
+        df.filter(lambda r: r.id > 1)
+    declared = guards.Declared(df).filter("id > 0").select((F.col("id") * 2).alias("x"))
+    assert declared.agg(F.sum("x")).first()[0] == 20 and declared.columns == ["x"]
+    for name in guards.REFUSED:
+        with pytest.raises(NotImplementedError, match=name):
+            getattr(declared, name)
+    with pytest.raises(TypeError, match="column or SQL"):
+        declared.filter(lambda r: True)
+
+
+def test_registered_functions(spark):
+    from lakeloom.functions import registered
+
+    assert set(registered.register(spark)) == {"text_tokens", "estimated_tokens", "token_windows", "middle", "char_chunks"}
+    row = spark.sql("SELECT token_windows('a b c d e', 3, 1) AS w, token_windows(NULL, 3, 1) AS n, token_windows('x', 0, 0) AS z, estimated_tokens('123456789') AS e, text_tokens('Ab_1, é!') AS t").first()
+    assert (row.w, row.n, row.z, row.e, row.t) == (["a b c", "c d e"], [], ["x"], 2, ["ab_1", "é"])
+    assert [tuple(r) for r in spark.sql("SELECT * FROM char_chunks('abcdefg', 4, 1)").collect()] == [(0, "abcd"), (1, "defg")]
+    with pytest.raises(Exception, match="overlap"):
+        spark.sql("SELECT token_windows('a b c d', 2, 2)").collect()
+
+
+def test_job_log_command_line(spark, tmp_path, capsys):
+    from lakeloom.operators import joblogs
+
+    (tmp_path / "a.log").write_text('{"operation": "x", "status": "success", "job_id": "j"}\nplain\n{"operation": "y", "job_id": "j"}\n')
+    spark.sql("CREATE DATABASE IF NOT EXISTS cli")
+    catalog.execute(spark, catalog.filled(catalog.DDL, db="cli"), stop_on_error=True)
+    try:
+        assert joblogs.main([str(tmp_path / "a.log"), "--table", "cli.job_logs", "--dry-run"]) == 2 and spark.table("cli.job_logs").count() == 0
+        assert joblogs.main([str(tmp_path / "a.log"), "--table", "cli.job_logs"]) == 2 and spark.table("cli.job_logs").count() == 2
+        assert "2 rows" in capsys.readouterr().out
+    finally:
+        spark.sql("DROP DATABASE cli CASCADE")
