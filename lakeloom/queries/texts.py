@@ -11,6 +11,10 @@ c, lit = F.col, F.lit
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 
 
+_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_S = _STRIP.format("s")
+
+
 @query(f"SELECT doc_id, len({_TOKENS}) AS n_tokens FROM documents")
 def c1_token_counts(t: Tables):
     return t.documents.select("doc_id", F.size(ch.tokens(c("text"))).alias("n_tokens"))
@@ -36,7 +40,22 @@ def c4_sql_chunkers(t: Tables):
     return t.view("documents").sql("SELECT doc_id, posexplode(w) AS (chunk_index, chunk_text) FROM (SELECT doc_id, token_windows(text, 100, 20) AS w FROM documents)")
 
 
-@query()
+def _count(x: str) -> str:
+    return f"len(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+') AS p FROM documents)),
+sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, {_S} AS s, {_count(_S)} AS k FROM raw WHERE {_S} <> ''),
+walk AS (SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS held, []::BIGINT[] AS ks, NULL::VARCHAR AS emitted, false AS last FROM (SELECT DISTINCT doc_id FROM sent)
+ UNION ALL SELECT doc_id, i + 1,
+  CASE WHEN s IS NULL THEN [] WHEN cut THEN list_append(held[len(held) - m + 1 :], s) ELSE list_append(held, s) END,
+  CASE WHEN s IS NULL THEN [] WHEN cut THEN list_append(ks[len(ks) - m + 1 :], k) ELSE list_append(ks, k) END,
+  CASE WHEN s IS NULL OR cut THEN array_to_string(held, ' ') END, s IS NULL
+ FROM (SELECT w.doc_id, w.i, w.held, w.ks, n.s, n.k, len(w.held) > 0 AND list_sum(w.ks) + n.k > 100 AS cut,
+   list_max([x for x in range(0, len(w.ks) + 1) if coalesce(list_sum(w.ks[len(w.ks) - x + 1 :]), 0) <= 20]) AS m
+  FROM walk w LEFT JOIN sent n ON n.doc_id = w.doc_id AND n.i = w.i + 1 WHERE NOT w.last))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, emitted AS chunk_text, {_count('emitted')} AS token_count FROM walk WHERE emitted IS NOT NULL
+UNION ALL SELECT doc_id, 0, text, {_count('text')} FROM documents WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM sent)""")
 def c3_sentence_chunks(t: Tables):
     return ch.exploded(t.documents, "doc_id", ch.sentence_chunks(c("text")))
 
@@ -80,7 +99,19 @@ def c9_semantic_chunks(t: Tables):
     return rows.select("doc_id", F.posexplode("chunks").alias("chunk_index", "chunk")).select("doc_id", "chunk_index", "chunk.*")
 
 
-@query()
+_TAIL = _STRIP.format("regexp_extract(right(cur, 100), '([^.!?]*[.!?])\\s*$', 1)")
+
+
+@query(f"""WITH RECURSIVE raw AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS p FROM documents)),
+part AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, {_S} AS s FROM raw WHERE {_S} <> ''),
+walk AS (SELECT doc_id, 0::BIGINT AS i, '' AS cur, NULL::VARCHAR AS emitted, false AS last FROM (SELECT DISTINCT doc_id FROM part)
+ UNION ALL SELECT doc_id, i + 1,
+  CASE WHEN s IS NULL THEN '' WHEN cur = '' THEN s WHEN cut THEN tail || chr(10) || chr(10) || s ELSE cur || chr(10) || chr(10) || s END,
+  CASE WHEN (s IS NULL OR cut) AND cur <> '' THEN cur END, s IS NULL
+ FROM (SELECT w.doc_id, w.i, cur, n.s, cur <> '' AND (length(cur) + 2 + length(n.s)) // 4 > 200 AS cut,
+   CASE WHEN length(cur) <= 100 THEN cur WHEN {_TAIL} <> '' THEN {_TAIL} ELSE string_split(right(cur, 100), chr(10))[-1] END AS tail
+  FROM walk w LEFT JOIN part n ON n.doc_id = w.doc_id AND n.i = w.i + 1 WHERE NOT w.last))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, emitted AS chunk_text, {_count('emitted')} AS token_count FROM walk WHERE emitted IS NOT NULL""")
 def c10_paragraph_chunks(t: Tables):
     return ch.exploded(t.documents, "doc_id", ch.paragraph_chunks(c("text"), 200, 100))
 
@@ -120,10 +151,6 @@ def c16_semantic_stats(t: Tables):
     return rows.groupBy("k.boundary_type", "k.chunk_strategy").agg(F.count(lit(1)).alias("n"), F.min("k.estimated_tokens").alias("least"), F.max("k.estimated_tokens").alias("most"), F.avg("k.estimated_tokens").alias("mean"))
 
 
-_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
-_S = _STRIP.format("s")
-
-
 @query(f"""WITH RECURSIVE raw AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?]+') AS p FROM documents)),
 sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i, {_S} AS s FROM raw WHERE length({_S}) > 10),
 walk AS (SELECT doc_id, 0::BIGINT AS i, '' AS cur, NULL::VARCHAR AS emitted, false AS last FROM (SELECT DISTINCT doc_id FROM sent)
