@@ -65,22 +65,34 @@ def written(df: DataFrame, name: str, deal: str | int = "few") -> DataFrame:
         df = df.repartition(deal)
     else:
         df = few_files(df) if deal == "few" else df.hint("rebalance") if deal == "size" else df
-    path = f"{scratch_root(spark).rstrip('/')}/lakeloom/{name}-{uuid.uuid4().hex}"
+    folder = f"{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark).rstrip('/')}/lakeloom/{folder}"
+    _made.add(folder)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that :func:`written` made in this process; no other is ever deleted.
+_made: set[str] = set()
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete scratch tables made by :func:`written` that nothing lazily refers to any more."""
+    """Delete scratch tables made by :func:`written` that nothing lazily refers to any more; other tables are left alone."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for frame in frames:
         for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-            if "/lakeloom/" in folder:
+            if folder.rsplit("/", 1)[-1] in _made:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more, so that executors delete their files now and not some day."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """A string or binary Arrow column as bytes; null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

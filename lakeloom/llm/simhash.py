@@ -417,7 +417,8 @@ def _suspects(rows: DataFrame, keys: np.ndarray, counts: np.ndarray, least: floa
                 room.append(spare)
                 size.append(looked)
             tid = np.repeat(np.array([tids[i] for i in new], np.int64), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(tid), pa.array(np.concatenate(room))], ["key", "_tid", "room"])
+            # 48 bits of a hash: where two agree, a text more is looked at
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(firsts) >> np.uint64(16)).view(np.int64)), pa.array(tid), pa.array(np.concatenate(room))], ["key", "_tid", "room"])
 
     of_key = Window.partitionBy("key")
     held = rows.mapInArrow(common.task("simhash", run), "key long, _tid long, room int")
@@ -512,13 +513,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = common.id_text(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("_tid"), "_text")
     keys, counts = _shingle_order(rows)
+    suspects = common.written(_suspects(rows.select("_tid", "_text"), keys, counts, least), "suspects")
+    common.released(docs.sparkSession)
     # one row of each suspect's text, found by its least id, so that copies aren't dealt to one task
-    one = rows.groupBy("_tid").agg(F.min("_id").alias("least")).join(_suspects(rows.select("_tid", "_text"), keys, counts, least), "_tid")
+    one = rows.groupBy("_tid").agg(F.min("_id").alias("least")).join(suspects, "_tid")
     one = one.select(F.col("_tid").alias("t"), "least")
     texts = rows.join(one.hint("shuffle_hash"), (rows["_tid"] == one["t"]) & rows["_id"].eqNullSafe(one["least"]), "left_semi")
     texts = common.written(texts.select("_tid", "_text").dropDuplicates(["_tid"]), "texts", "size")
     of_key = Window.partitionBy("key")
+    common.released(docs.sparkSession)
     shared = common.written(_prefixes(texts, keys, counts, least), "shared", "size")
+    common.released(docs.sparkSession)
 
     # of all that two near duplicates share, the first comes so early in both that enough can follow
     early = F.expr(f"label <> label2 and least(n - pos, n2 - pos2) >= {least / (1 + least)} * (n + n2) - 1e-6")
@@ -553,8 +558,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = _alike(pairs, texts, least)
         linked_now = found.count()
         checked, alike = checked.unionByName(pairs), alike.unionByName(found)
+        common.dropped(docs.sparkSession, shared, labels)
         shared = named.drop("label")  # what is one group by now stays one
-    return components(alike).select(F.col("node").alias("tid"), "label")
+    out = components(alike).select(F.col("node").alias("tid"), "label")
+    common.dropped(docs.sparkSession, suspects, texts, checked, alike, shared)  # the result stands on its own
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

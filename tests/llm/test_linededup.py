@@ -50,3 +50,11 @@ def test_rewritten_documents(spark):
     assert {i: r.text for i, r in got.items()} == {0: "only shared line", 6: "mine alone here"}
     assert got[6].n_chars == 15 and got[6].size == "clash"
     assert linededup.digests(docs.limit(0)).count() == 0
+
+
+def test_text_of_many_megabytes(spark):
+    lines = [f"line number {i} of a long text" for i in range(400_000)]
+    docs = spark.createDataFrame([(2, "\n".join(lines)), (1, "\n".join(lines[5::1000])), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.digests(docs).collect()}
+    assert len("\n".join(lines)) > 12_000_000 and got == {1: (400, 0), 2: (400_000, 400), 3: (1, 0)}
+    assert linededup.deduplicated(docs).filter("doc_id = 2").selectExpr("length(text) AS n").first().n == len("\n".join(x for i, x in enumerate(lines) if i % 1000 != 5))
