@@ -125,6 +125,22 @@ class QueuedJobLogger(JobLogger):
         super().close()
 
 
+def overhead_of_rows(spark, rows: int = 10_000, batches: int = 10, path: str | None = None) -> dict[str, dict[str, float]]:
+    """For each way of logging: seconds, and rows a second, of counting ``rows`` by group in so many batches, each logged."""
+    out = {}
+    for name, make in (("none", None), ("sync", JobLogger), ("queued", QueuedJobLogger)):
+        log, began = make("overhead", path) if make else None, time.perf_counter()
+        for k in range(batches):
+            counted = spark.range(k * rows // batches, (k + 1) * rows // batches).selectExpr("id % 7 AS g").groupBy("g").count().agg({"count": "sum"}).first()[0]
+            if log:
+                log.log(Operation.dataframe_operation, Status.success, {"batch": k, "rows": counted})
+        if log:
+            log.close()
+        took = time.perf_counter() - began
+        out[name] = {"seconds": took, "rows_per_second": rows / took}
+    return out
+
+
 def overhead(messages: int = 1000, path: str | None = None) -> dict[str, float]:
     """Seconds for so many messages: without logging, logged at once, queued."""
     out = {}

@@ -7,6 +7,7 @@ additionalProperties (for maps), integer-valued maps.  ``format`` isn't enforced
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,6 +114,35 @@ def known_error(code: Column) -> Column:
     return F.coalesce(code.isin(list(ERROR_CODES)), F.lit(False))
 
 
+@dataclass(frozen=True)
+class External:
+    """A table that others fill, declared by name and DDL columns; what it lacks, or has of another type, is an error."""
+
+    name: str
+    columns: str
+
+    def schema(self) -> T.StructType:
+        """Needs an active session, as parsing DDL does."""
+        return T.StructType.fromDDL(self.columns)
+
+    def problems(self, df: DataFrame) -> list[str]:
+        has = {f.name: f.dataType for f in df.schema}
+        return [
+            f"{f.name} is missing" if f.name not in has else f"{f.name} is {has[f.name].simpleString()}, not {f.dataType.simpleString()}"
+            for f in self.schema()
+            if has.get(f.name) != f.dataType
+        ]
+
+    def checked(self, df: DataFrame) -> DataFrame:
+        """The declared columns, in order; others are left out."""
+        if found := self.problems(df):
+            raise ValueError(f"{self.name}: {'; '.join(found)}")
+        return df.select(*[F.col(f"`{f.name}`") for f in self.schema()])
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self.checked(spark.table(self.name))
+
+
 class Contracts:
     """All ``*.json`` schemas of a folder by name; data files (``*_data.json``) are kept apart."""
 

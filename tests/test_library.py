@@ -394,3 +394,30 @@ def test_job_log_command_line(spark, tmp_path, capsys):
         assert "2 rows" in capsys.readouterr().out
     finally:
         spark.sql("DROP DATABASE cli CASCADE")
+
+
+def test_declared_external_table(spark):
+    spark.createDataFrame([(1, "a", 2.0)], "n long, s string, x double").createOrReplaceTempView("outside")
+    assert contracts.External("outside", "s STRING, n BIGINT").read(spark).columns == ["s", "n"]
+    wrong = contracts.External("outside", "s STRING, n INT, at TIMESTAMP")
+    assert wrong.problems(spark.table("outside")) == ["n is bigint, not int", "at is missing"]
+    with pytest.raises(ValueError, match="at is missing"):
+        wrong.read(spark)
+
+
+def test_jdbc_in_parts(spark, tmp_path):
+    """Against the database that comes with Spark's jars, in a folder of its own."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(1, 101).selectExpr("cast(id as int) as id", "concat('n', id) as name")
+    rows.write.jdbc(url, "things", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    whole = files.jdbc(spark, url, "things", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    parts = files.jdbc(spark, url, "things", "ID", (1, 100, 4), driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert whole.count() == parts.count() == 100 and parts.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, parts.collect())) == [(i, f"n{i}") for i in range(1, 101)]
+
+
+def test_logging_overhead_on_rows(spark, tmp_path):
+    from lakeloom import observe
+
+    got = observe.overhead_of_rows(spark, 1000, 3, str(tmp_path / "x.log"))
+    assert set(got) == {"none", "sync", "queued"} and all(v["rows_per_second"] > 0 for v in got.values())
