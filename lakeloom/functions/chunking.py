@@ -108,13 +108,10 @@ def char_chunks(text: Column, size: int = 512, overlap: int = 128, least: int =
 
     def pack(acc: Column, s: Column) -> Column:
         full = (F.length(acc["cur"]) + F.length(s) > size) & (acc["cur"] != "")
-        out = F.when(full, F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
-        cur = (
-            F.when(full, F.concat(F.substring(acc["cur"], F.greatest(F.length(acc["cur"]) - overlap + 1, F.lit(1)), F.lit(overlap)), F.lit(" "), s))
-            .when(acc["cur"] == "", s)
-            .otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        )
-        return F.struct(out.alias("out"), cur.alias("cur"))
+        tail = F.substring(acc["cur"], F.greatest(F.length(acc["cur"]) - overlap + 1, F.lit(1)), F.lit(overlap))
+        after = F.struct(F.concat(acc["out"], F.array(strip(acc["cur"]))).alias("out"), F.concat(tail, F.lit(" "), s).alias("cur"))
+        more = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
+        return F.when(full, after).otherwise(F.struct(acc["out"].alias("out"), more.alias("cur")))
 
     def close(acc: Column) -> Column:
         return F.when(strip(acc["cur"]) != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
@@ -173,16 +170,32 @@ KINDS = {
 }
 
 
-def kind_scores(text: Column, kinds=KINDS) -> dict[str, Column]:
-    """Weighted numbers of cues, in whole tenths so that ties are exact."""
-    return {name: sum((F.regexp_count(text, F.lit("(?i)" + c)) for c in cues[1:]), F.regexp_count(text, F.lit("(?i)" + cues[0]))) * weight for name, (weight, cues) in kinds.items()}
+def kind_scores(text: Column, kinds=KINDS) -> Column:
+    """Weighted numbers of cues by kind (a struct), in whole tenths so that ties are exact.
+
+    The words of all kinds, which never overlap, are looked for in one pass; other cues in one each.
+    """
+    words = {name: cues[0].removeprefix(r"\b(?:").removesuffix(r")\b").split("|") for name, (_, cues) in kinds.items()}
+    every = "|".join(sorted({w for ws in words.values() for w in ws}))
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{every})\b"), F.lit(0)), F.lower)
+
+    def scores(seen: Column) -> Column:
+        among = lambda own: lambda w: w.isin(own)
+        own = {name: F.size(F.filter(seen, among(words[name]))) for name in kinds}
+        rest = {name: sum((F.regexp_count(text, F.lit("(?i)" + c)) for c in cues[1:]), F.lit(0)) for name, (_, cues) in kinds.items()}
+        return F.struct(*[((own[name] + rest[name]) * weight).alias(name) for name, (weight, _) in kinds.items()])
+
+    return let(found, scores)
 
 
 def kind(text: Column, kinds=KINDS) -> Column:
     """The kind with the largest score, the first of those tied."""
-    scores = kind_scores(text, kinds)
-    best = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    return F.coalesce(*[F.when(s == best, F.lit(k)) for k, s in scores.items()])
+
+    def first(s: Column) -> Column:
+        best = F.greatest(*[s[k] for k in kinds]) if len(kinds) > 1 else s[next(iter(kinds))]
+        return F.coalesce(*[F.when(s[k] == best, F.lit(k)) for k in kinds])
+
+    return let(kind_scores(text, kinds), first)
 
 
 # --- semantic boundaries ------------------------------------------------------------------------
