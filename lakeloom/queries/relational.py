@@ -150,9 +150,11 @@ def a23_shares(t: Tables):
     return agg.shares(t.events, "event_type")
 
 
-@query()
+@query("SELECT true AS some, count(*)::BIGINT AS record_count, true AS all_counted FROM events")
 def a21_partition_counts(t: Tables):
-    return agg.partition_counts(t.events)
+    """How many partitions there are is the reader's choice; together they hold all rows, each once."""
+    counts = agg.partition_counts(t.events)
+    return counts.agg((count(lit(1)) > 0).alias("some"), F.sum("record_count").cast("long").alias("record_count"), (count(lit(1)) == F.count_distinct("partition_id")).alias("all_counted"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag)::BIGINT AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -313,9 +315,10 @@ def t4_mixed_order(t: Tables):
     return t.events.groupBy(*keys).agg(count(lit(1)).alias("n")).orderBy(F.desc("day"), "hour").limit(10)
 
 
-@query()
+@query("SELECT least(10, count(*)) AS n_rows, least(10, count(*)) AS n_events FROM events")
 def t5_limit(t: Tables):
-    return t.events.limit(10)
+    """Any ten rows: of the table, and no event twice."""
+    return t.events.limit(10).join(t.events.select("event_id"), "event_id", "left_semi").agg(count(lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_events"))
 
 
 @query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY n DESC, conv_id LIMIT 10")

@@ -154,14 +154,22 @@ def g7_table_function(t: Tables):
     return t.view("documents").sql("SELECT doc_id, c.chunk_index, c.chunk_text FROM documents, LATERAL char_chunks(text, 200, 50) c")
 
 
-@query()
+@query("SELECT r_regionkey::BIGINT AS r_regionkey, true AS formed, (SELECT count(*) FROM region) AS n_ids FROM region")
 def f23_job_ids(t: Tables):
-    return t.region.select(rates.job_id("job").alias("job_id"))
+    """Each id is new; its form is prefix, seconds, eight hex digits."""
+    from pyspark.sql import Window as W
+
+    rows = t.region.select("r_regionkey", rates.job_id("job").alias("job_id"))
+    n = F.size(F.collect_set("job_id").over(W.partitionBy()))
+    return rows.select("r_regionkey", F.col("job_id").rlike(r"^job_\d{10}_[0-9a-f]{8}$").alias("formed"), n.cast("long").alias("n_ids"))
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS n_ids, true AS placed FROM orders")
 def f18_lineage(t: Tables):
-    return agg.lineage(t.region)
+    """Ids of rows are unique, and tell the partition."""
+    rows = agg.lineage(t.orders.select("o_orderkey"))
+    placed = F.bool_and(F.shiftright("task_execution_id", 33) == F.col("spark_partition_id"))
+    return rows.agg(count(lit(1)).alias("n"), F.count_distinct("task_execution_id").alias("n_ids"), placed.alias("placed"))
 
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, (n_regionkey * 2)::BIGINT AS doubled, upper(n_name) AS upper_name FROM nation")

@@ -1,11 +1,13 @@
 """Session factory with layered settings.
 
-Layers, later ones winning: store, table format, performance, event log, explicit.
+Layers, later ones winning: store, table format, performance, event log, logging, explicit.
 A defaults file only fills what no layer has set.
 """
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from dataclasses import dataclass, field
 from enum import Enum
 from pathlib import Path
@@ -82,6 +84,17 @@ class EventLog:
         return {"spark.eventLog.enabled": "true", "spark.eventLog.dir": self.folder} if self.folder else {}
 
 
+@dataclass(frozen=True)
+class Logging:
+    """A Log4j 2 file for the driver's and the executors' own logs; a server's, over Connect, are its own affair."""
+
+    file: str | None = None
+
+    def conf(self) -> dict[str, str]:
+        option = f"-Dlog4j2.configurationFile={self.file}"
+        return {"spark.driver.extraJavaOptions": option, "spark.executor.extraJavaOptions": option} if self.file else {}
+
+
 def defaults_file(path: str) -> dict[str, str]:
     """``key value`` lines; comments and blank lines are skipped, a later line of a key wins."""
     out = {}
@@ -99,10 +112,11 @@ class Settings:
     tables: Tables = field(default_factory=Tables)
     performance: Performance = field(default_factory=Performance)
     event_log: EventLog = field(default_factory=EventLog)
+    logging: Logging = field(default_factory=Logging)
     defaults: str | None = None
 
     def resolved(self, explicit: dict[str, str] | None = None) -> dict[str, str]:
-        layers = [defaults_file(self.defaults) if self.defaults else {}, self.store.conf(), self.tables.conf(), self.performance.conf(), self.event_log.conf(), explicit or {}]
+        layers = [defaults_file(self.defaults) if self.defaults else {}, self.store.conf(), self.tables.conf(), self.performance.conf(), self.event_log.conf(), self.logging.conf(), explicit or {}]
         out: dict[str, str] = {}
         for layer in layers:
             out |= {k: str(v) for k, v in layer.items()}
@@ -119,3 +133,23 @@ def create_session(app: str, mode: str | Mode = Mode.LOCAL, master: str | None =
     else:
         builder = builder.master(master or ("local[*]" if mode is Mode.LOCAL else "spark://localhost:7077"))
     return builder.config(map=conf).getOrCreate()
+
+
+def archive(folder: str, target: str) -> str:
+    """A zip of a package folder's Python files, under the package's name; equal files give an equal archive."""
+    root = Path(folder).resolve()
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(str(Path(root.name) / path.relative_to(root))), path.read_bytes())
+    return target
+
+
+def ship(spark: SparkSession, folder: str) -> str:
+    """Send a package to where user functions run, a Connect server included; the archive's path."""
+    target = archive(folder, str(Path(tempfile.mkdtemp(prefix="lakeloom-code-")) / f"{Path(folder).resolve().name}.zip"))
+    context = getattr(spark, "_sc", None)
+    if context is not None:
+        context.addPyFile(target)
+    else:
+        spark.addArtifact(target, pyfile=True)
+    return target

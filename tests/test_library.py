@@ -421,3 +421,23 @@ def test_logging_overhead_on_rows(spark, tmp_path):
 
     got = observe.overhead_of_rows(spark, 1000, 3, str(tmp_path / "x.log"))
     assert set(got) == {"none", "sync", "queued"} and all(v["rows_per_second"] > 0 for v in got.values())
+
+
+def test_log_settings_and_shipped_code(spark, tmp_path):
+    from lakeloom.session import Logging, ship
+
+    conf = Settings(logging=Logging("file:/l.properties")).resolved()
+    assert conf["spark.driver.extraJavaOptions"] == conf["spark.executor.extraJavaOptions"] == "-Dlog4j2.configurationFile=file:/l.properties"
+    package = tmp_path / "shippedcode"
+    (package / "inner").mkdir(parents=True)
+    (package / "__init__.py").write_text("")
+    (package / "inner" / "__init__.py").write_text("def triple(x):\n    return 3 * x\n")
+    assert ship(spark, str(package)).endswith("shippedcode.zip")
+
+    @F.udf("long")
+    def use(x):
+        from shippedcode.inner import triple
+
+        return triple(x)
+
+    assert [r.y for r in spark.range(3).select(use("id").alias("y")).collect()] == [0, 3, 6]
