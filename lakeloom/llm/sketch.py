@@ -27,7 +27,7 @@ from . import common
 
 SHINGLE, SCALE = 5, 4
 LIMIT = (1 << 63) // SCALE
-#: Documents of a range that one window walks in order, and how many ranges there are at most (their bounds are in the plan).
+#: Documents of a range that one window walks in order, and how many ranges there are at most (their bounds visit the driver); of more documents ranges are larger.
 RANGE_ROWS, MAX_RANGES = 2_000, 100_000
 
 
@@ -102,10 +102,10 @@ def with_next(docs: DataFrame, extra: dict[str, Column], id_col: str = "doc_id",
     ranges = min(MAX_RANGES, max(1, math.ceil(keys.count() / RANGE_ROWS)))
     points = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(keys.agg(F.percentile_approx("_order", points, max(10_000, 10 * ranges))).first()[0] or [])) if points else []
-    firsts = dict(keys.groupBy(_range_of(F.col("_order"), bounds).alias("r")).agg(F.min("_order")).collect())
+    firsts = dict(_with_range(keys, bounds).groupBy("_range").agg(F.min("_order")).collect())
     present = sorted(firsts)
     before = {firsts[r]: present[k - 1] for k, r in enumerate(present)}  # the first's range before is the last
-    rows = rows.withColumn("_range", _range_of(F.col("_order"), bounds)).withColumns(extra)
+    rows = _with_range(rows, bounds)
     if before:
         heads = spark.createDataFrame([(k, v, v == present[-1]) for k, v in before.items()], "_head long, _to int, _wrap boolean")
         copied = F.broadcast(heads)  # one row a range
@@ -115,25 +115,29 @@ def with_next(docs: DataFrame, extra: dict[str, Column], id_col: str = "doc_id",
         )
     else:
         rows = rows.withColumn("_copy", F.lit(0))
+    rows = rows.repartition("_range").withColumns(extra)  # made where the texts have arrived, so that texts alone are dealt out
     order = W.partitionBy("_range").orderBy((F.col("_copy") == 2), "_order", F.xxhash64("_text"), "_text", "_copy")
     following = F.lead(F.struct("_text", *extra)).over(order)
     return rows.withColumn("_next", following).filter("_copy = 0")
 
 
-def _range_of(value: Column, bounds: list[int]) -> Column:
-    """How many bounds are at or below the value: a search by halving, so it suits many bounds."""
+def _with_range(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Adds ``_range``, how many bounds are at or below ``_order``: a search by halving.
+
+    The bounds are a row of a table, read by a scalar subquery, so the plan doesn't grow with them.
+    """
     if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds]) if len(bounds) < 2 else F.expr("array(" + ",".join(f"{b}L" if b > -(2**63) else "(-9223372036854775807L - 1L)" for b in bounds) + ")")
-    n = len(bounds)
+        return rows.withColumn("_range", F.lit(0))
+    table = rows.sparkSession.createDataFrame([(bounds,)], "b array<long>").scalar()
 
     def halve(s: Column, _) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = (s["lo"] < s["hi"]) & (F.get(table, mid) <= value)
+        right = (s["lo"] < s["hi"]) & (F.get(F.col("_bounds"), mid) <= F.col("_order"))
         return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, halve)["lo"]
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve)["lo"]
+    return rows.withColumn("_bounds", table).withColumn("_range", found).drop("_bounds")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
