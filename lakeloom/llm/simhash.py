@@ -507,9 +507,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     duplicates share one among their first 1 - ``least`` (``prefix_size``).  The order is by
     how many texts hold a shingle, counted over all texts that can have a near duplicate
     at all (``_suspects``), so texts that meet mostly are near duplicates, and only those
-    that meet early enough are checked.  Of texts that meet, each is first checked with one of the others (a star); at last, all pairs that
-    the links so far leave apart.  So a group of near copies costs about a row a text, and
-    no link is lost with one that fails.
+    that meet early enough are checked.  Of texts that meet, each is first checked with one
+    of the others (a star); at last, all pairs that the links so far leave apart.  So a
+    group of near copies costs about a row a text, and no link is lost with one that fails.
     """
     rows = common.id_text(docs, id_col, text_col).select("_id", F.xxhash64("_text").alias("_tid"), "_text")
     keys, counts = _shingle_order(rows)

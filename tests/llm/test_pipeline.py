@@ -61,3 +61,17 @@ def test_stages_against_plain_python(spark):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(r.n_tokens > 0 for r in rows)
+
+
+def test_only_own_scratch_is_ever_deleted(spark, tmp_path):
+    from lakeloom.llm import common
+
+    path = str(tmp_path / "lakeloom" / "documents.parquet")
+    spark.range(5).write.parquet(path)
+    theirs, own = spark.read.parquet(path), common.written(spark.range(7).toDF("n"), "some")
+    common.dropped(spark, theirs, own)
+    assert spark.read.parquet(path).count() == 5
+    import pytest
+
+    with pytest.raises(Exception, match="does not exist|FAILED_READ_FILE|PATH_NOT_FOUND"):
+        own.count()
