@@ -41,7 +41,7 @@ from . import common, suffixsort
 
 LENGTH, K = 200, 48
 REACH = LENGTH - K  # how far before its anchor a window may start
-GROUP = 50_000
+GROUP = 8_000
 #: Bytes of text hashed at once, contexts sorted at once.
 BUFFER, SORTED = 1 << 20, 40_000
 #: Low bits of an anchor's hash that give way to its place, the same in any batch (a batch has under twice BUFFER bytes).
