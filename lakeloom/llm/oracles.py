@@ -15,4 +15,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-ORACLES = {"op7_line_dedup": LINE_DEDUP}
+#: The checksum of a feature goes over its bits, lowest first; the polynomial of crc32 is a fixed value.
+RESAMPLING = rf"""
+WITH texts AS (SELECT 'd' AS side, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', NULL, coalesce(text, '') FROM benchmark),
+doc AS (SELECT row_number() OVER () AS r, side, doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+feature AS (SELECT r, side, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM doc),
+counted AS (SELECT f, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM feature GROUP BY f),
+bits AS (SELECT f, s, t, hex(encode(f)) AS h FROM counted),
+bucketed AS (SELECT f, s, t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(4 * length(h)),
+    lambda i: (('0x' || substr(h, 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1)), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)))) % 10000 AS b FROM bits),
+gained AS (SELECT b, floor(1000 * ln((sum(t) + 1)::DOUBLE * (sum(sum(s)) OVER () + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * (sum(sum(t)) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM bucketed GROUP BY b),
+meant AS (SELECT r, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM feature JOIN bucketed USING (f) JOIN gained USING (b) WHERE side = 'd' GROUP BY r),
+scored AS (SELECT r, doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM doc LEFT JOIN meant USING (r) WHERE side = 'd'),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS most FROM scored WHERE n >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= most THEN place END AS rank FROM scored LEFT JOIN placed USING (r)"""
+
+ORACLES = {"op7_line_dedup": LINE_DEDUP, "op13_importance_resampling": RESAMPLING}
