@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, mixing, pst, quality, qualityrules, repeats, resample, simhash, sketch, toxicity
+from . import bpe, collocations, linededup, mixing, partenum, pst, quality, qualityrules, repeats, resample, simhash, sketch, toxicity
 from .common import few_files, read_table
 from .oracles import ORACLES
 
@@ -53,6 +53,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(mixing.report(read_table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return few_files(partenum.joined(read_table(spark, sf_dir, "documents")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(resample.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")))
 
