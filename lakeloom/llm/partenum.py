@@ -48,7 +48,7 @@ PART, REMEMBERED = 1 << 20, 1 << 20
 #: Documents that frequent signatures are looked for in, and how many of them share one.
 SAMPLE, FREQUENT = 2048, 32
 #: Pivots of a group in a round: they double up to the second number.
-PIVOTS = (2, 64)
+PIVOTS = (8, 64)
 #: Multiplier of hashes of words (a fixed odd number).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = 2**63 - 1  # a null id
@@ -232,13 +232,13 @@ def checked(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(common.task("partenum", _alike(least)), "u long, v long, linked boolean")
 
 
-def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = LEAST, pivots: tuple[int, int] = PIVOTS) -> DataFrame:
+def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """(u, v): links between classes that connect all classes that links connect."""
     spark = rows.sparkSession
     groups = common.written(shared(rows, shingle, least), "signatures", "size")
     found = common.written(_elements(rows, of, groups.select("cls").distinct(), shingle), "sets", "size")
     state = groups.withColumn("label", F.col("cls"))
-    failed, good, turn, most = None, [], 0, pivots[0]
+    failed, good, turn, most = None, [], 0, PIVOTS[0]
     while True:
         mixed = state.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
         rest = common.written(state.join(mixed, "sig"), "groups", "size")
@@ -258,7 +258,10 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
         failed = lost if failed is None else failed.unionByName(lost)
         if turn:  # these have met all of their group
             rest = rest.join(chosen.select("sig", F.col("pivot").alias("cls")), ["sig", "cls"], "left_anti")
-            most = min(2 * most, pivots[1])
+            most = min(2 * most, PIVOTS[1])
+        if good[-1].isEmpty():
+            state, turn = rest, turn + 1
+            continue
         now = rest.select(F.col("cls").alias("c"), F.col("label").alias("l")).distinct()
         edges = good[-1].join(now.withColumnsRenamed({"c": "u", "l": "lu"}), "u", "left").join(now.withColumnsRenamed({"c": "v", "l": "lv"}), "v", "left")
         joined = components(edges.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
