@@ -43,7 +43,7 @@ HELD = 80
 #: Score of a phrase whose parts occur nowhere else, twice.
 SCALE = 2_000_000
 #: Words counted together before the shuffle, bytes in one part of a long text, documents that bounds come from.
-STRETCH, PART, SAMPLE = 1 << 21, 1 << 20, 2048
+STRETCH, PART, SAMPLE = 1 << 20, 1 << 20, 2048
 #: What ends a piece of text (fixed values).
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Lower case; a byte that UTF-8 never has for what ends a piece.
@@ -57,53 +57,61 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_FLAT).replace(_END, b" \xff ").split()
 
 
-def suffixes(streams: dict[str, list[list[bytes]]], max_n: int = MAX_N, unfinished: str | None = None) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+class Numbers(defaultdict):
+    """Words numbered as they come; 0 is the end of a piece."""
+
+    def __init__(self):
+        super().__init__()
+        self.default_factory = self.__len__
+        self[_END]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
+def suffixes(number: Numbers, streams: dict[str, list[np.ndarray]], max_n: int = MAX_N, unfinished: tuple[str, int] = ("", 0)) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     """For each language its distinct suffixes in order, each word followed by a blank, and how many there are of each.
 
-    The last ``max_n - 1`` tokens of the ``unfinished`` language begin no suffix here.
+    ``unfinished``: a language of whose last tokens so many begin no suffix here.
     """
-    number: defaultdict[bytes, int] = defaultdict()
-    number.default_factory = number.__len__
-    number[_END]
-    ids = {lang: np.concatenate([np.fromiter(map(number.__getitem__, t), np.int64, len(t)) for t in lists]) for lang, lists in streams.items() if lists}
     words = [w + b" " for w in number]
     words[0] = b""  # sorts first, so that what ends sorts before what goes on
     order = sorted(range(len(words)), key=words.__getitem__)
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    table, size = pa.array([words[i] for i in order], pa.binary()), len(words)
-    for lang, found in ids.items():
-        found = rank[found]
-        starts = len(found) - (max_n - 1) * (lang == unfinished)
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    table = pa.array([words[i] for i in order], pa.binary())
+    for lang, lists in streams.items():
+        found = np.concatenate(lists)
+        starts = len(found) - unfinished[1] * (lang == unfinished[0])
         if starts <= 0:
             continue
-        found = np.concatenate((found, np.zeros(max_n - 1, np.int64)))
+        found = np.concatenate((rank[found], np.zeros(max_n - 1, np.int32)))
         at = found[:starts] > 0
         columns, alive = [], at
         for k in range(max_n):
-            column = np.where(alive, found[k : k + starts], 0)
+            column = np.where(alive, found[k : k + starts], np.int32(0))
             columns.append(column[at])
             alive = column > 0
         # ranks of ever more words: two columns are made one, in their order
-        key, back = columns[-1], []
-        for column in reversed(columns[:-1]):
+        key, back = columns.pop(), []
+        while columns:
             seen, key = np.unique(key, return_inverse=True)
             back.append(seen)
-            key = column * len(seen) + key
+            key = columns.pop().astype(np.int64) * len(seen) + key
         seen, n = np.unique(key, return_counts=True)
         names = []
         for below in reversed(back):
             names.append(table.take(pa.array(seen // len(below))))
             seen = below[seen % len(below)]
         names.append(table.take(pa.array(seen)))
-        yield lang, pc.binary_join_element_wise(*names, b"") if len(seen) else table.slice(0, 0), n
+        yield lang, pc.binary_join_element_wise(*names, b""), n
 
 
 def _dealt(bounds: list[bytes], max_n: int):
     """Rows of :data:`SUFFIX` from (lang, text): each key is a language, a line break, and the suffix; ``part`` by the bounds."""
 
-    def rows(streams: dict, unfinished: str | None) -> Iterator[pa.RecordBatch]:
-        for lang, found, n in suffixes(streams, max_n, unfinished):
+    def rows(number: Numbers, streams: dict, unfinished: tuple[str, int] = ("", 0)) -> Iterator[pa.RecordBatch]:
+        for lang, found, n in suffixes(number, streams, max_n, unfinished):
             if not len(n):
                 continue
             head = lang.encode() + b"\n"
@@ -116,21 +124,23 @@ def _dealt(bounds: list[bytes], max_n: int):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), keys, pa.array(n.astype(np.int64))], ["part", "suffix", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        streams: defaultdict[str, list] = defaultdict(list)
-        size = 0
+        number, streams, size = Numbers(), defaultdict(list), 0
+        end = np.zeros(1, np.int32)
         for batch in batches:
             for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text"), strict=True):
+                last: list[bytes] = []
                 for part in common.parts(text.as_buffer().to_pybytes(), PART):
                     found = tokens(part)
-                    streams[lang].append(found)
+                    last = (last + found[1 - max_n :])[1 - max_n :] if max_n > 1 else []
+                    streams[lang].append(number.of(found))
                     size += len(found)
                     if size >= STRETCH:
-                        last = [t for x in streams[lang][-max_n:] for t in x][-(max_n - 1) :] if max_n > 1 else []
-                        yield from rows(streams, lang if last else None)
-                        streams, size = defaultdict(list), 0
-                        streams[lang].append(last)
-                streams[lang].append([_END])
-        yield from rows(streams, None)
+                        yield from rows(number, streams, (lang, len(last)))
+                        number, streams, size = Numbers(), defaultdict(list), 0
+                        streams[lang].append(number.of(last))
+                        common.give_back()
+                streams[lang].append(end)
+        yield from rows(number, streams)
 
     return run
 

@@ -43,7 +43,7 @@ def labelled(spark):
     return spark.createDataFrame(rows, SCHEMA).repartition(6)
 
 
-@pytest.mark.parametrize(("least", "top", "stretch", "part"), [(3, 2000, co.STRETCH, co.PART), (2, 7, 50, 40), (30, 2000, 1, 1 << 20)])
+@pytest.mark.parametrize(("least", "top", "stretch", "part"), [(3, 2000, co.STRETCH, co.PART), (2, 7, 50, 40), (3, 50, 37, 1 << 20), (30, 2000, 1, 1 << 20)])
 def test_brute_force(spark, monkeypatch, least, top, stretch, part):
     monkeypatch.setattr(co, "STRETCH", stretch)
     monkeypatch.setattr(co, "PART", part)
