@@ -11,9 +11,10 @@ elements in two of the three, and similar sets share one: no link is lost.
 
 Equal sets are one class before anything is compared, and a task signs a set once.  What
 comes back of the shuffle are signatures that several classes share.  Those groups are
-settled in rounds: members are compared with a few pivots of their group, by their whole
-sets; what a link joins is never compared again, and neither is a pivot that has met all of
-its group.  A group is settled once all of it is in one component, or all pivots are
+settled in rounds: members are compared with a few pivots of their group; what a link joins
+is never compared again, and neither is a pivot that has met all of its group.  A pair is
+first held to the counts of its elements in equal parts of the domain, which bound their
+intersection; whole sets are made and compared only for pairs within that bound.  A group is settled once all of it is in one component, or all pivots are
 through; so pairs within a group of near copies aren't emitted, and a group of any size is
 exact.  Signatures that very many documents share (found in a sample of ``SAMPLE``) are
 dealt out by class as well, which changes no result.
@@ -47,6 +48,8 @@ SHINGLE, LEAST = 4, 85
 PART, REMEMBERED = 1 << 20, 1 << 20
 #: Documents that frequent signatures are looked for in, and how many of them share one.
 SAMPLE, FREQUENT = 2048, 32
+#: Rows of the smaller side of a join that go out with the tasks; beyond, both sides are shuffled.
+SMALL = 1 << 18
 #: Pivots of a group in a round: they double up to the second number.
 PIVOTS = (8, 64)
 #: Multiplier of hashes of words (a fixed odd number).
@@ -114,6 +117,23 @@ def signatures(found: np.ndarray, least: int = LEAST) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """How many elements lie in each of 2**b equal parts of the domain, about four in one; 255 stands for more too."""
+    bits = max(2, (len(found) // 4).bit_length())
+    return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def within(a: bytes, b: bytes, least: int = LEAST) -> bool:
+    """Whether two sets of these sketches may be similar enough: the sum of the smaller counts bounds their intersection."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    if x.max() == 255 or y.max() == 255:
+        return True
+    parts = min(len(x), len(y))
+    x, y = x.reshape(parts, -1).sum(axis=1), y.reshape(parts, -1).sum(axis=1)
+    both = int(np.minimum(x, y).sum())
+    return 100 * both >= least * (int(x.sum() + y.sum()) - both)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return common.id_text(docs, id_col, text_col).select(F.coalesce("_id", F.lit(_LAST)).alias("key"), F.xxhash64("_text").alias("tid"), "_text")
 
@@ -124,19 +144,20 @@ def _class(found: np.ndarray) -> int:
 
 
 def sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(key, tid, n, cls) of each row: the size of its set and its class."""
+    """(key, tid, n, cls, sketch) of each row: the size of its set, its class and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in common.sliced(batches, "_text"):
-            n, cls = [], []
+            n, cls, sketches = [], [], []
             for text in common.blobs(batch.column("_text")):
                 found = elements(text, known, shingle)
                 n.append(len(found))
                 cls.append(_class(found))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tid"), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], ["key", "tid", "n", "cls"])
+                sketches.append(sketch(found))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tid"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], ["key", "tid", "n", "cls", "sketch"])
 
-    return rows.mapInArrow(common.task("partenum", run), "key long, tid long, n long, cls long")
+    return rows.mapInArrow(common.task("partenum", run), "key long, tid long, n long, cls long, sketch binary")
 
 
 def _signed(rows: DataFrame, shingle: int, least: int, parts: int, often: np.ndarray) -> DataFrame:
@@ -201,47 +222,55 @@ def shared(rows: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataF
     return dealt.mapInArrow(common.task("partenum", _shared(often)), "sig long, cls long")
 
 
-def _elements(rows: DataFrame, of: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(cls, e): the sets of the ``wanted`` classes, each made from the text of one of its documents."""
-    one = of.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("key", "tid")).alias("d")).select("cls", "d.key", "d.tid")
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table with the hint to send it out with the tasks, if it is small enough."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _elements(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(cls, e): the sets of the ``wanted`` classes (cls, key, tid), each made from the text of one of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in common.sliced(batches, "_text"):
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([elements(t, known, shingle).tobytes() for t in common.blobs(batch.column("_text"))], pa.binary())], ["cls", "e"])
 
-    return rows.join(one, ["key", "tid"]).select("cls", "_text").mapInArrow(common.task("partenum", run), "cls long, e binary").dropDuplicates(["cls"])
+    return rows.join(_small(wanted), ["key", "tid"]).select("cls", "_text").mapInArrow(common.task("partenum", run), "cls long, e binary").dropDuplicates(["cls"])
 
 
-def _alike(least: int):
+def _compared(pairs: DataFrame, found: DataFrame, value: str, test) -> DataFrame:
+    """``pairs`` (u, v) with ``linked``: what ``test`` says of the two classes' ``value``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(e.as_buffer(), np.uint64) for e in (x, y)]))
-                common_ = int(np.count_nonzero(both[1:] == both[:-1]))
-                linked.append(100 * common_ >= least * (len(both) - common_))
+            linked = [test(x, y) for x, y in zip(common.blobs(batch.column("x")), common.blobs(batch.column("y")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
-    return run
+    x, y = (found.select(F.col("cls").alias(c), F.col(value).alias(e)) for c, e in (("u", "x"), ("v", "y")))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(common.task("partenum", run), "u long, v long, linked boolean")
+
 
+def _alike(least: int):
+    def test(x: bytes, y: bytes) -> bool:
+        every = np.sort(np.concatenate([np.frombuffer(e, np.uint64) for e in (x, y)]))
+        both = int(np.count_nonzero(every[1:] == every[:-1]))
+        return 100 * both >= least * (len(every) - both)
 
-def checked(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """``pairs`` (u, v) with ``linked``, by their whole sets."""
-    x, y = (found.select(F.col("cls").alias(c), F.col("e").alias(e)) for c, e in (("u", "x"), ("v", "y")))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(common.task("partenum", _alike(least)), "u long, v long, linked boolean")
+    return test
 
 
 def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(u, v): links between classes that connect all classes that links connect."""
+    """(u, v): links between classes that connect all classes that links connect.  ``of``: :func:`sets` of the rows."""
     spark = rows.sparkSession
-    groups = common.written(shared(rows, shingle, least), "signatures", "size")
-    found = common.written(_elements(rows, of, groups.select("cls").distinct(), shingle), "sets", "size")
-    state = groups.withColumn("label", F.col("cls"))
-    failed, good, turn, most = None, [], 0, PIVOTS[0]
+    state = common.written(shared(rows, shingle, least), "signatures", "size")
+    common.released(spark)
+    classes = common.written(of.groupBy("cls").agg(F.min(F.struct("key", "tid")).alias("d"), F.first("sketch").alias("sketch")).select("cls", "d.key", "d.tid", "sketch"), "sketches")
+    state, found, failed, good, turn, most = state.withColumn("label", F.col("cls")), None, None, [], 0, PIVOTS[0]
     while True:
-        mixed = state.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-        rest = common.written(state.join(mixed, "sig"), "groups", "size")
+        rest = state
+        if turn:
+            mixed = state.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+            rest = common.written(state.join(mixed, "sig"), "groups", "size")
         if rest.isEmpty():
             break
         rank = F.xxhash64("cls", F.lit(turn))
@@ -252,22 +281,26 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
             met = met.groupBy("cls").agg(F.min(F.struct("r", "pivot")).alias("p")).select("cls", F.col("p.pivot").alias("pivot"))
         pairs = met.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
         pairs = pairs if failed is None else pairs.join(failed, ["u", "v"], "left_anti")
-        seen = common.written(checked(pairs, found, least), "checked")
+        bounded = common.written(_compared(pairs, classes, "sketch", lambda x, y: within(x, y, least)), "bounded")
+        close = bounded.filter("linked").select("u", "v")
+        wanted = classes.join(close.select(F.col("u").alias("cls")).union(close.select("v")).distinct(), "cls").select("cls", "key", "tid")
+        wanted = common.written(wanted if found is None else wanted.join(found, "cls", "left_anti"), "wanted")
+        more = common.written(_elements(rows, wanted, shingle), "sets", "size")
+        found = more if found is None else found.unionByName(more)
+        seen = common.written(_compared(close, found, "e", _alike(least)), "checked")
         good.append(seen.filter("linked").select("u", "v"))
-        lost = seen.filter("not linked").select("u", "v")
+        lost = bounded.filter("not linked").select("u", "v").unionByName(seen.filter("not linked").select("u", "v"))
         failed = lost if failed is None else failed.unionByName(lost)
         if turn:  # these have met all of their group
             rest = rest.join(chosen.select("sig", F.col("pivot").alias("cls")), ["sig", "cls"], "left_anti")
             most = min(2 * most, PIVOTS[1])
-        if good[-1].isEmpty():
-            state, turn = rest, turn + 1
-            continue
-        now = rest.select(F.col("cls").alias("c"), F.col("label").alias("l")).distinct()
-        edges = good[-1].join(now.withColumnsRenamed({"c": "u", "l": "lu"}), "u", "left").join(now.withColumnsRenamed({"c": "v", "l": "lv"}), "v", "left")
-        joined = components(edges.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
-        state = rest.join(joined.withColumnRenamed("label", "to"), rest.label == joined.node, "left").select("sig", "cls", F.coalesce("to", "label").alias("label"))
-        turn += 1
-    common.released(spark)
+        if not good[-1].isEmpty():
+            now = rest.select(F.col("cls").alias("c"), F.col("label").alias("l")).distinct()
+            edges = good[-1].join(now.withColumnsRenamed({"c": "u", "l": "lu"}), "u", "left").join(now.withColumnsRenamed({"c": "v", "l": "lv"}), "v", "left")
+            joined = components(edges.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
+            rest = rest.join(joined.withColumnRenamed("label", "to"), rest.label == joined.node, "left").select("sig", "cls", F.coalesce("to", "label").alias("label"))
+        state, turn = rest, turn + 1
+        common.released(spark)
     every = spark.createDataFrame([], "u long, v long")
     for g in good:
         every = every.unionByName(g)

@@ -61,9 +61,8 @@ def test_brute_force(spark, monkeypatch, pivots):
     if pivots == (8, 64):
         assert got(partenum.joined(docs)) == brute(plain(docs))
     docs = documents(spark, families(3))
-    assert partenum.joined(docs).columns == ["doc_id", "n_shingles", "component_id"]
-    want = brute(plain(docs))
-    assert got(partenum.joined(docs)) == want
+    want, found = brute(plain(docs)), partenum.joined(docs)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"] and got(found) == want
     sizes = Counter(c for _, _, c in want.elements())
     assert max(sizes.values()) > 5 and sum(n == 1 for n in sizes.values()) > 20
 
@@ -93,6 +92,17 @@ def test_similar_sets_share_a_signature():
                 assert len(np.intersect1d(partenum.signatures(a), partenum.signatures(b)))
 
 
+def test_a_sketch_never_rules_out_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in [1, 3, 7, 16, 31, 64, 200, 3000]:
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[n * 7 // 100 :], rng.integers(0, 2**64, n * 7 // 100, dtype=np.uint64))))
+        c = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert partenum.within(partenum.sketch(a), partenum.sketch(b)) and (n < 16 or not partenum.within(partenum.sketch(a), partenum.sketch(c)))
+    many = np.zeros(400, np.uint64)
+    assert partenum.within(partenum.sketch(many), partenum.sketch(c))
+
+
 def test_no_rows(spark):
     assert partenum.joined(documents(spark).limit(0)).count() == 0
     assert got(partenum.joined(documents(spark, [None, "", " \n"]))) == Counter({(0, 0, 0): 1, (3, 0, 3): 1, (6, 0, 6): 1})
