@@ -2,13 +2,11 @@
 
 Folds are ``aggregate`` over an array; whatever a lambda uses more than once is bound by
 ``let``, because a plain alias would be inlined and computed anew for every element.
+Folds carry lengths and places; a chunk's text is joined once, from the pieces it holds.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,23 +99,44 @@ def sentence_chunks(text: Column, size: int = 100, overlap: int = 20) -> Column:
     return F.when(text.isNull() | (text == ""), none).otherwise(let(sentences(text), counted))
 
 
-def char_chunks(text: Column, size: int = 512, overlap: int = 128, least: int = 10) -> Column:
-    """Sentences of over ``least`` characters packed up to ``size``; a chunk begins with the last ``overlap`` characters before."""
-    none = F.array().cast(STRINGS)
-    start = F.struct(none.alias("out"), F.lit("").alias("cur"))
+PACKED = "array<struct<text:string,last:int>>"
 
-    def pack(acc: Column, s: Column) -> Column:
-        full = (F.length(acc["cur"]) + F.length(s) > size) & (acc["cur"] != "")
-        tail = F.substring(acc["cur"], F.greatest(F.length(acc["cur"]) - overlap + 1, F.lit(1)), F.lit(overlap))
-        after = F.struct(F.concat(acc["out"], F.array(strip(acc["cur"]))).alias("out"), F.concat(tail, F.lit(" "), s).alias("cur"))
-        more = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
-        return F.when(full, after).otherwise(F.struct(acc["out"].alias("out"), more.alias("cur")))
 
-    def close(acc: Column) -> Column:
-        return F.when(strip(acc["cur"]) != "", F.concat(acc["out"], F.array(strip(acc["cur"])))).otherwise(acc["out"])
+def packed(pieces: Column, full, between: str, tail) -> Column:
+    """Pieces packed in order: array<struct<text,last>>, ``last`` being a chunk's last piece.
 
+    ``full(n, more)`` says whether a chunk of ``n`` characters has no room for a piece of
+    ``more``.  Chunks after the first begin with ``tail`` of the one before, and ``between``.
+    """
+
+    def fold(x: Column) -> Column:
+        found, sizes = x["p"], x["n"]
+        start = F.struct(F.array().cast(PACKED).alias("out"), F.lit(0).alias("a"), F.lit("").alias("head"), F.lit(0).alias("n"))
+        text = lambda acc, b: F.concat(acc["head"], F.array_join(F.slice(found, acc["a"] + 1, b - acc["a"]), between))
+        closed = lambda acc, t, b: F.concat(acc["out"], F.array(F.struct(t.alias("text"), (b - 1).alias("last"))))
+
+        def step(acc: Column, i: Column) -> Column:
+            more = F.get(sizes, i)
+
+            def cut(x: Column) -> Column:
+                n = F.length(x["h"]) + len(between) + more
+                return F.struct(closed(acc, x["t"], i).alias("out"), i.alias("a"), F.concat(x["h"], F.lit(between)).alias("head"), n.alias("n"))
+
+            ended = let(let(text(acc, i), lambda t: F.struct(t.alias("t"), tail(t).alias("h"))), cut)
+            grown = F.struct(acc["out"].alias("out"), acc["a"].alias("a"), acc["head"].alias("head"), (acc["n"] + F.when(acc["n"] > 0, len(between)).otherwise(0) + more).alias("n"))
+            return F.when((acc["n"] > 0) & full(acc["n"], more), ended).otherwise(grown)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: closed(acc, text(acc, F.size(found)), F.size(found)))
+
+    sized = let(pieces, lambda p: F.struct(p.alias("p"), F.transform(p, F.length).alias("n")))
+    return let(sized, lambda x: F.when(F.size(x["p"]) == 0, F.array().cast(PACKED)).otherwise(fold(x)))
+
+
+def char_chunks(text: Column, size: int = 512, overlap: int = 128, least: int = 10) -> Column:
+    """Sentences of over ``least`` characters packed up to ``size``; a chunk begins with the last ``overlap`` characters before."""
     pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?]+"), strip), lambda s: F.length(s) > least)
-    return F.aggregate(pieces, start, pack, close)
+    chunks = packed(pieces, lambda n, more: n + more > size, " ", lambda t: F.right(t, F.lit(overlap)))
+    return F.filter(F.transform(chunks, lambda x: strip(x["text"])), lambda t: t != "")
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -134,22 +153,9 @@ def overlap_text(text: Column, n: int) -> Column:
 
 def paragraph_chunks(text: Column, max_tokens: int = 1000, overlap: int = 2000) -> Column:
     """Paragraphs packed while a fourth of the length stays within ``max_tokens``; each chunk begins with an overlap."""
-    none = F.array().cast(STRINGS)
-    start = F.struct(none.alias("out"), F.lit("").alias("cur"))
-
-    def pack(acc: Column, p: Column) -> Column:
-        joined = F.concat(acc["cur"], F.lit("\n\n"), p)
-        full = (F.floor(F.length(joined) / 4) > max_tokens) & (acc["cur"] != "")
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]).alias("out"),
-            F.when(acc["cur"] == "", p).when(full, F.concat(overlap_text(acc["cur"], overlap), F.lit("\n\n"), p)).otherwise(joined).alias("cur"),
-        )
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
-    return F.aggregate(paragraphs, start, pack, close)
+    pieces = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
+    chunks = packed(pieces, lambda n, more: F.floor((n + 2 + more) / 4) > max_tokens, "\n\n", lambda t: overlap_text(t, overlap))
+    return F.transform(chunks, lambda x: x["text"])
 
 
 def outline(text: Column) -> Column:
@@ -240,19 +246,47 @@ def priority(kind_name: str | None) -> list[str]:
     return first + [k for k in DEFAULT_PRIORITY if k not in first]
 
 
-def _found(text: str, kind_name: str | None) -> list[tuple[int, int, str]]:
-    """(position, rank, name) of every match of every pattern, by position, then rank."""
-    return sorted((m.start(), rank, name) for rank, name in enumerate(priority(kind_name)) for m in re.finditer(BOUNDARIES[name], text, re.IGNORECASE))
+def positions(text: Column, pattern: str) -> Column:
+    """Where each match begins, from 0, in any case: the pieces around the matches and the matches themselves, in turn, summed up."""
+    regex = f"(?iU){pattern}"
+
+    def places(x: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+
+        def step(acc: Column, i: Column) -> Column:
+            begin = acc["at"] + F.get(x["gaps"], i)
+            return let(begin, lambda b: F.struct(F.concat(acc["out"], F.array(b)).alias("out"), (b + F.get(x["hits"], i)).alias("at")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), start, step, lambda acc: acc["out"])
+
+    def sized(gaps: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        both = F.struct(F.transform(gaps, F.length).alias("gaps"), F.transform(hits, F.length).alias("hits"))
+        return F.when(F.size(gaps) > 1, let(both, places)).otherwise(F.array().cast("array<int>"))
+
+    return let(F.split(text, regex, -1), sized)
 
 
 def boundaries(text: Column, kind_name: Column | None = None) -> Column:
-    """array<struct<pos,name>> of all boundaries; SQL has no "all match positions", so batches are scanned in Python."""
+    """array<struct<pos,rank,name>> of all boundaries, by position, then by the order for the kind of document; null as empty."""
+    whole = F.coalesce(text, F.lit(""))
+
+    def rank(name: str) -> Column:
+        place = lambda k: F.lit(priority(k).index(name) if name in priority(k) else None).cast("int")
+        out = place(None)
+        for k in FIRST_FOR_KIND if kind_name is not None else ():
+            out = F.when(kind_name == k, place(k)).otherwise(out)
+        return out
 
-    @F.pandas_udf("array<struct<pos:int,name:string>>")
-    def scan(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([[{"pos": p, "name": n} for p, _, n in _found(t or "", k)] for t, k in zip(texts, kinds, strict=True)])
+    def named(name: str) -> Column:
+        found = F.when(rank(name).isNotNull(), positions(whole, BOUNDARIES[name])).otherwise(F.array().cast("array<int>"))
+        return F.transform(found, lambda p: F.struct(p.alias("pos"), rank(name).alias("rank"), F.lit(name).alias("name")))
 
-    return scan(text, F.lit(None).cast("string") if kind_name is None else kind_name)
+    names = BOUNDARIES if kind_name is not None else DEFAULT_PRIORITY
+    return F.sort_array(F.flatten(F.array(*[named(n) for n in names])))
+
+
+CHUNK = "array<struct<text:string,boundary_type:string,estimated_tokens:int,chunk_strategy:string,document_type:string>>"
 
 
 def semantic_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 1000, overlap: int = 5000, by_kind: bool = False) -> DataFrame:
@@ -260,51 +294,40 @@ def semantic_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100
 
     Segments run from boundary to boundary, the first from the start; whole segments are
     packed while the estimate stays within ``max_tokens``.  A chunk is typed by its last
-    boundary.  Texts without any boundary are packed by paragraph.  An Arrow-batched
-    scan finds all patterns at once: SQL has no "all match positions".
+    boundary.  Texts without any boundary are packed by paragraph.  White space between
+    two boundaries is no segment, but its boundary types the chunk that is open.
     """
-    schema = "array<struct<text:string,boundary_type:string,estimated_tokens:int,chunk_strategy:string,document_type:string>>"
-
-    @F.pandas_udf(schema)
-    def cut(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        out = []
-        for text, kind_name in zip(texts, kinds, strict=True):
-            found = _found(text or "", kind_name)
-            rows = _by_boundary(text, found, max_tokens, overlap) if found else []
-            out.append([{"text": t, "boundary_type": b, "estimated_tokens": len(t) // 4, "chunk_strategy": "semantic_boundary", "document_type": kind_name or "general"} for t, b in rows])
-        return pd.Series(out)
-
-    of_kind = kind(F.coalesce(F.col(text_col), F.lit(""))) if by_kind else F.lit(None).cast("string")
-    kind_name, found = F.coalesce(of_kind, F.lit("general")), cut(F.col(text_col), of_kind)
-    plain = F.transform(
-        paragraph_chunks(F.col(text_col), max_tokens),
-        lambda x: F.struct(x.alias("text"), F.lit("paragraph_group").alias("boundary_type"), estimated_tokens(x).cast("int").alias("estimated_tokens"), F.lit("paragraph_fallback").alias("chunk_strategy"), kind_name.alias("document_type")),
-    )
-    return df.withColumn("chunks", F.when(F.size(found) > 0, found).otherwise(plain))
-
-
-def tail_overlap(text: str, n: int) -> str:
-    if len(text) <= n:
-        return text
-    tail = text[-n:]
-    found = re.search(r"([^.!?]*[.!?])\s*$", tail)
-    return found[1].strip() if found and found[1].strip() else tail.rsplit("\n", 1)[-1]
-
-
-def _by_boundary(text: str, found, max_tokens: int, overlap: int):
-    """(text, last boundary) of the chunks."""
-    cuts = [(0, "document_start")] + [(pos, name) for pos, _, name in found]
-    segments = [(text[a : cuts[k + 1][0] if k + 1 < len(cuts) else len(text)], name) for k, (a, name) in enumerate(cuts)]
-    rows, open_, last = [], "", None
-    for segment, name in segments:
-        if not segment.strip():
-            last = name if open_ else last
-            continue
-        if open_ and (len(open_) + len(segment)) // 4 > max_tokens:
-            rows.append((open_.strip(), last))
-            open_ = tail_overlap(open_, overlap) if overlap < max_tokens * 4 else ""
-        open_, last = open_ + segment, name
-    return rows + [(open_.strip(), last)] * bool(open_.strip())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    of_kind = kind(text) if by_kind else F.lit(None).cast("string")
+
+    def chunk(t: Column, boundary: Column, strategy: str, kind_name: Column) -> Column:
+        fields = {"text": t, "boundary_type": boundary, "estimated_tokens": estimated_tokens(t).cast("int"), "chunk_strategy": F.lit(strategy), "document_type": kind_name}
+        return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+    def segments(found: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda b: b["pos"]))
+        names = F.concat(F.array(F.lit("document_start")), F.transform(found, lambda b: b["name"]))
+        cut = lambda s, i: F.substring(text, F.get(s, i) + 1, F.coalesce(F.get(s, i + 1), F.length(text)) - F.get(s, i))
+        return let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.struct(cut(s, i).alias("s"), F.get(names, i).alias("name"))))
+
+    def by_boundary(x: Column, kind_name: Column) -> Column:
+        """x: the segments, and which of them aren't blank."""
+        all_, full = x["all"], x["full"]
+        pieces = F.transform(full, lambda i: F.get(all_, i)["s"])
+        tail = (lambda t: overlap_text(t, overlap)) if overlap < max_tokens * 4 else (lambda t: F.lit(""))
+        chunks = packed(pieces, lambda n, more: F.floor((n + more) / 4) > max_tokens, "", tail)
+        last = lambda j: F.get(all_, F.coalesce(F.get(full, j + 1), F.size(all_)) - 1)["name"]
+        return F.transform(chunks, lambda c: let(strip(c["text"]), lambda t: chunk(t, last(c["last"]), "semantic_boundary", kind_name)))
+
+    def chunked(x: Column) -> Column:
+        kind_name = F.coalesce(x["kind"], F.lit("general"))
+        full = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: strip(F.get(s, i)["s"]) != "")
+        typed = let(let(segments(x["found"]), lambda s: F.struct(s.alias("all"), full(s).alias("full"))), lambda y: by_boundary(y, kind_name))
+        plain = F.transform(paragraph_chunks(text, max_tokens), lambda t: chunk(t, F.lit("paragraph_group"), "paragraph_fallback", kind_name))
+        return F.when(F.size(x["found"]) > 0, typed.cast(CHUNK)).otherwise(plain.cast(CHUNK))
+
+    found = let(of_kind, lambda k: F.struct(k.alias("kind"), boundaries(text, k if by_kind else None).alias("found")))
+    return df.withColumn("chunks", let(found, chunked))
 
 
 # --- frames of chunks ---------------------------------------------------------------------------

@@ -1,4 +1,8 @@
-"""Data-quality audits.  An audit is a function DataFrame -> violating rows; it passes iff that is empty."""
+"""Data-quality audits.  An audit is a function DataFrame -> violating rows; it passes iff that is empty.
+
+An audit whose verdict on old rows stands may have ``since(new, old)``: what it finds in
+the new rows, given the old ones, of which it reads only what it needs.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +17,15 @@ from ..functions.text import any_of, blank, naive_words
 Audit = Callable[[DataFrame], DataFrame]
 
 
+def _rowwise(audit: Audit) -> Audit:
+    """An audit that looks at each row, or value, by itself."""
+    audit.since = lambda new, old: audit(new)
+    return audit
+
+
 def violates(*conditions: Column) -> Audit:
     """Rows for which any condition holds."""
-    return lambda df: df.filter(any_of(*conditions))
+    return _rowwise(lambda df: df.filter(any_of(*conditions)))
 
 
 def not_null(*columns: str) -> Audit:
@@ -47,7 +57,19 @@ def count_in_range(column: str, low: int = 0, high: int = 10) -> Audit:
 
 
 def no_duplicates(*keys: str) -> Audit:
-    return lambda df: df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Keys that occur more than once; of old rows only the keys are read, and only new keys' are counted."""
+
+    def audit(df: DataFrame) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+    def since(new: DataFrame, old: DataFrame) -> DataFrame:
+        fresh = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        names = fresh.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        known = old.select(*keys).join(names, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        return fresh.unionByName(known).groupBy(*keys).agg(F.sum("n").alias("n")).filter("n > 1")
+
+    audit.since = since
+    return audit
 
 
 def min_length(column: str, least: int, trimmed: bool = False) -> Audit:
@@ -60,7 +82,7 @@ def words_between(column: str, low: int, high: int) -> Audit:
 
 
 def in_list(column: str, allowed: list) -> Audit:
-    return lambda df: df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(~F.col(column).isin(allowed))
+    return _rowwise(lambda df: df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(~F.col(column).isin(allowed)))
 
 
 def error_integrity(df: DataFrame, code: str, message: str, moment: str, job: str, operation: str) -> DataFrame:

@@ -20,6 +20,28 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").schema(EVENT).json(path)
 
 
+def event_stream(spark: SparkSession, path: str, most_files: int = 100) -> DataFrame:
+    """The events of a rolling log as they come: each file that is new to the checkpoint is read once."""
+    return spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", most_files).schema(EVENT).json(path)
+
+
+def job_stream(df: DataFrame, longest: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """job_id, job_group, start, end, duration_ms, result of a stream of events, each job once.
+
+    Starts wait for their ends: an end counts within ``longest`` of its start.  A job whose
+    end hasn't come when the watermark has passed that comes out without one, and its state
+    is let go, so state is bounded by ``longest`` and ``late`` and not by the log.
+    """
+    start = _of(df, "JobStart").select(
+        F.col("Job ID").alias("job_id"), F.try_element_at("Properties", F.lit("spark.jobGroup.id")).alias("job_group"), F.col("Submission Time").alias("start"), F.timestamp_millis("Submission Time").alias("started")
+    )
+    end = _of(df, "JobEnd").select(F.col("Job ID").alias("ended_id"), F.col("Completion Time").alias("end"), F.col("Job Result.Result").alias("result"), F.timestamp_millis("Completion Time").alias("ended"))
+    if df.isStreaming:
+        start, end = start.withWatermark("started", late), end.withWatermark("ended", late)
+    on = (F.col("job_id") == F.col("ended_id")) & (F.col("ended") >= F.col("started")) & (F.col("ended") <= F.col("started") + F.expr(f"INTERVAL {longest}"))
+    return start.join(end, on, "left_outer").select("job_id", "job_group", "start", "end", (F.col("end") - F.col("start")).alias("duration_ms"), "result")
+
+
 def _of(df: DataFrame, kind: str) -> DataFrame:
     return df.filter(F.col("Event") == f"SparkListener{kind}")
 

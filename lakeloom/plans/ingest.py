@@ -13,7 +13,7 @@ from ..catalog import require_table
 from ..functions import rates
 from ..functions.casting import safe_cast_columns
 from ..operators.aggregates import lineage
-from ..sources.files import DOCUMENT_RULES, PARTITION_RULES, read_files
+from ..sources.files import DOCUMENT_RULES, PARTITION_RULES, count_files, read_files
 from ..sources.sinks import Write, insert
 
 
@@ -41,7 +41,7 @@ def run(spark: SparkSession, spec: IngestSpec, paths: str | list[str], job_id: s
     require_table(spark, spec.target)
     began = time.time()
     df = transformed(spark, spec, paths, job_id)
-    files = len(df.inputFiles())
+    files = count_files(spark, paths)
     done = insert(df, spec.target, spec.mode)
     results = [(files, done["total_records"], done["successful_inserts"], done["failed_inserts"], int(1000 * (time.time() - began)))]
     figures = job_metrics(spark.createDataFrame(results, "files long, processed long, inserted long, failed long, ms long")).first().asDict()

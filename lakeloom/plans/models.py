@@ -47,16 +47,12 @@ def chunked(df: DataFrame, start, end, moment: str = "generated_at", id_col: str
 
 
 def run(model: Model, table: VersionedTable, rows: DataFrame, start=None, end=None, branch: str = "staging", target: str = "main") -> dict[str, int]:
-    """Build on ``branch``, audit, fast-forward ``target`` if nothing is found; returns violations by audit."""
+    """Build on ``branch``, begun anew from ``target``, audit, move ``target`` if nothing is found; returns violations by audit.
+
+    A run over a time range rewrites only files that may hold rows of it, and audits that can see only those.
+    """
     new = model.build(rows)
-    if table.exists() and target in table.branches():
-        table.create_branch(branch, target)
-    if model.time_column and table.exists():
-        c = F.col(model.time_column)
-        inside = (c >= F.lit(start)) & (c < F.lit(end))
-        new = table.read(branch).filter(~F.coalesce(inside, F.lit(False))).unionByName(new.filter(inside))
-    table.overwrite(new, branch)
-    found = {name: audit(table.read(branch)).count() for name, audit in model.audits.items()}
-    if not any(found.values()):
-        table.fast_forward(target, branch) if target in table.branches() else table.create_branch(target, branch)
-    return found
+    table.reset_branch(branch, target)
+    base = table.branches().get(target)
+    made = table.replace_range(new, model.time_column, start, end, branch) if model.time_column else table.overwrite(new, branch)
+    return table.settled(branch, target, table.violations(model.audits, base if model.time_column else None, made))

@@ -126,13 +126,16 @@ def v9_document_rule(t: Tables):
     return t.documents.select("doc_id", contracts.valid_document(c("text"), c("source")).alias("ok"))
 
 
-@query("SELECT c AS code, c IN ('E001', 'E042') AS known FROM (VALUES ('E001'), ('E007'), ('E042'), ('x')) v(c)")
+@query("SELECT event_id, code, code IN ('E001', 'E042') AS known FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'E001' WHEN 'view' THEN 'E007' WHEN 'purchase' THEN 'E042' ELSE props END AS code FROM events)")
 def v7_known_error(t: Tables):
-    rows = t.spark.sql("SELECT * FROM VALUES ('E001'), ('E007'), ('E042'), ('x') AS v(code)")
-    return rows.select("code", contracts.known_error(c("code")).alias("known"))
+    kind = c("event_type")
+    code = F.when(kind == "click", "E001").when(kind == "view", "E007").when(kind == "purchase", "E042").otherwise(c("props"))
+    return t.events.select("event_id", code.alias("code")).select("event_id", "code", contracts.known_error(c("code")).alias("known"))
 
 
-@query("SELECT * FROM (VALUES ('document_id', 'string'), ('document_type', 'string'), ('generated_at', 'timestamp'), ('source', 'string'), ('language', 'string'), ('file_size', 'bigint'), ('file_path', 'string'), ('method', 'string')) v(field, type)")
+@query("""SELECT doc_id, doc_id::VARCHAR AS document_id, source AS document_type, lang AS language, n_chars AS file_size, 'spark' AS method FROM documents""")
 def v8_struct_type(t: Tables):
-    rows = [(f.name, f.dataType.simpleString()) for f in contracts.struct_type(contracts.DOCUMENT_METADATA)]
-    return t.spark.createDataFrame(rows, "field string, type string")
+    """Documents' metadata as JSON, parsed by the type that the contract gives."""
+    made = F.to_json(F.struct(c("doc_id").cast("string").alias("document_id"), c("source").alias("document_type"), c("lang").alias("language"), c("n_chars").alias("file_size"), lit("spark").alias("method")))
+    parsed = F.from_json(made, contracts.struct_type(contracts.DOCUMENT_METADATA)).alias("m")
+    return t.documents.select("doc_id", parsed).select("doc_id", "m.document_id", "m.document_type", "m.language", "m.file_size", "m.method")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
-from ..operators import physical
+from ..operators import physical, skew
 from . import Tables, query
 
 c, count, lit = F.col, F.count, F.lit
@@ -145,6 +145,19 @@ def a22_key_skew(t: Tables):
     return agg.key_skew(t.documents, "source")
 
 
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 0.001 * (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL OR o_custkey IS NULL)")
+def a22_heavy_hitters(t: Tables):
+    return skew.heavy_hitters(t.orders, "o_custkey", 0.001).select("o_custkey", "n")
+
+
+@query("SELECT source, count(DISTINCT text) AS n_texts, max(n_chars) AS longest FROM documents GROUP BY source")
+def a3_skewed_distinct(t: Tables):
+    """Distinct texts by source: sets of hot sources are made in parts that no text is in twice."""
+    docs = t.documents.select("source", "text", F.xxhash64("text").alias("h"), "n_chars")
+    rows = docs.groupBy("source", "h", "text").agg(F.max("n_chars").alias("n_chars"))
+    return skew.skew_groups(rows, "source", [count("text").alias("n"), F.max("n_chars").alias("m")], [F.sum("n").alias("n_texts"), F.max("m").alias("longest")], 0.04)
+
+
 @query("SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM events GROUP BY event_type")
 def a23_shares(t: Tables):
     return agg.shares(t.events, "event_type")
@@ -207,9 +220,9 @@ def j6_cross_join(t: Tables):
     return t.region.select("r_name").crossJoin(t.nation.select("n_name"))
 
 
-@query("SELECT r_name, x.v FROM region CROSS JOIN LATERAL (SELECT unnest(['a', 'b']) AS v) x")
+@query("SELECT o_orderkey, x.v FROM orders CROSS JOIN LATERAL (SELECT unnest([o_orderstatus, o_orderpriority]) AS v) x")
 def j7_lateral_join(t: Tables):
-    return t.view("region").sql("SELECT r_name, x.v FROM region CROSS JOIN LATERAL (SELECT explode(array('a', 'b')) AS v) x")
+    return t.view("orders").sql("SELECT o_orderkey, x.v FROM orders CROSS JOIN LATERAL (SELECT explode(array(o_orderstatus, o_orderpriority)) AS v) x")
 
 
 @query("SELECT o_orderstatus, count(*) AS n, any_value(s.n_all) AS n_all FROM orders CROSS JOIN (SELECT count(*) AS n_all FROM orders) s GROUP BY o_orderstatus")
@@ -224,6 +237,13 @@ def j9_salted_join(t: Tables):
     return _segments(t, physical.salted_join(left, t.customer.select(c("c_custkey").alias("k"), "c_mktsegment"), "k", 4))
 
 
+@query(_CO)
+def j9_skew_join(t: Tables):
+    """Only customers with a thousandth of all orders are dealt out."""
+    left = t.orders.withColumn("k", c("o_custkey")).select("k", "o_orderkey", "o_totalprice")
+    return _segments(t, skew.skew_join(left, t.customer.select(c("c_custkey").alias("k"), "c_mktsegment"), "k", 0.001))
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def j_anti_join(t: Tables):
     return t.customer.join(t.orders, c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey")
@@ -326,10 +346,12 @@ def t6_top_groups(t: Tables):
     return t.conversations.groupBy("conv_id").agg(count(lit(1)).alias("n")).orderBy(F.desc("n"), "conv_id").limit(10)
 
 
-@query("SELECT id::BIGINT AS id, label FROM (VALUES (1, 'Category A'), (2, 'Category B'), (3, 'Category C')) v(id, label)")
+@query("SELECT label, count(*) AS n FROM customer JOIN (VALUES (1, 'Category A'), (2, 'Category B'), (3, 'Category C')) v(id, label) ON c_nationkey = id GROUP BY label")
 def u1_inline_rows(t: Tables):
+    """Labels put together row by row, beside a table."""
     one = lambda i, x: t.spark.range(i, i + 1).select("id", lit(x).alias("label"))
-    return one(1, "Category A").unionByName(one(2, "Category B")).unionByName(one(3, "Category C"))
+    labels = one(1, "Category A").unionByName(one(2, "Category B")).unionByName(one(3, "Category C"))
+    return t.customer.join(F.broadcast(labels), c("c_nationkey") == c("id")).groupBy("label").agg(count(lit(1)).alias("n"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("orders", "customer", "part")))

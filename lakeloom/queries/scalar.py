@@ -112,23 +112,24 @@ def f15_explode(t: Tables):
     return t.documents.select("doc_id", F.explode(F.split(F.concat_ws("-", "source", "lang"), "-")).alias("part"))
 
 
-_VALUES = "('12'), ('12.'), ('12.5'), ('-3'), (' 7 '), ('2020'), ('+1'), ('1e5'), ('.5'), (''), (NULL), ('99999999999'), ('abc'), ('-0.9')"
+_VALUES = """CASE event_id % 12 WHEN 0 THEN concat(user_id, '') WHEN 1 THEN concat(user_id, '.') WHEN 2 THEN concat(user_id, '.5') WHEN 3 THEN concat('-', user_id) WHEN 4 THEN concat(' ', user_id, ' ')
+WHEN 5 THEN concat('+', user_id) WHEN 6 THEN concat(user_id, 'e5') WHEN 7 THEN concat('.', user_id) WHEN 8 THEN '' WHEN 9 THEN concat(user_id, '99999999999') WHEN 10 THEN concat('-0.', user_id) WHEN 11 THEN event_type END"""
 
 
-@query(f"""SELECT v, CASE WHEN regexp_matches(trim(v), '^-?\\d+\\.?\\d*$') THEN try_cast(trim(v) AS DOUBLE) END AS d,
-CASE WHEN regexp_matches(trim(v), '^-?\\d+\\.?\\d*$') THEN try_cast(regexp_extract(trim(v), '^-?\\d+') AS INTEGER)::BIGINT END AS i FROM (VALUES {_VALUES}) t(v)""")
+@query(f"""SELECT event_id, v, CASE WHEN regexp_matches(trim(v), '^-?\\d+\\.?\\d*$') THEN try_cast(trim(v) AS DOUBLE) END AS d,
+CASE WHEN regexp_matches(trim(v), '^-?\\d+\\.?\\d*$') THEN try_cast(regexp_extract(trim(v), '^-?\\d+') AS INTEGER)::BIGINT END AS i FROM (SELECT event_id, {_VALUES} AS v FROM events)""")
 def i1_safe_cast(t: Tables):
-    rows = t.spark.sql(f"SELECT * FROM VALUES {_VALUES} AS t(v)")
-    return rows.select("v", safe_cast(c("v"), "double").alias("d"), safe_cast(c("v"), "int").alias("i"))
+    rows = t.events.select("event_id", F.expr(_VALUES).alias("v"))
+    return rows.select("event_id", "v", safe_cast(c("v"), "double").alias("d"), safe_cast(c("v"), "int").alias("i"))
 
 
-_TIMES = "('2024-01-02 03:04:05'), ('2024-01-02'), ('not a time'), (NULL), ('2024-13-01 00:00:00')"
-
-
-@query(f"SELECT v, strftime(try_cast(v AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts FROM (VALUES {_TIMES}) t(v)")
+@query("""SELECT o_orderkey, v, strftime(try_cast(v AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN 'not a time' WHEN 3 THEN strftime(o_orderdate, '%Y-13-%d 00:00:00') END AS v FROM orders)""")
 def i1_safe_cast_time(t: Tables):
-    rows = t.spark.sql(f"SELECT * FROM VALUES {_TIMES} AS t(v)")
-    return rows.select("v", F.date_format(safe_cast(c("v"), "timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    at, n = c("o_orderdate"), c("o_orderkey") % 5
+    v = F.when(n == 0, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).when(n == 1, F.date_format(at, "yyyy-MM-dd")).when(n == 2, "not a time").when(n == 3, F.date_format(at, "yyyy-'13'-dd 00:00:00"))
+    rows = t.orders.select("o_orderkey", v.alias("v"))
+    return rows.select("o_orderkey", "v", F.date_format(safe_cast(c("v"), "timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 _JOBS = "SELECT user_id, count(*) AS files, count(*) FILTER (event_type <> 'view') AS processed, count(*) FILTER (event_type IN ('click', 'purchase')) AS inserted, count(*) FILTER (event_type = 'error') AS failed, 100 AS ms FROM events GROUP BY user_id"
@@ -162,20 +163,19 @@ def f24_humanized(t: Tables):
     return t.documents.select("doc_id", text.human_duration(n * 7).alias("took"), text.human_bytes(n * n).alias("size"))
 
 
-_LINES = "('2024-01-02 03:04:05 INFO x'), ('at 01/02/2024 03:04:05'), ('only 03:04:05'), ('none'), ('')"
-
-
-@query(f"""SELECT v, coalesce(nullif(regexp_extract(v, '(\\d{{4}}-\\d{{2}}-\\d{{2}} \\d{{2}}:\\d{{2}}:\\d{{2}})', 1), ''), nullif(regexp_extract(v, '(\\d{{2}}/\\d{{2}}/\\d{{4}} \\d{{2}}:\\d{{2}}:\\d{{2}})', 1), ''),
-nullif(regexp_extract(v, '(\\d{{2}}:\\d{{2}}:\\d{{2}})', 1), ''), 'unknown') AS at FROM (VALUES {_LINES}) t(v)""")
+@query("""SELECT event_id, v, coalesce(nullif(regexp_extract(v, '(\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2}:\\d{2})', 1), ''), nullif(regexp_extract(v, '(\\d{2}/\\d{2}/\\d{4} \\d{2}:\\d{2}:\\d{2})', 1), ''),
+nullif(regexp_extract(v, '(\\d{2}:\\d{2}:\\d{2})', 1), ''), 'unknown') AS at FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ' INFO ' || event_type
+WHEN 1 THEN 'at ' || strftime(ts, '%d/%m/%Y %H:%M:%S') WHEN 2 THEN 'only ' || strftime(ts, '%H:%M:%S') || props WHEN 3 THEN event_type ELSE '' END AS v FROM events)""")
 def f25_log_time(t: Tables):
-    rows = t.spark.sql(f"SELECT * FROM VALUES {_LINES} AS t(v)")
-    return rows.select("v", text.log_time(c("v")).alias("at"))
+    n, at = c("event_id") % 5, lambda form: F.date_format("ts", form)
+    v = F.when(n == 0, F.concat(at("yyyy-MM-dd HH:mm:ss"), lit(" INFO "), "event_type")).when(n == 1, F.concat(lit("at "), at("dd/MM/yyyy HH:mm:ss"))).when(n == 2, F.concat(lit("only "), at("HH:mm:ss"), "props")).when(n == 3, c("event_type")).otherwise("")
+    return t.events.select("event_id", v.alias("v")).select("event_id", "v", text.log_time(c("v")).alias("at"))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'Nation ' || n_name || ' of ' || n_regionkey || ' {{other}}' AS body FROM nation")
+@query("SELECT c_custkey, 'Customer ' || c_name || ' of ' || c_nationkey || ' {{other}}' AS body FROM customer")
 def s16_rendered(t: Tables):
-    values = F.create_map(lit("name"), c("n_name"), lit("region"), c("n_regionkey").cast("string"))
-    return t.nation.select("n_nationkey", text.render(lit("Nation {{name}} of {{region}} {{other}}"), values).alias("body"))
+    values = F.create_map(lit("name"), c("c_name"), lit("nation"), c("c_nationkey").cast("string"))
+    return t.customer.select("c_custkey", text.render(lit("Customer {{name}} of {{nation}} {{other}}"), values).alias("body"))
 
 
 @query("SELECT doc_id, octet_length(encode(text)) AS file_size FROM documents")
@@ -185,12 +185,14 @@ def s17_file_size(t: Tables):
 
 @query()
 def s14_skewed_source(t: Tables):
-    return synthetic.skewed(t.spark, 10_000).groupBy("category").agg(F.count(lit(1)).alias("n"))
+    """As many rows as there are lines."""
+    return synthetic.skewed(t.spark, t.lineitem.count()).groupBy("category").agg(F.count(lit(1)).alias("n"))
 
 
 @query()
 def s15_document_source(t: Tables):
-    return synthetic.documents(t.spark, 100)
+    """As many as there are documents."""
+    return synthetic.documents(t.spark, t.documents.count())
 
 
 @query("""SELECT event_id, event_type AS operation_name, CASE WHEN event_type = 'purchase' THEN 'business' WHEN event_type = 'view' THEN 'metrics' ELSE 'unknown' END AS job_type,

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
+from ..operators.aggregates import exact_sum
 from ..plans import ingest
-from ..sources import files, sinks, synthetic
+from ..sources import files, sinks
 from ..sources.versions import VersionedTable
 from . import Tables, query
 
@@ -65,12 +67,12 @@ def k8_partitioned(t: Tables):
     return rows.filter("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count(lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
 
 
-@query("SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation UNION ALL SELECT 'NEW', 1")
+@query("SELECT c_name, c_nationkey::BIGINT AS c_nationkey FROM customer UNION ALL SELECT 'NEW', 1")
 def k9_insert_values(t: Tables):
     db = database(t)
-    t.spark.sql(f"CREATE TABLE {db}.x (n_name STRING, n_regionkey INT) USING parquet")
-    t.nation.createOrReplaceTempView("nation_rows")
-    t.spark.sql(f"INSERT INTO {db}.x SELECT n_name, n_regionkey FROM nation_rows")
+    t.spark.sql(f"CREATE TABLE {db}.x (c_name STRING, c_nationkey INT) USING parquet")
+    t.customer.createOrReplaceTempView("customer_rows")
+    t.spark.sql(f"INSERT INTO {db}.x SELECT c_name, c_nationkey FROM customer_rows")
     t.spark.sql(f"INSERT INTO {db}.x VALUES ('NEW', 1)")
     return t.spark.table(f"{db}.x")
 
@@ -112,101 +114,153 @@ def k11_bucketed_join(t: Tables):
     return joined.groupBy("o_orderpriority").agg(F.count(lit(1)).alias("n"))
 
 
-@query("SELECT 'main' AS branch, count(*) AS n FROM region UNION ALL SELECT 'staging', 2 * count(*) FROM region UNION ALL SELECT 'forwarded', 2 * count(*) FROM region")
+@query("SELECT 'main' AS branch, count(*) AS n FROM orders UNION ALL SELECT 'staging', 2 * count(*) FROM orders UNION ALL SELECT 'forwarded', 2 * count(*) FROM orders UNION ALL SELECT 'rebased', 3 * count(*) + count(*) FILTER (o_orderstatus = 'F') FROM orders")
 def d6_fast_forward(t: Tables):
     table = VersionedTable(t.spark, scratch(t))
-    table.overwrite(t.region)
+    table.overwrite(t.orders)
     table.create_branch("staging")
-    table.append(t.region, "staging")
+    table.append(t.orders, "staging")
     n = lambda df, name: df.agg(F.count(lit(1)).alias("n")).select(lit(name).alias("branch"), "n")
     before, staged = n(table.read("main"), "main"), n(table.read("staging"), "staging")
     table.fast_forward("main", "staging")
-    return before.unionByName(staged).unionByName(n(table.read("main"), "forwarded"))
+    forwarded = n(table.read("main"), "forwarded")
+    table.append(t.orders, "staging")
+    table.append(t.orders.filter("o_orderstatus = 'F'"))
+    table.fast_forward("main", "staging", rebase=True)
+    return before.unionByName(staged).unionByName(forwarded).unionByName(n(table.read("main"), "rebased"))
 
 
-@query("SELECT 'main' AS name, 'BRANCH' AS type UNION ALL SELECT 'staging', 'BRANCH'")
+@query("SELECT 'main' AS name, 'BRANCH' AS type, count(*) AS n FROM orders UNION ALL SELECT 'staging', 'BRANCH', 2 * count(*) FROM orders")
 def s12_refs(t: Tables):
+    """Each branch with the rows of its snapshot."""
     table = VersionedTable(t.spark, scratch(t))
-    table.overwrite(t.region)
+    table.overwrite(t.orders)
     table.create_branch("staging")
-    return table.refs().select("name", "type")
-
-
-@query("SELECT 'bad' AS step, 25::BIGINT AS n_main UNION ALL SELECT 'good', 50")
+    table.append(t.orders, "staging")
+    return table.refs().join(table.history().select("snapshot_id", c("rows").alias("n")), "snapshot_id").select("name", "type", "n")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'again' FROM orders WHERE o_orderpriority = '1-URGENT'")
+def s12_changes(t: Tables):
+    """What was added since a snapshot: only the files of later commits are read."""
+    table, rows = VersionedTable(t.spark, scratch(t)), t.orders.select("o_orderkey", "o_orderpriority")
+    since = table.overwrite(rows)
+    table.append(t.orders.filter("o_orderstatus = 'O'").select("o_orderkey", "o_orderpriority"))
+    until = table.append(rows.filter("o_orderpriority = '1-URGENT'").withColumn("o_orderpriority", lit("again")))
+    return table.changes(since, until)
+
+
+@query("""WITH o AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus)
+SELECT 'first' AS step, coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0)::BIGINT AS n_main, 0::BIGINT AS violations FROM o
+UNION ALL SELECT 'refused', coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0), sum(n) FROM o
+UNION ALL SELECT 'twice', coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0), coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0) FROM o
+UNION ALL SELECT 'mended', coalesce(sum(n) FILTER (o_orderstatus IN ('F', 'O')), 0), 0 FROM o
+UNION ALL SELECT 'moved on', sum(n), 0 FROM o""")
 def d5_write_audit_publish(t: Tables):
-    """What an audit refuses stays on the branch."""
-    from ..operators.audits import not_null
-
-    table, checks = VersionedTable(t.spark, scratch(t)), {"name": not_null("n_name")}
-    table.overwrite(t.nation)
-    table.publish(t.nation.withColumn("n_name", F.nullif("n_name", "n_name")), checks, "staging-1")
-    bad = table.read().agg(F.count(lit(1)).alias("n_main")).select(lit("bad").alias("step"), "n_main")
-    table.publish(t.nation, checks, "staging-2")
-    return bad.unionByName(table.read().agg(F.count(lit(1)).alias("n_main")).select(lit("good").alias("step"), "n_main"))
-
-
-@query("SELECT table_name, n_columns::BIGINT AS n_columns FROM (VALUES ('pv_data', 10), ('pv_site', 12), ('pv_system', 10), ('docs', 10), ('docs_metadata', 14), ('job_logs', 42)) v(table_name, n_columns)")
+    """On one branch: what an audit refuses leaves no trace, and a target that moved on by appends is published onto."""
+    from ..operators.audits import no_duplicates, not_null
+
+    table, checks, steps = VersionedTable(t.spark, scratch(t)), {"status": not_null("o_orderstatus"), "key": no_duplicates("o_orderkey")}, []
+    rows = t.orders.select("o_orderkey", "o_orderstatus")
+    of = lambda *s: rows.filter(c("o_orderstatus").isin(*s))
+
+    def publish(step: str, new: DataFrame) -> None:
+        found = sum(table.publish(new, checks).values())
+        steps.append(table.read().agg(F.count(lit(1)).alias("n_main")).select(lit(step).alias("step"), "n_main", lit(found).cast("long").alias("violations")))
+
+    publish("first", of("F"))
+    publish("refused", rows.select((-1 - c("o_orderkey")).alias("o_orderkey"), lit(None).cast("string").alias("o_orderstatus")))
+    publish("twice", of("F"))
+    publish("mended", of("O"))
+    table.append(of("P").filter("o_orderkey % 2 = 0"))
+    publish("moved on", rows.filter("o_orderstatus NOT IN ('F', 'O', 'P') OR o_orderstatus = 'P' AND o_orderkey % 2 <> 0"))
+    first, *rest = steps
+    for s in rest:
+        first = first.unionByName(s)
+    return first
+
+
+@query("""SELECT table_name, n_columns::BIGINT AS n_columns, n_rows FROM (VALUES ('pv_data', 10, (SELECT count(*) FROM events)), ('pv_site', 12, 0), ('pv_system', 10, 0),
+('docs', 10, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL)), ('docs_metadata', 14, 0), ('job_logs', 42, 0)) v(table_name, n_columns, n_rows)""")
 def d10_create_all(t: Tables):
+    """All tables are made by the scripts; two are filled from tables of the same kind."""
     db = database(t)
     catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
-    names = catalog.table_names(catalog.filled(catalog.DDL, db=db))
-    rows = [(n.split(".")[-1], len(t.spark.table(n).columns)) for n in names]
-    return t.spark.createDataFrame(rows, "table_name string, n_columns int")
+    docs = t.documents.select(c("doc_id").alias("document_id"), c("source").alias("document_type"), c("text").alias("value"), lit("x").alias("file_path"))
+    sinks.insert(ingest.content_rows(docs, "job"), f"{db}.docs")
+    values = {"measured_on": c("ts").cast("timestamp"), "utc_measured_on": c("ts").cast("timestamp"), "metric_id": c("event_type"), "value": c("value"), "file_path": lit("x"), "system_id": c("user_id").cast("int"), "job_id": lit("job")}
+    values |= {"year": F.year("ts"), "month": F.month("ts"), "day": F.day("ts")}
+    sinks.insert(t.events.select(*[v.alias(k) for k, v in values.items()]), f"{db}.pv_data")
+    return catalog.inspected(t.spark, only=(db,)).select(c("table").alias("table_name"), "n_columns", "n_rows")
 
 
-@query("SELECT 25::BIGINT AS expected, count(*) AS actual, true AS ok FROM nation")
+@query("SELECT (SELECT count(*) FROM customer) AS expected, count(DISTINCT o_custkey) AS actual, count(DISTINCT o_custkey) = (SELECT count(*) FROM customer) AS ok FROM orders")
 def d16_load_check(t: Tables):
-    return catalog.load_check(t.nation, 25)
+    """Whether every customer has orders."""
+    return catalog.load_check(t.orders.select("o_custkey").distinct(), t.customer.count())
 
 
-@query("SELECT position::BIGINT AS position, col_name, data_type FROM (VALUES (0, 'r_regionkey', 'int'), (1, 'r_name', 'string')) v(position, col_name, data_type)")
+@query("""SELECT position, col_name, data_type, n_null FROM (VALUES (0::BIGINT, 'doc_id', 'bigint', (SELECT count(*) FROM documents WHERE doc_id IS NULL)), (1, 'text', 'string', (SELECT count(*) FROM documents WHERE text IS NULL)),
+(2, 'lang', 'string', (SELECT count(*) FROM documents WHERE lang IS NULL))) v(position, col_name, data_type, n_null)""")
 def d15_describe(t: Tables):
-    return catalog.schema_of(t.region).select("position", "col_name", "data_type")
+    """Columns by position, with how many rows lack a value."""
+    from ..operators.aggregates import null_counts
+
+    docs = t.documents.select("doc_id", "text", "lang")
+    return catalog.schema_of(docs).join(null_counts(docs).withColumnRenamed("column_name", "col_name"), "col_name").select("position", "col_name", "data_type", "n_null")
 
 
-@query("SELECT count(*) AS n_files FROM nation WHERE n_regionkey >= 0 AND n_nationkey < 5")
+@query("SELECT o_orderpriority AS folder, true AS some FROM orders GROUP BY o_orderpriority")
 def s1_list_files(t: Tables):
-    path = sinks.save(t.nation, scratch(t), by=["n_regionkey"])
-    return files.list_files(t.spark, path, "*.parquet").agg(F.count(lit(1)).alias("n_files"))
+    """Folders that hold files, by a rule over the listing."""
+    path = sinks.save(t.orders, scratch(t), by=["o_orderpriority"])
+    found = files.extracted(files.list_files(t.spark, path, "*.parquet"), "path", {"folder": r"o_orderpriority=([^/]+)/"})
+    return found.groupBy(F.url_decode(F.url_decode("folder")).alias("folder")).agg((F.min("length") > 0).alias("some"))
 
 
-@query("SELECT n_name, n_regionkey::VARCHAR AS region FROM nation")
+@query("SELECT c_name, c_nationkey::VARCHAR AS nation FROM customer WHERE c_nationkey BETWEEN 10 AND 19")
 def s2_read_with_paths(t: Tables):
-    """Leaf files have lost their partition columns: the path gives them back."""
-    path = sinks.save(t.nation.select("n_name", "n_regionkey"), scratch(t), by=["n_regionkey"])
-    leaves = [r.path for r in files.list_files(t.spark, path, "*.parquet").collect()]
-    return files.read_files(t.spark, leaves, rules={"region": r"n_regionkey=(\d+)"}).select("n_name", "region")
+    """Leaf files have lost their partition columns: the path gives them back, and says which files aren't opened."""
+    path = sinks.save(t.customer.select("c_name", "c_nationkey"), scratch(t), by=["c_nationkey"])
+    return files.read_tree(t.spark, path, {"nation": r"c_nationkey=(\d+)"}, F.col("nation").cast("int").between(10, 19)).select("c_name", "nation")
 
 
-@query("SELECT count(*) AS n_lines FROM nation")
+@query("SELECT sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents WHERE text IS NOT NULL")
 def s5_text_lines(t: Tables):
-    path = sinks.save(t.nation.select(c("n_name").alias("value")), scratch(t), "text")
-    return t.spark.read.text(path).agg(F.count(lit(1)).alias("n_lines"))
+    path = sinks.save(t.documents.filter("text is not null").select(c("text").alias("value")), scratch(t), "text")
+    return t.spark.read.option("lineSep", "\n").text(path).agg(F.count(lit(1)).alias("n_lines"))
 
 
-@query("SELECT (n_nationkey % 24)::BIGINT AS system_id, count(*) AS n, sum(n_nationkey)::DOUBLE AS total FROM nation GROUP BY 1")
+@query("SELECT (user_id % 12)::BIGINT AS system_id, year(ts) AS year, month(ts) AS month, count(*) AS n, sum(value::DECIMAL(28,4))::DOUBLE AS total FROM events GROUP BY ALL")
 def i7_measurements(t: Tables):
     """The whole ingest: files with paths, casts, dynamic overwrite, read back."""
     db = database(t)
     catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
-    rows = t.nation.select(
-        lit("2024-01-02 03:04:05").alias("measured_on"), lit("2024-01-02 03:04:05").alias("utc_measured_on"), lit("m").alias("metric_id"), c("n_nationkey").cast("string").alias("value"),
-        F.pmod("n_nationkey", lit(24)).alias("system_id"), lit(2024).alias("year"), lit(1).alias("month"), lit(2).alias("day"),
+    moment = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    rows = t.events.select(
+        moment.alias("measured_on"), moment.alias("utc_measured_on"), c("event_type").alias("metric_id"), c("value").cast("string").alias("value"),
+        (c("user_id") % 12).alias("system_id"), F.year("ts").alias("year"), F.month("ts").alias("month"), lit(1).alias("day"),
     )
-    path = sinks.save(rows, scratch(t), by=["system_id", "year", "month", "day"])
-    leaves = [r.path for r in files.list_files(t.spark, path, "*.parquet").collect()]
-    ingest.run(t.spark, ingest.pv_data(db), leaves, "job")
-    return t.spark.table(f"{db}.pv_data").groupBy("system_id").agg(F.count(lit(1)).alias("n"), F.sum("value").alias("total"))
+    path = sinks.save(rows.repartition(8, "system_id", "year", "month"), scratch(t), by=["system_id", "year", "month", "day"])
+    spec = ingest.pv_data(db)
+    ingest.run(t.spark, replace(spec, options={"recursiveFileLookup": "true"}), path, "job")
+    return t.spark.table(f"{db}.pv_data").groupBy("system_id", "year", "month").agg(F.count(lit(1)).alias("n"), exact_sum(c("value")).alias("total"))
 
 
-@query("SELECT 'valid' AS part, 40::BIGINT AS n UNION ALL SELECT 'quarantine', 0")
+_KIND = "CASE WHEN doc_id % 7 = 0 THEN source WHEN doc_id % 2 = 0 THEN 'contract' ELSE 'legal_memo' END"
+
+
+@query(f"""SELECT CASE WHEN kind IN ('contract', 'legal_memo') AND length(trim(text)) >= 50 THEN kind ELSE 'quarantine' END AS part, count(*) AS n, sum(doc_id)::BIGINT AS ids
+FROM (SELECT doc_id, text, {_KIND} AS kind FROM documents) GROUP BY 1""")
 def k10_documents_and_quarantine(t: Tables):
+    """Valid documents by kind as text and metadata, others apart; all of them written, and read back."""
     from ..operators.contracts import valid_document
 
-    made = synthetic.documents(t.spark, 40)
-    good, bad = sinks.split_valid(made, valid_document(c("content"), c("document_type")))
-    count = lambda df, n: df.agg(F.count(lit(1)).alias("n")).select(lit(n).alias("part"), "n")
-    return count(good, "valid").unionByName(count(bad, "quarantine"))
+    rows, path = t.documents.select("doc_id", c("text").alias("content"), F.expr(_KIND).alias("document_type")), scratch(t)
+    sinks.save_documents(rows, path, valid_document(c("content"), c("document_type")), ["document_type"])
+    good = t.spark.read.json(f"{path}/metadata").select(c("document_type").alias("part"), "doc_id")
+    bad = t.spark.read.schema("doc_id long").json(f"{path}/quarantine").select(lit("quarantine").alias("part"), "doc_id")
+    return good.unionByName(bad).groupBy("part").agg(F.count(lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.language'), 'en') AS language, coalesce(json_extract_string(props, '$.method'), 'spark') AS method, 0::BIGINT AS file_size FROM events")
@@ -221,28 +275,25 @@ def i4_content_rows(t: Tables):
     return ingest.content_rows(rows, "job").select("document_id", "text_length")
 
 
-@query("""SELECT 'd' || n_nationkey AS document_id, 'type' || n_regionkey AS document_type, 'Text of ' || n_name AS raw_text, length('Text of ' || n_name) AS text_length,
-CASE n_regionkey WHEN 1 THEN 'fr' ELSE 'en' END AS language, n_nationkey::BIGINT AS file_size FROM nation""")
+@query("""SELECT doc_id::VARCHAR AS document_id, source AS document_type, text AS raw_text, length(text) AS text_length, lang AS language, n_chars AS file_size
+FROM documents WHERE length(text) > 0 AND source IS NOT NULL""")
 def i8_document_pipelines(t: Tables):
-    """Texts and their metadata from files, by path rules, into two tables, joined by document; each file is a document."""
+    """Texts and their metadata, written by partition as folders of a day and a kind, are ingested by path rules into two tables and joined by document.
+
+    Each document is a folder of its own with one file, so that the path names it.
+    """
     db, root = database(t), scratch(t)
     catalog.execute(t.spark, catalog.filled(catalog.DDL, db=db), stop_on_error=True)
-    language = F.when(c("n_regionkey") == 1, "fr")
-    made = t.nation.select(
-        F.concat(lit("type"), "n_regionkey").alias("kind"), F.concat(lit("d"), "n_nationkey").alias("name"), F.concat(lit("Text of "), "n_name").alias("text"),
-        F.to_json(F.struct(language.alias("language"), c("n_nationkey").alias("file_size"))).alias("meta"),
-    )
-    jvm, conf = t.spark.sparkContext._jvm, t.spark.sparkContext._jsc.hadoopConfiguration()
-    for r in made.collect():  # one small file a document, as such sources are
-        for end, value in (("txt", r.text), ("json", r.meta)):
-            path = jvm.org.apache.hadoop.fs.Path(f"{root}/20240131/{r.kind}/{r.name}.{end}")
-            out = path.getFileSystem(conf).create(path, False)
-            out.write(bytearray(value.encode()))
-            out.close()
-    ingest.run(t.spark, ingest.document_contents(db), f"{root}/*/*/*.txt", "job")
-    ingest.run(t.spark, ingest.document_metadata(db), f"{root}/*/*/*.json", "job")
+    whole = t.documents.filter("length(text) > 0 AND source IS NOT NULL").withColumnRenamed("source", "kind")
+    rows = whole.repartition("kind").withColumn("id", c("doc_id"))
+    rows.select(c("text").alias("value"), "kind", "id").write.partitionBy("kind", "id").option("lineSep", "\u0000").text(f"{root}/20240131/content")
+    rows.select(F.to_json(F.struct(c("lang").alias("language"), c("n_chars").alias("file_size"))).alias("value"), "kind", "id").write.partitionBy("kind", "id").text(f"{root}/20240131/metadata")
+    rules = {"document_type": r"/kind=([^/]+)/", "document_id": r"/id=([^/]+)/", "year": r"/(\d{4})\d{4}/", "month": r"/\d{4}(\d{2})\d{2}/", "day": r"/\d{6}(\d{2})/"}
+    for spec, part in ((ingest.document_contents(db), "content"), (ingest.document_metadata(db), "metadata")):
+        ingest.run(t.spark, replace(spec, rules=rules), f"{root}/20240131/{part}/*/*", "job")
     meta = t.spark.table(f"{db}.docs_metadata").select("document_id", "document_type", "language", "file_size")
-    return t.spark.table(f"{db}.docs").select("document_id", "document_type", "raw_text", "text_length").join(meta, ["document_id", "document_type"])
+    docs = t.spark.table(f"{db}.docs").select("document_id", "document_type", F.rtrim("raw_text", lit("\u0000")).alias("raw_text"), (c("text_length") - 1).alias("text_length"))
+    return docs.join(meta, ["document_id", "document_type"])
 
 
 def _by_ranges(t: Tables, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -251,7 +302,7 @@ def _by_ranges(t: Tables, ranges: list[tuple[int, int]]) -> DataFrame:
 
     rows = t.documents.select(c("doc_id").alias("moment"), c("source").alias("document_type"), c("lang").alias("language"), F.length("text").cast("long").alias("size"))
     model = models.Model("sizes", lambda df: df, "moment")
-    table = VersionedTable(t.spark, scratch(t))
+    table = VersionedTable(t.spark, scratch(t), ["moment"])
     for start, end in ranges:
         if table.exists():
             models.run(model, table, rows, start, end)

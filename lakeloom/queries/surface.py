@@ -15,7 +15,7 @@ from . import Tables, query
 from .storage import database, scratch
 
 c, lit, count = F.col, F.lit, F.count
-_NATION = "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation"
+_CUSTOMER = "SELECT c_custkey, c_name FROM customer"
 
 
 @query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
@@ -23,93 +23,112 @@ def s4_parquet_glob(t: Tables):
     return t.spark.read.parquet(f"{t.sf_dir}/regio?.parquet")
 
 
-@query(_NATION)
+@query(_CUSTOMER)
 def s6_csv_without_header(t: Tables):
-    path = sinks.save(t.nation.select("n_nationkey", "n_name"), scratch(t), "csv")
-    return t.spark.read.schema("n_nationkey int, n_name string").csv(path)
+    path = sinks.save(t.customer.select("c_custkey", "c_name"), scratch(t), "csv")
+    return t.spark.read.schema("c_custkey bigint, c_name string").csv(path)
 
 
-@query("SELECT count(*) AS n, true AS sized FROM region WHERE r_regionkey < 2")
+@query("SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents WHERE source IS NOT NULL GROUP BY source")
 def s8_binary_files(t: Tables):
-    path = scratch(t)
-    sinks.save(t.region.select(c("r_name").alias("value")).coalesce(1), f"{path}/a", "text")
-    sinks.save(t.region.select(c("r_name").alias("value")).coalesce(1), f"{path}/b", "text")
-    found = files.list_files(t.spark, path, "part-*")
-    return found.agg(count(lit(1)).alias("n"), (F.min("length") > 0).alias("sized"))
+    """Sizes of files by folder, from the listing alone: each line of text is its bytes and a line break."""
+    rows = t.documents.filter("source is not null").select(F.coalesce("text", lit("")).alias("value"), "source")
+    path = sinks.save(rows, scratch(t), "text", by=["source"])
+    found = files.extracted(files.list_files(t.spark, path, "part-*"), "path", {"source": r"source=([^/]+)/"})
+    return found.groupBy("source").agg(F.sum("length").alias("bytes"))
 
 
-@query("SELECT 1::BIGINT AS n_files")
+@query("SELECT count(DISTINCT coalesce(source, '')) AS n_folders FROM documents WHERE length(text) > 0")
 def s9_files_with_text(t: Tables):
-    path = sinks.save(t.region.select(c("r_name").alias("value")).coalesce(1), scratch(t), "text")
-    return files.distinct_files(t.spark, path).agg(count(lit(1)).alias("n_files"))
+    """Folders with a file that holds a line; empty texts give files without one."""
+    rows = t.documents.filter("length(text) > 0").select("text", "source")
+    path = sinks.save(rows, scratch(t), "text", by=["source"])
+    found = files.distinct_files(t.spark, path).select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("folder"))
+    return found.agg(F.count_distinct("folder").alias("n_folders"))
 
 
-@query(_NATION)
+@query(_CUSTOMER)
 def s10_table_by_name(t: Tables):
     db = database(t)
-    sinks.replace_table(t.nation.select("n_nationkey", "n_name"), f"{db}.x")
+    sinks.replace_table(t.customer.select("c_custkey", "c_name"), f"{db}.x")
     return files.table_or_path(t.spark, f"{db}.x")
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def s11_branch_scan(t: Tables):
-    table = VersionedTable(t.spark, scratch(t))
-    table.overwrite(t.nation.select("n_nationkey", "n_name"))
+    table, rows = VersionedTable(t.spark, scratch(t)), t.orders.select("o_orderkey", "o_orderstatus")
+    table.overwrite(rows)
     table.create_branch("staging")
-    table.overwrite(t.nation.filter("n_regionkey = 1").select("n_nationkey", "n_name"), "staging")
+    table.overwrite(rows.filter("o_orderstatus = 'F'"), "staging")
     return table.read("staging")
 
 
-@query("SELECT * FROM (VALUES ('Alice', 25::BIGINT), ('Bob', 30::BIGINT)) v(name, age)")
+@query("SELECT meaning, weight, count(*) AS n FROM orders JOIN (VALUES ('F', 'finished', 2::BIGINT), ('O', 'open', 3::BIGINT)) v(o_orderstatus, meaning, weight) USING (o_orderstatus) GROUP BY ALL")
 def s13_inline_rows(t: Tables):
-    return t.spark.createDataFrame([("Alice", 25), ("Bob", 30)], "name string, age int")
+    """Rows from the program beside a table."""
+    meanings = t.spark.createDataFrame([("F", "finished", 2), ("O", "open", 3)], "o_orderstatus string, meaning string, weight int")
+    return t.orders.join(F.broadcast(meanings), "o_orderstatus").groupBy("meaning", "weight").agg(count(lit(1)).alias("n"))
 
 
-@query(_NATION)
+@query(_CUSTOMER)
 def s20_path_gateway(t: Tables):
     root = scratch(t)
-    sinks.save(t.nation.select("n_nationkey", "n_name"), f"{root}/energy/nation")
-    return files.table_or_path(t.spark, "energy.nation", "local", root)
+    sinks.save(t.customer.select("c_custkey", "c_name"), f"{root}/energy/customer")
+    return files.table_or_path(t.spark, "energy.customer", "local", root)
 
 
-@query("SELECT 25::BIGINT AS total_records, 25::BIGINT AS successful_inserts, 0::BIGINT AS failed_inserts, 25::BIGINT AS in_table")
+@query("SELECT count(*) AS total_records, count(*) AS successful_inserts, 0::BIGINT AS failed_inserts, count(*) AS in_table FROM orders")
 def k1_insert_figures(t: Tables):
     db = database(t)
-    sinks.replace_table(t.nation.limit(0), f"{db}.x")
-    out = sinks.insert(t.nation, f"{db}.x", sinks.Write.APPEND)
+    sinks.replace_table(t.orders.limit(0), f"{db}.x")
+    out = sinks.insert(t.orders, f"{db}.x", sinks.Write.APPEND)
     row = [(out["total_records"], out["successful_inserts"], out["failed_inserts"])]
     figures = t.spark.createDataFrame(row, "total_records long, successful_inserts long, failed_inserts long")
     return figures.crossJoin(t.spark.table(f"{db}.x").agg(count(lit(1)).alias("in_table")))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey < 3")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 3")
 def k5_replaced_table(t: Tables):
     db = database(t)
-    sinks.replace_table(t.nation, f"{db}.x", properties={"compression": "zstd"})
-    sinks.replace_table(t.nation.filter("n_nationkey < 3").select("n_nationkey", "n_name"), f"{db}.x")
+    sinks.replace_table(t.customer, f"{db}.x", properties={"compression": "zstd"})
+    sinks.replace_table(t.customer.filter("c_nationkey < 3").select("c_custkey", "c_name"), f"{db}.x")
     return t.spark.table(f"{db}.x")
 
 
-@query("SELECT true AS created, false AS dropped")
+@query("SELECT o_orderpriority, count(*) AS n, false AS dropped FROM orders GROUP BY o_orderpriority")
 def d1_create_and_drop(t: Tables):
+    """Tables of a database are written and read, one is dropped, and then the database."""
     db = database(t)
-    created = t.spark.catalog.databaseExists(db)
+    sinks.replace_table(t.orders.select("o_orderpriority"), f"{db}.x")
+    sinks.replace_table(t.spark.table(f"{db}.x").groupBy("o_orderpriority").agg(count(lit(1)).alias("n")), f"{db}.y")
+    rows = t.spark.table(f"{db}.y").collect()  # one a priority
+    t.spark.sql(f"DROP TABLE {db}.x")
+    left = t.spark.catalog.tableExists(f"{db}.x")
     t.spark.sql(f"DROP DATABASE {db} CASCADE")
-    return t.spark.createDataFrame([(created, t.spark.catalog.databaseExists(db))], "created boolean, dropped boolean")
+    return t.spark.createDataFrame([(*r, left or t.spark.catalog.databaseExists(db)) for r in rows], "o_orderpriority string, n long, dropped boolean")
 
 
-@query("SELECT * FROM (VALUES ('a', 2::BIGINT, 5::BIGINT), ('b', 3::BIGINT, 25::BIGINT)) v(\"table\", n_columns, n_rows)")
+@query("SELECT 'a' AS \"table\", 6::BIGINT AS n_columns, count(*) AS n_rows FROM orders UNION ALL SELECT 'b', 5, count(*) FROM customer")
 def d13_inspected(t: Tables):
     db = database(t)
-    sinks.replace_table(t.region, f"{db}.a")
-    sinks.replace_table(t.nation, f"{db}.b")
-    return catalog.inspected(t.spark).filter(c("database") == db).drop("database")
+    sinks.replace_table(t.orders, f"{db}.a")
+    sinks.replace_table(t.customer, f"{db}.b")
+    return catalog.inspected(t.spark, only=(db,)).drop("database")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'SELECT ''a;b'''), (1::BIGINT, 'SELECT 2')) v(i, statement)")
+@query("SELECT o_orderstatus || ';' AS status, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY 1 HAVING count(*) > 1")
 def d9_statements(t: Tables):
-    found = catalog.statements("-- first\nSELECT 'a;b'; SELECT 2 -- ; no\n;")
-    return t.spark.createDataFrame(list(enumerate(found)), "i int, statement string")
+    """A script with comments, and with semicolons in them and in text, is run statement by statement; the last one's rows."""
+    db = database(t)
+    script = """-- first; the dear ones
+CREATE TABLE ${db}.dear USING parquet AS SELECT concat(o_orderstatus, ';') AS status FROM orders WHERE o_totalprice > 100000; /* then;
+they are counted */ CREATE TABLE ${db}.counted USING parquet AS SELECT status, count(*) AS n FROM ${db}.dear GROUP BY status;
+DELETE_NOT_A_STATEMENT;
+CREATE TABLE ${db}.many USING parquet AS SELECT * FROM ${db}.counted WHERE n > 1 -- done;
+"""
+    t.view("orders")
+    assert [x["ok"] for x in catalog.execute(t.spark, catalog.filled(script, db=db))] == [True, True, False, True]
+    return t.spark.table(f"{db}.many")
 
 
 @query("SELECT doc_id, lang AS language FROM documents WHERE source NOT IN ('src0', 'src1')")
@@ -127,19 +146,24 @@ def f21_success_rate(t: Tables):
     return t.events.groupBy("user_id").agg(rates.success_rate(F.count_if(c("event_type") == "click"), count(lit(1))).alias("rate"))
 
 
-@query("SELECT 'spark_catalog' AS catalog_name, 'default' AS schema_name")
+@query("SELECT c_mktsegment, count(*) AS n, 'spark_catalog' AS catalog_name, 'default' AS schema_name FROM customer GROUP BY c_mktsegment")
 def f19_current(t: Tables):
-    return catalog.current(t.spark)
+    """Counts say under which catalog and schema they were made."""
+    counts = t.customer.groupBy("c_mktsegment").agg(count(lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(catalog.current(t.spark)))
 
 
-@query("SELECT 'catalogs' AS what, 1::BIGINT AS n UNION ALL SELECT 'schemas', 1 UNION ALL SELECT 'used', 1")
+@query("SELECT 'catalogs' AS what, 1::BIGINT AS n UNION ALL SELECT 'schemas', 2 UNION ALL SELECT 'first', count(*) FROM customer UNION ALL SELECT 'second', count(*) FROM orders")
 def d14_namespaces(t: Tables):
-    db = database(t)
-    with catalog.using(t.spark, db):
-        used = catalog.current(t.spark).filter(c("schema_name") == db).cache()
-        n_used = used.count()
-    rows = [("catalogs", catalog.catalogs(t.spark, "spark_catalog").count()), ("schemas", catalog.schemas(t.spark, db).count()), ("used", n_used)]
-    return t.spark.createDataFrame(rows, "what string, n long")
+    """An unqualified name means the table of the schema in use."""
+    dbs = {"first": database(t), "second": database(t)}
+    for db, rows in zip(dbs.values(), (t.customer, t.orders), strict=True):
+        sinks.replace_table(rows, f"{db}.x")
+    found = [("catalogs", catalog.catalogs(t.spark, "spark_catalog").count()), ("schemas", sum(catalog.schemas(t.spark, db).count() for db in dbs.values()))]
+    for name, db in dbs.items():
+        with catalog.using(t.spark, db):
+            found.append((name, t.spark.table("x").count()))
+    return t.spark.createDataFrame(found, "what string, n long")
 
 
 @query("SELECT user_id, median(value) AS middle FROM events GROUP BY user_id")
@@ -154,14 +178,12 @@ def g7_table_function(t: Tables):
     return t.view("documents").sql("SELECT doc_id, c.chunk_index, c.chunk_text FROM documents, LATERAL char_chunks(text, 200, 50) c")
 
 
-@query("SELECT r_regionkey::BIGINT AS r_regionkey, true AS formed, (SELECT count(*) FROM region) AS n_ids FROM region")
+@query("SELECT c_nationkey::BIGINT AS c_nationkey, true AS formed, count(*) AS n, true AS new FROM customer GROUP BY c_nationkey")
 def f23_job_ids(t: Tables):
-    """Each id is new; its form is prefix, seconds, eight hex digits."""
-    from pyspark.sql import Window as W
-
-    rows = t.region.select("r_regionkey", rates.job_id("job").alias("job_id"))
-    n = F.size(F.collect_set("job_id").over(W.partitionBy()))
-    return rows.select("r_regionkey", F.col("job_id").rlike(r"^job_\d{10}_[0-9a-f]{8}$").alias("formed"), n.cast("long").alias("n_ids"))
+    """Each id is new (chance may give two the same eight hex digits); its form is prefix, seconds, eight hex digits."""
+    rows = t.customer.select("c_nationkey", rates.job_id("job").alias("job_id"))
+    ids = rows.groupBy("c_nationkey").agg(F.bool_and(c("job_id").rlike(r"^job_\d{10}_[0-9a-f]{8}$")).alias("formed"), count(lit(1)).alias("n"), F.count_distinct("job_id").alias("ids"))
+    return ids.select("c_nationkey", "formed", "n", (c("ids") >= c("n") - 1).alias("new"))
 
 
 @query("SELECT count(*) AS n, count(*) AS n_ids, true AS placed FROM orders")
@@ -172,7 +194,7 @@ def f18_lineage(t: Tables):
     return rows.agg(count(lit(1)).alias("n"), F.count_distinct("task_execution_id").alias("n_ids"), placed.alias("placed"))
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, (n_regionkey * 2)::BIGINT AS doubled, upper(n_name) AS upper_name FROM nation")
+@query("SELECT c_custkey, (c_nationkey * 2)::BIGINT AS doubled, upper(c_name) AS upper_name FROM customer")
 def g1_udfs(t: Tables):
     """Arrow-batched user functions, null-safe; built-ins do the same without leaving the JVM."""
 
@@ -184,15 +206,18 @@ def g1_udfs(t: Tables):
     def upper(x):
         return x.str.upper()
 
-    return t.nation.select("n_nationkey", doubled("n_regionkey").alias("doubled"), upper("n_name").alias("upper_name"))
+    return t.customer.select("c_custkey", doubled("c_nationkey").alias("doubled"), upper("c_name").alias("upper_name"))
+
+
+_TWICE = "SELECT {0}::VARCHAR AS key, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_totalprice > 1000 GROUP BY {0}"
 
 
-@query("SELECT n_regionkey::BIGINT AS n_regionkey, count(*) AS n, max(n_name) AS last FROM nation GROUP BY n_regionkey")
+@query(f"{_TWICE.format('o_orderstatus')} UNION ALL {_TWICE.format('o_orderpriority')}")
 def x5_cached(t: Tables):
-    cached = t.nation.cache()
-    out = cached.groupBy("n_regionkey").agg(count(lit(1)).alias("n"), F.max("n_name").alias("last"))
-    cached.unpersist()
-    return out
+    """What two aggregates share is read once and kept in memory for as long as a frame refers to it."""
+    kept = t.orders.filter("o_totalprice > 1000").select("o_orderstatus", "o_orderpriority", "o_totalprice").cache()
+    one = lambda k: kept.groupBy(c(k).alias("key")).agg(count(lit(1)).alias("n"), F.max("o_totalprice").alias("most"))
+    return one("o_orderstatus").unionByName(one("o_orderpriority"))
 
 
 @query("SELECT doc_id, lang IN ('en', 'es', 'fr', 'de', 'it', 'pt') AS known, n_chars >= 100 AS long_enough FROM documents")

@@ -53,6 +53,21 @@ def read_files(spark: SparkSession, paths: str | list[str], kind: str = "parquet
     return with_path(df, rules, empty_as_null)
 
 
+def read_tree(spark: SparkSession, root: str, rules: Mapping[str, str], where: Column | str | None = None, kind: str = "parquet", empty_as_null: bool = True, **options) -> DataFrame:
+    """All files below ``root``, whatever their folders, with path rules; ``where`` is a condition on the rules' columns.
+
+    The rules are expressions over the file's path, so the condition is evaluated on the
+    listing: files that it rules out aren't opened, and no paths go through the driver's code.
+    """
+    df = with_path(spark.read.format(kind).options(**options).option("recursiveFileLookup", "true").load(root), rules, empty_as_null)
+    return df if where is None else df.filter(where)
+
+
+def count_files(spark: SparkSession, paths: str | list[str]) -> int:
+    """How many files the paths name: a count over the listing, no names and no contents."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path").count()
+
+
 def distinct_files(spark: SparkSession, path: str) -> DataFrame:
     """Files that hold at least one line."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path")).distinct()
