@@ -30,6 +30,7 @@ an empty table gives an empty table; other columns, whatever their names, only p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,8 +51,8 @@ PART, REMEMBERED = 1 << 20, 1 << 20
 SAMPLE, FREQUENT = 2048, 32
 #: Rows of the smaller side of a join that go out with the tasks; beyond, both sides are shuffled.
 SMALL = 1 << 18
-#: Pivots of a group in a round: they double up to the second number.
-PIVOTS = (8, 64)
+#: Signatures that one task sorts, about; pivots of a group in a round at least, and pairs a round for which there may be more.
+SORTED, PIVOTS, PAIRS = 1 << 21, 8, 1 << 23
 #: Multiplier of hashes of words (a fixed odd number).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = 2**63 - 1  # a null id
@@ -143,83 +144,85 @@ def _class(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(key, tid, n, cls, sketch) of each row: the size of its set, its class and its sketch."""
+def sets(rows: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """(key, tid, n, cls, sketch, sigs) of each row: the size of its set, its class, its sketch and its signatures, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in common.sliced(batches, "_text"):
-            n, cls, sketches = [], [], []
+            n, cls, sketches, sigs = [], [], [], []
             for text in common.blobs(batch.column("_text")):
                 found = elements(text, known, shingle)
                 n.append(len(found))
                 cls.append(_class(found))
                 sketches.append(sketch(found))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tid"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary())], ["key", "tid", "n", "cls", "sketch"])
+                sigs.append(signatures(found, least).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("tid"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sigs, pa.binary())], ["key", "tid", "n", "cls", "sketch", "sigs"])
 
-    return rows.mapInArrow(common.task("partenum", run), "key long, tid long, n long, cls long, sketch binary")
+    return rows.mapInArrow(common.task("partenum", run), "key long, tid long, n long, cls long, sketch binary, sigs binary")
 
 
-def _signed(rows: DataFrame, shingle: int, least: int, parts: int, often: np.ndarray) -> DataFrame:
+def _signed(of: DataFrame, parts: int, often: np.ndarray) -> DataFrame:
     """(part, sig, cls): a task gives each class once; those of frequent signatures are dealt out by class too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = Hashes(), set()
-        for batch in common.sliced(batches, "_text"):
-            sigs, cls = [], []
-            for text in common.blobs(batch.column("_text")):
-                found = elements(text, known, shingle)
-                c = _class(found)
-                if c in seen:
-                    continue
+        seen: set[int] = set()
+        for batch in common.sliced(batches, "sigs"):
+            fresh = []
+            for c in batch.column("cls").to_pylist():
+                fresh.append(c not in seen)
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(c)
-                sigs.append(signatures(found, least))
-                cls.append(np.full(len(sigs[-1]), c, np.int64))
-            if not sigs:
-                continue
-            sig, c = np.concatenate(sigs), np.concatenate(cls)
-            deal = np.where(np.isin(sig, often), sig ^ common.mix64(c.view(np.uint64)), sig) if len(often) else sig
-            yield pa.RecordBatch.from_arrays([pa.array((deal % np.uint64(parts)).astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(c)], ["part", "sig", "cls"])
+            batch = batch.filter(pa.array(fresh))
+            packed = common.blobs(batch.column("sigs"))
+            sig = np.frombuffer(b"".join(packed), np.uint64)
+            cls = np.repeat(batch.column("cls").to_numpy(), [len(x) // 8 for x in packed])
+            deal = np.where(np.isin(sig, often), sig ^ common.mix64(cls.view(np.uint64)), sig) if len(often) else sig
+            yield pa.RecordBatch.from_arrays([pa.array((deal % np.uint64(parts)).astype(np.int32)), pa.array(sig.view(np.int64)), pa.array(cls)], ["part", "sig", "cls"])
 
-    return rows.select("_text").mapInArrow(common.task("partenum", run), "part int, sig long, cls long")
+    return of.select("cls", "sigs").mapInArrow(common.task("partenum", run), "part int, sig long, cls long")
 
 
 def _shared(often: np.ndarray):
-    """Of rows sorted by signature and class: those of signatures with several classes, or that are dealt out to several tasks; each once."""
+    """Of a partition's rows those of signatures with several classes, or that are dealt out to several tasks; each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, twice = None, False  # the last row; whether another class of its signature came before
-        schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, cls = (batch.column(i).to_numpy() for i in range(2))
-            if held:
-                sig, cls = np.append(held[0], sig), np.append(held[1], cls)
-            fresh = np.append(True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1]))
-            sig, cls = sig[fresh], cls[fresh]
-            like = np.append(twice and held is not None, sig[1:] == sig[:-1])  # as the row before
-            keep = like | np.append(like[1:], False) | np.isin(sig.view(np.uint64), often)
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep[:-1]]), pa.array(cls[:-1][keep[:-1]])], schema=schema)
-            held, twice = (sig[-1], cls[-1]), bool(like[-1])
-        if held:
-            last = twice or np.isin(np.array([held[0]]).view(np.uint64), often)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([held[i]][: int(last)], pa.int64()) for i in range(2)], schema=schema)
+        held = [(b.column("sig").to_numpy(), b.column("cls").to_numpy()) for b in batches]
+        if not held:
+            return
+        sig, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(sig)
+        sig, cls = sig[order], cls[order]
+        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        several = np.maximum.reduceat(cls, first) != np.minimum.reduceat(cls, first)
+        if len(often):
+            several |= np.isin(sig[first].view(np.uint64), often)
+        keep = np.repeat(several, np.diff(np.append(first, len(sig))))
+        sig, cls = sig[keep], cls[keep]
+        order = np.lexsort((cls, sig))
+        sig, cls = sig[order], cls[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])
+        for at in range(0, len(sig), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[part][new[part]]), pa.array(cls[part][new[part]])], ["sig", "cls"])
 
     return run
 
 
-def shared(rows: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(sig, cls) of all signatures that may belong to several classes."""
-    parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    none = np.zeros(0, np.uint64)
-    drawn = _signed(rows.sample(min(1.0, SAMPLE / max(1, rows.count())), 7), shingle, least, 1, none)
+def shared(of: DataFrame) -> DataFrame:
+    """(sig, cls) of all signatures that may belong to several classes, from stored :func:`sets`.
+
+    About as many signatures as half of all elements are dealt out, and so many partitions that a task can sort its own.
+    """
+    texts, signed = of.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("sigs") / 8), F.lit(0))).first()
+    parts = max(2, int(of.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(signed / SORTED))
+    drawn = _signed(of.sample(min(1.0, SAMPLE / max(1, texts)), 7), 1, np.zeros(0, np.uint64))
     found = drawn.groupBy("sig").agg(F.count_distinct("cls").alias("n")).filter(F.col("n") >= FREQUENT).select("sig").collect()  # of a bounded sample
     often = np.sort(np.array([r.sig for r in found], np.int64).view(np.uint64))
-    dealt = _signed(rows, shingle, least, parts, often).repartitionById(parts, "part").select("sig", "cls").sortWithinPartitions("sig", "cls")
-    return dealt.mapInArrow(common.task("partenum", _shared(often)), "sig long, cls long")
+    return _signed(of, parts, often).repartitionById(parts, "part").select("sig", "cls").mapInArrow(common.task("partenum", _shared(often)), "sig long, cls long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -260,40 +263,37 @@ def _alike(least: int):
 
 
 def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """(u, v): links between classes that connect all classes that links connect.  ``of``: :func:`sets` of the rows."""
+    """(u, v): links between classes that connect all classes that links connect.  ``of``: stored :func:`sets` of the rows."""
     spark = rows.sparkSession
-    state = common.written(shared(rows, shingle, least), "signatures", "size")
+    state = common.written(shared(of), "signatures", "size")
     common.released(spark)
     classes = common.written(of.groupBy("cls").agg(F.min(F.struct("key", "tid")).alias("d"), F.first("sketch").alias("sketch")).select("cls", "d.key", "d.tid", "sketch"), "sketches")
-    state, found, failed, good, turn, most = state.withColumn("label", F.col("cls")), None, None, [], 0, PIVOTS[0]
+    state, found, good, turn = state.withColumn("label", F.col("cls")), None, [], 0
     while True:
         rest = state
         if turn:
             mixed = state.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
             rest = common.written(state.join(mixed, "sig"), "groups", "size")
-        if rest.isEmpty():
+        left = rest.count()
+        if not left:
             break
+        slots = max(PIVOTS, PAIRS // left) if turn else 1
         rank = F.xxhash64("cls", F.lit(turn))
         least_of = F.min(F.struct(rank.alias("r"), F.col("cls").alias("pivot"), F.col("label").alias("other"))).alias("p")
-        chosen = rest.groupBy("sig", F.pmod(rank, F.lit(most if turn else 1)).alias("slot")).agg(least_of).select("sig", "p.*")
+        chosen = rest.groupBy("sig", F.pmod(rank, F.lit(slots)).alias("slot")).agg(least_of).select("sig", "p.*")
         met = rest.join(chosen, "sig").filter("label <> other").select("cls", "pivot", "r")
         if not turn:  # at first each class meets one pivot, the same in most of its groups
             met = met.groupBy("cls").agg(F.min(F.struct("r", "pivot")).alias("p")).select("cls", F.col("p.pivot").alias("pivot"))
         pairs = met.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
-        pairs = pairs if failed is None else pairs.join(failed, ["u", "v"], "left_anti")
-        bounded = common.written(_compared(pairs, classes, "sketch", lambda x, y: within(x, y, least)), "bounded")
-        close = bounded.filter("linked").select("u", "v")
+        close = common.written(_compared(pairs, classes, "sketch", lambda x, y: within(x, y, least)).filter("linked").select("u", "v"), "bounded")
         wanted = classes.join(close.select(F.col("u").alias("cls")).union(close.select("v")).distinct(), "cls").select("cls", "key", "tid")
         wanted = common.written(wanted if found is None else wanted.join(found, "cls", "left_anti"), "wanted")
-        more = common.written(_elements(rows, wanted, shingle), "sets", "size")
-        found = more if found is None else found.unionByName(more)
-        seen = common.written(_compared(close, found, "e", _alike(least)), "checked")
-        good.append(seen.filter("linked").select("u", "v"))
-        lost = bounded.filter("not linked").select("u", "v").unionByName(seen.filter("not linked").select("u", "v"))
-        failed = lost if failed is None else failed.unionByName(lost)
+        if found is None or not wanted.isEmpty():
+            more = common.written(_elements(rows, wanted, shingle), "sets", "size")
+            found = more if found is None else found.unionByName(more)
+        good.append(common.written(_compared(close, found, "e", _alike(least)).filter("linked").select("u", "v"), "links"))
         if turn:  # these have met all of their group
             rest = rest.join(chosen.select("sig", F.col("pivot").alias("cls")), ["sig", "cls"], "left_anti")
-            most = min(2 * most, PIVOTS[1])
         if not good[-1].isEmpty():
             now = rest.select(F.col("cls").alias("c"), F.col("label").alias("l")).distinct()
             edges = good[-1].join(now.withColumnsRenamed({"c": "u", "l": "lu"}), "u", "left").join(now.withColumnsRenamed({"c": "v", "l": "lv"}), "v", "left")
@@ -310,7 +310,7 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = _keyed(docs, id_col, text_col)
-    of = common.written(sets(rows, shingle), "classes")
+    of = common.written(sets(rows, shingle, least), "classes", "none")
     label = components(links(rows, of, shingle, least))
     full = of.filter("n > 0").join(label, of.cls == label.node, "left").select("key", "n", F.coalesce("label", "cls").alias("label"))
     first = full.groupBy("label").agg(F.min("key").alias("first"))
