@@ -72,7 +72,7 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01,
         return left.join(right, key, how)
     part = F.pmod(F.xxhash64(*left.columns), _salts(hot, key)).alias("__salt")
     l = left.select("*", part)  # noqa: E741
-    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), _salts(hot, key) - 1)).cast("long"))
+    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts(hot, key).cast("long") - 1)))
     return l.join(r, [key, "__salt"], how).drop("__salt")
 
 
