@@ -52,7 +52,7 @@ SAMPLE, FREQUENT = 2048, 32
 #: Rows of the smaller side of a join that go out with the tasks; beyond, both sides are shuffled.
 SMALL = 1 << 18
 #: Signatures that one task sorts, about; pivots of a group in a round at least, and pairs a round for which there may be more.
-SORTED, PIVOTS, PAIRS = 1 << 21, 8, 1 << 23
+SORTED, PIVOTS, PAIRS = 1 << 21, 8, 1 << 24
 #: Multiplier of hashes of words (a fixed odd number).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = 2**63 - 1  # a null id
@@ -279,7 +279,9 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
             break
         slots = max(PIVOTS, PAIRS // left) if turn else 1
         rank = F.xxhash64("cls", F.lit(turn))
-        least_of = F.min(F.struct(rank.alias("r"), F.col("cls").alias("pivot"), F.col("label").alias("other"))).alias("p")
+        # classes that nothing is linked to come first: once all of them have met the group, it is one component
+        linked = F.col("label") != F.col("cls")
+        least_of = F.min(F.struct(linked.alias("linked"), rank.alias("r"), F.col("cls").alias("pivot"), F.col("label").alias("other"))).alias("p")
         chosen = rest.groupBy("sig", F.pmod(rank, F.lit(slots)).alias("slot")).agg(least_of).select("sig", "p.*")
         met = rest.join(chosen, "sig").filter("label <> other").select("cls", "pivot", "r")
         if not turn:  # at first each class meets one pivot, the same in most of its groups
