@@ -246,9 +246,8 @@ def priority(kind_name: str | None) -> list[str]:
     return first + [k for k in DEFAULT_PRIORITY if k not in first]
 
 
-def positions(text: Column, pattern: str) -> Column:
-    """Where each match begins, from 0, in any case: the pieces around the matches and the matches themselves, in turn, summed up."""
-    regex = f"(?iU){pattern}"
+def positions(text: Column, regex: Column) -> Column:
+    """Where each match begins, from 0: the pieces around the matches and the matches themselves, in turn, summed up."""
 
     def places(x: Column) -> Column:
         start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
@@ -260,7 +259,7 @@ def positions(text: Column, pattern: str) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(x["hits"]) - 1), start, step, lambda acc: acc["out"])
 
     def sized(gaps: Column) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        hits = F.regexp_extract_all(text, regex, F.lit(0))
         both = F.struct(F.transform(gaps, F.length).alias("gaps"), F.transform(hits, F.length).alias("hits"))
         return F.when(F.size(gaps) > 1, let(both, places)).otherwise(F.array().cast("array<int>"))
 
@@ -269,7 +268,6 @@ def positions(text: Column, pattern: str) -> Column:
 
 def boundaries(text: Column, kind_name: Column | None = None) -> Column:
     """array<struct<pos,rank,name>> of all boundaries, by position, then by the order for the kind of document; null as empty."""
-    whole = F.coalesce(text, F.lit(""))
 
     def rank(name: str) -> Column:
         place = lambda k: F.lit(priority(k).index(name) if name in priority(k) else None).cast("int")
@@ -278,12 +276,14 @@ def boundaries(text: Column, kind_name: Column | None = None) -> Column:
             out = F.when(kind_name == k, place(k)).otherwise(out)
         return out
 
-    def named(name: str) -> Column:
-        found = F.when(rank(name).isNotNull(), positions(whole, BOUNDARIES[name])).otherwise(F.array().cast("array<int>"))
-        return F.transform(found, lambda p: F.struct(p.alias("pos"), rank(name).alias("rank"), F.lit(name).alias("name")))
-
     names = BOUNDARIES if kind_name is not None else DEFAULT_PRIORITY
-    return F.sort_array(F.flatten(F.array(*[named(n) for n in names])))
+    patterns = F.array(*[F.struct(rank(n).alias("rank"), F.lit(n).alias("name"), F.lit(f"(?iU){BOUNDARIES[n]}").alias("regex")) for n in names])
+
+    def every(whole: Column) -> Column:
+        found = lambda x: F.transform(positions(whole, x["regex"]), lambda p: F.struct(p.alias("pos"), x["rank"].alias("rank"), x["name"].alias("name")))
+        return F.sort_array(F.flatten(F.transform(F.filter(patterns, lambda x: x["rank"].isNotNull()), found)))
+
+    return let(F.coalesce(text, F.lit("")), every)
 
 
 CHUNK = "array<struct<text:string,boundary_type:string,estimated_tokens:int,chunk_strategy:string,document_type:string>>"
@@ -297,18 +297,17 @@ def semantic_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100
     boundary.  Texts without any boundary are packed by paragraph.  White space between
     two boundaries is no segment, but its boundary types the chunk that is open.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    of_kind = kind(text) if by_kind else F.lit(None).cast("string")
 
     def chunk(t: Column, boundary: Column, strategy: str, kind_name: Column) -> Column:
         fields = {"text": t, "boundary_type": boundary, "estimated_tokens": estimated_tokens(t).cast("int"), "chunk_strategy": F.lit(strategy), "document_type": kind_name}
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    def segments(found: Column) -> Column:
-        starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda b: b["pos"]))
-        names = F.concat(F.array(F.lit("document_start")), F.transform(found, lambda b: b["name"]))
-        cut = lambda s, i: F.substring(text, F.get(s, i) + 1, F.coalesce(F.get(s, i + 1), F.length(text)) - F.get(s, i))
-        return let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.struct(cut(s, i).alias("s"), F.get(names, i).alias("name"))))
+    def segments(text: Column, found: Column) -> Column:
+        first = F.struct(F.lit(0).alias("pos"), F.lit("document_start").alias("name"))
+        starts = F.concat(F.array(first), F.transform(found, lambda b: F.struct(b["pos"].alias("pos"), b["name"].alias("name"))))
+        at = lambda s, i: F.get(s, i)["pos"]
+        cut = lambda s, i: F.substring(text, at(s, i) + 1, F.coalesce(at(s, i + 1), F.length(text)) - at(s, i))
+        return let(starts, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.struct(cut(s, i).alias("s"), F.get(s, i)["name"].alias("name"))))
 
     def by_boundary(x: Column, kind_name: Column) -> Column:
         """x: the segments, and which of them aren't blank."""
@@ -319,15 +318,19 @@ def semantic_chunks(df: DataFrame, text_col: str = "text", max_tokens: int = 100
         last = lambda j: F.get(all_, F.coalesce(F.get(full, j + 1), F.size(all_)) - 1)["name"]
         return F.transform(chunks, lambda c: let(strip(c["text"]), lambda t: chunk(t, last(c["last"]), "semantic_boundary", kind_name)))
 
-    def chunked(x: Column) -> Column:
+    def chunked(text: Column, x: Column) -> Column:
         kind_name = F.coalesce(x["kind"], F.lit("general"))
         full = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: strip(F.get(s, i)["s"]) != "")
-        typed = let(let(segments(x["found"]), lambda s: F.struct(s.alias("all"), full(s).alias("full"))), lambda y: by_boundary(y, kind_name))
+        typed = let(let(segments(text, x["found"]), lambda s: F.struct(s.alias("all"), full(s).alias("full"))), lambda y: by_boundary(y, kind_name))
         plain = F.transform(paragraph_chunks(text, max_tokens), lambda t: chunk(t, F.lit("paragraph_group"), "paragraph_fallback", kind_name))
         return F.when(F.size(x["found"]) > 0, typed.cast(CHUNK)).otherwise(plain.cast(CHUNK))
 
-    found = let(of_kind, lambda k: F.struct(k.alias("kind"), boundaries(text, k if by_kind else None).alias("found")))
-    return df.withColumn("chunks", let(found, chunked))
+    def all_of(text: Column) -> Column:
+        of_kind = kind(text) if by_kind else F.lit(None).cast("string")
+        found = let(of_kind, lambda k: F.struct(k.alias("kind"), boundaries(text, k if by_kind else None).alias("found")))
+        return let(found, lambda x: chunked(text, x))
+
+    return df.withColumn("chunks", let(F.coalesce(F.col(text_col), F.lit("")), all_of))
 
 
 # --- frames of chunks ---------------------------------------------------------------------------
