@@ -151,11 +151,12 @@ def s12_changes(t: Tables):
 
 
 @query("""WITH o AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus)
+SELECT step, n_main::BIGINT AS n_main, violations::BIGINT AS violations FROM (
 SELECT 'first' AS step, coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0)::BIGINT AS n_main, 0::BIGINT AS violations FROM o
 UNION ALL SELECT 'refused', coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0), sum(n) FROM o
 UNION ALL SELECT 'twice', coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0), coalesce(sum(n) FILTER (o_orderstatus = 'F'), 0) FROM o
 UNION ALL SELECT 'mended', coalesce(sum(n) FILTER (o_orderstatus IN ('F', 'O')), 0), 0 FROM o
-UNION ALL SELECT 'moved on', sum(n), 0 FROM o""")
+UNION ALL SELECT 'moved on', sum(n), 0 FROM o)""")
 def d5_write_audit_publish(t: Tables):
     """On one branch: what an audit refuses leaves no trace, and a target that moved on by appends is published onto."""
     from ..operators.audits import no_duplicates, not_null
