@@ -11,13 +11,16 @@ elements in two of the three, and similar sets share one: no link is lost.
 
 Equal sets are one class before anything is compared, and a task signs a set once.  What
 comes back of the shuffle are signatures that several classes share.  Those groups are
-settled in rounds: members are compared with a few pivots of their group; what a link joins
-is never compared again, and neither is a pivot that has met all of its group.  A pair is
-first held to the counts of its elements in equal parts of the domain, which bound their
-intersection; whole sets are made and compared only for pairs within that bound.  A group is settled once all of it is in one component, or all pivots are
-through; so pairs within a group of near copies aren't emitted, and a group of any size is
-exact.  Signatures that very many documents share (found in a sample of ``SAMPLE``) are
-dealt out by class as well, which changes no result.
+settled in rounds: members are compared with some pivots of their group, few at first and
+more from round to round; what a link joins is never compared again, and neither is a pivot
+that has met all of its group.  A pair is first held to the counts of its elements in equal
+parts of the domain, which bound their intersection.  From the second round on the counts
+come with the members, so that a task compares a group in blocks and gives only the pairs
+within the bound; whole sets are made and compared for those alone.  A large group is dealt
+to several tasks, each with all of its pivots.  A group is settled once all of it is in one
+component, or all pivots are through; so pairs within a group of near copies aren't emitted,
+and a group of any size is exact.  Signatures that very many documents share (found in a
+sample of ``SAMPLE``) are dealt out by class as well, which changes no result.
 
 Elements and classes are known by 64-bit hashes of shingles and of whole sets.
 
@@ -51,8 +54,10 @@ PART, REMEMBERED = 1 << 20, 1 << 20
 SAMPLE, FREQUENT = 2048, 32
 #: Rows of the smaller side of a join that go out with the tasks; beyond, both sides are shuffled.
 SMALL = 1 << 18
-#: Signatures that one task sorts, about; pivots of a group in a round at least, and pairs a round for which there may be more.
+#: Signatures that one task sorts, about; pivots of a group in the second round, and pairs that a part of it may be compared in.
 SORTED, PIVOTS, PAIRS = 1 << 21, 8, 1 << 24
+#: Members in one part of a group; the longest sketch that goes with a member; counts of a sketch that are compared.
+MEMBERS, SENT, COUNTS = 1 << 12, 1 << 12, 1 << 9
 #: Multiplier of hashes of words (a fixed odd number).
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = 2**63 - 1  # a null id
@@ -262,6 +267,101 @@ def _alike(least: int):
     return test
 
 
+def _blocks(start: np.ndarray, end: np.ndarray, pivot: np.ndarray, label: np.ndarray, first: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pivots and the rows of their groups (``start`` to ``end``) under other labels, about ``most`` pairs at a time.
+
+    Two pivots meet once, and only in the ``first`` part of a group.
+    """
+    pivots = np.flatnonzero(pivot)
+    sizes = (end - start)[pivots]
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(pivots):
+        base = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
+        i = np.repeat(pivots[at:to], sizes[at:to])
+        j = np.arange(len(i)) - np.repeat(total[at:to] - sizes[at:to] - base, sizes[at:to]) + start[i]
+        keep = (label[i] != label[j]) & (~pivot[j] | (first[i] & (j > i)))
+        yield i[keep], j[keep]
+        at = to
+
+
+class Sketches:
+    """Sketches of some classes as matrices of counts; an empty one, or one with a count of 255, says nothing."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.rows = [np.frombuffer(s, np.uint8) for s in sketches]
+        self.total = np.array([int(r.sum(dtype=np.int64)) for r in self.rows], np.int64)
+        self.width = np.array([0 if not len(r) or r.max() == 255 else min(len(r), COUNTS) for r in self.rows], np.int64)
+        self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of_width(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts in ``width`` parts of the domain, and the place of each sketch among them."""
+        if width not in self.made:
+            wide = np.flatnonzero(self.width >= width)
+            place = np.zeros(len(self.rows), np.int64)
+            place[wide] = np.arange(len(wide))
+            self.made[width] = np.array([self.rows[k].reshape(width, -1).sum(axis=1, dtype=np.uint16) for k in wide], np.uint16), place
+        return self.made[width]
+
+    def within(self, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
+        """:func:`within` for many pairs."""
+        found = np.ones(len(i), bool)
+        narrow = np.minimum(self.width[i], self.width[j])
+        for width in np.unique(narrow[narrow > 0]).tolist():
+            counts, place = self.of_width(width)
+            these = np.flatnonzero(narrow == width)
+            for at in range(0, len(these), (1 << 21) // width):
+                k = these[at : at + (1 << 21) // width]
+                both = np.minimum(counts[place[i[k]]], counts[place[j[k]]]).sum(axis=1, dtype=np.int64)
+                found[k] = 100 * both >= least * (self.total[i[k]] + self.total[j[k]] - both)
+        return found
+
+
+def _near(least: int):
+    """Of rows sorted by group and part: pairs (u, v) of a pivot and another class of its group that the sketches allow."""
+
+    def groups(held: pa.Table) -> Iterator[pa.RecordBatch]:
+        sig, part, cls, label = (held.column(c).to_numpy() for c in ("sig", "part", "cls", "label"))
+        pivot = held.column("pivot").to_numpy()
+        start = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (part[1:] != part[:-1])))
+        sizes = np.diff(np.append(start, len(sig)))
+        start = np.repeat(start, sizes)
+        sketches = Sketches([s for c in held.column("sketch").chunks for s in common.blobs(c)])
+        for i, j in _blocks(start, start + np.repeat(sizes, sizes), pivot, label, part == 0):
+            close = sketches.within(i, j, least)
+            u, v = cls[i[close]], cls[j[close]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < MEMBERS:
+                continue
+            table = pa.Table.from_batches(held)
+            sig, part = table.column("sig").to_numpy(), table.column("part").to_numpy()
+            whole = int(np.flatnonzero((sig != sig[-1]) | (part != part[-1]))[-1] + 1) if (sig[0], part[0]) != (sig[-1], part[-1]) else 0
+            if whole:  # the last group may go on
+                yield from groups(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield from groups(pa.Table.from_batches(held))
+
+    return run
+
+
+def _compared_in_groups(rest: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(u, v) of the pivots of ``rest`` (sig, cls, label, pivot, size) and others of their groups, as far as sketches allow."""
+    parts = F.ceil(F.col("size") / MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    sent = classes.select("cls", F.when(F.length("sketch") <= SENT, F.col("sketch")).alias("sketch"))
+    dealt = rest.join(sent, "cls").select("sig", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))).alias("part"), "cls", "label", "pivot", "sketch")
+    return dealt.repartition("sig", "part").sortWithinPartitions("sig", "part").mapInArrow(common.task("partenum", _near(least)), "u long, v long")
+
+
 def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """(u, v): links between classes that connect all classes that links connect.  ``of``: stored :func:`sets` of the rows."""
     spark = rows.sparkSession
@@ -272,21 +372,23 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
     while True:
         rest = state
         if turn:
-            mixed = state.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+            alone = F.count_if(F.col("label") == F.col("cls")).alias("alone")
+            mixed = state.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), alone).filter("lo <> hi").select("sig", "size", "alone")
             rest = common.written(state.join(mixed, "sig"), "groups", "size")
-        left = rest.count()
-        if not left:
+        if rest.isEmpty():
             break
-        slots = max(PIVOTS, PAIRS // left) if turn else 1
         rank = F.xxhash64("cls", F.lit(turn))
-        # classes that nothing is linked to come first: once all of them have met the group, it is one component
-        linked = F.col("label") != F.col("cls")
-        least_of = F.min(F.struct(linked.alias("linked"), rank.alias("r"), F.col("cls").alias("pivot"), F.col("label").alias("other"))).alias("p")
-        chosen = rest.groupBy("sig", F.pmod(rank, F.lit(slots)).alias("slot")).agg(least_of).select("sig", "p.*")
-        met = rest.join(chosen, "sig").filter("label <> other").select("cls", "pivot", "r")
-        if not turn:  # at first each class meets one pivot, the same in most of its groups
-            met = met.groupBy("cls").agg(F.min(F.struct("r", "pivot")).alias("p")).select("cls", F.col("p.pivot").alias("pivot"))
-        pairs = met.select(F.least("cls", "pivot").alias("u"), F.greatest("cls", "pivot").alias("v")).distinct()
+        if turn:
+            # classes that nothing is linked to come first: once all of them have met the group, it is one component
+            slots = max(PIVOTS, min(PAIRS // MEMBERS, PIVOTS ** min(turn, 16)))
+            lone = F.col("label") == F.col("cls")
+            among = F.greatest(F.when(lone, F.col("alone")).otherwise(F.col("size") - F.col("alone")), F.lit(1))
+            rest = rest.withColumn("pivot", F.pmod(rank, among) < F.when(lone, F.lit(slots)).otherwise(F.lit(slots) - F.col("alone")))
+            pairs = _compared_in_groups(rest, classes, least).distinct()
+        else:  # at first each class meets one pivot, the same in most of its groups
+            chosen = rest.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), F.col("cls").alias("pivot"))).alias("p"))
+            met = rest.join(chosen, "sig").filter("cls <> p.pivot").groupBy("cls").agg(F.min("p").alias("p"))
+            pairs = met.select(F.least("cls", "p.pivot").alias("u"), F.greatest("cls", "p.pivot").alias("v")).distinct()
         close = common.written(_compared(pairs, classes, "sketch", lambda x, y: within(x, y, least)).filter("linked").select("u", "v"), "bounded")
         wanted = classes.join(close.select(F.col("u").alias("cls")).union(close.select("v")).distinct(), "cls").select("cls", "key", "tid")
         wanted = common.written(wanted if found is None else wanted.join(found, "cls", "left_anti"), "wanted")
@@ -295,7 +397,7 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
             found = more if found is None else found.unionByName(more)
         good.append(common.written(_compared(close, found, "e", _alike(least)).filter("linked").select("u", "v"), "links"))
         if turn:  # these have met all of their group
-            rest = rest.join(chosen.select("sig", F.col("pivot").alias("cls")), ["sig", "cls"], "left_anti")
+            rest = rest.filter(~F.col("pivot")).select("sig", "cls", "label")
         if not good[-1].isEmpty():
             now = rest.select(F.col("cls").alias("c"), F.col("label").alias("l")).distinct()
             edges = good[-1].join(now.withColumnsRenamed({"c": "u", "l": "lu"}), "u", "left").join(now.withColumnsRenamed({"c": "v", "l": "lv"}), "v", "left")

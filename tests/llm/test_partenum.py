@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, plain
 
@@ -58,6 +59,7 @@ def test_brute_force(spark, monkeypatch, pivots):
     monkeypatch.setattr(partenum, "PIVOTS", pivots)
     monkeypatch.setattr(partenum, "PAIRS", 1 << 23 if pivots > 2 else 0)
     monkeypatch.setattr(partenum, "PART", 100)
+    monkeypatch.setattr(partenum, "MEMBERS", partenum.MEMBERS if pivots > 2 else 5)  # groups of several parts
     docs = documents(spark)
     if pivots > 2:
         assert got(partenum.joined(docs)) == brute(plain(docs))
@@ -104,6 +106,29 @@ def test_a_sketch_never_rules_out_similar_sets():
     assert partenum.within(partenum.sketch(many), partenum.sketch(c))
 
 
+@pytest.mark.parametrize("members", [1, 40, 10**6])
+def test_groups_are_compared_in_blocks(monkeypatch, members):
+    monkeypatch.setattr(partenum, "MEMBERS", members)
+    rng = np.random.default_rng(11)
+    rows = []
+    for sig in range(12):
+        base = np.unique(rng.integers(0, 2**64, int(rng.choice([1, 6, 15, 17, 120, 2500])), dtype=np.uint64))
+        for part in range(2):
+            for k in range(int(rng.integers(1, 30))):
+                other = np.unique(np.concatenate((base[len(base) * k // 60 :], rng.integers(0, 2**64, len(base) * k // 60, dtype=np.uint64))))
+                sketch = [b"", b"\xff" * 4, partenum.sketch(other)][min(2, int(rng.integers(0, 20)))]
+                rows.append({"sig": sig, "part": part, "cls": len(rows), "label": int(rng.integers(0, 5)), "pivot": bool(rng.integers(0, 3) == 0), "sketch": sketch})
+    want = set()
+    for x in rows:
+        for y in rows:
+            if (x["sig"], x["part"]) == (y["sig"], y["part"]) and x["cls"] < y["cls"] and x["label"] != y["label"] and x["pivot"] + y["pivot"] > (x["part"] > 0 and x["pivot"] and y["pivot"]) * 2:
+                if not x["sketch"] or not y["sketch"] or partenum.within(x["sketch"], y["sketch"]):
+                    want.add((x["cls"], y["cls"]))
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
+    found = [p for b in partenum._near(85)(iter(batches)) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+
+
 def test_no_rows(spark):
     assert partenum.joined(documents(spark).limit(0)).count() == 0
     assert got(partenum.joined(documents(spark, [None, "", " \n"]))) == Counter({(0, 0, 0): 1, (3, 0, 3): 1, (6, 0, 6): 1})
