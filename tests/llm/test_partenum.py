@@ -126,7 +126,9 @@ def test_groups_are_compared_in_blocks(monkeypatch, members):
                     want.add((x["cls"], y["cls"]))
     batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
     found = [p for b in partenum._near(85)(iter(batches)) for p in zip(*b.to_pydict().values(), strict=True)]
-    assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+    assert len(found) == len(set(found)) and want <= set(found) and len(want) > 100
+    # longer sketches are compared by fewer counts here, which allow more; the rest exactly
+    assert {p for p in found if max(len(rows[c]["sketch"]) for c in p) <= partenum.COUNTS} <= want
 
 
 def test_no_rows(spark):
