@@ -124,8 +124,11 @@ def signatures(found: np.ndarray, least: int = LEAST) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """How many elements lie in each of 2**b equal parts of the domain, about four in one; 255 stands for more too."""
-    bits = max(2, (len(found) // 4).bit_length())
+    """How many elements lie in each of 2**b equal parts of the domain; 255 stands for more too.
+
+    About four elements in one part; up to 128 parts, so few bytes, there are more parts than elements.
+    """
+    bits = max((len(found) // 4).bit_length(), min(7, len(found).bit_length() + 1))
     return np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
