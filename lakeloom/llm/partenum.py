@@ -16,7 +16,10 @@ more from round to round; what a link joins is never compared again, and neither
 that has met all of its group.  A pair is first held to the counts of its elements in equal
 parts of the domain, which bound their intersection.  From the second round on the counts
 come with the members, so that a task compares a group in blocks and gives only the pairs
-within the bound; whole sets are made and compared for those alone.  A large group is dealt
+within the bound; whole sets are made and compared for those alone.  As long as many of the
+pairs turn out to be links, a round only tries: each class meets the one pivot that looks
+most alike, so there is at most one pair a class, and near copies come together by few links
+before all pivots meet all of their groups.  A large group is dealt
 to several tasks, each with all of its pivots.  A group is settled once all of it is in one
 component, or all pivots are through; so pairs within a group of near copies aren't emitted,
 and a group of any size is exact.  Signatures that very many documents share (found in a
@@ -56,6 +59,8 @@ SAMPLE, FREQUENT = 2048, 32
 SMALL = 1 << 18
 #: Signatures that one task sorts, about; pivots of a group in the second round, and pairs that a part of it may be compared in.
 SORTED, PIVOTS, PAIRS = 1 << 21, 8, 1 << 24
+#: Trials in a row, at most, and the share of their pairs that are links below which they end.
+TRIALS, WORTH = 8, 0.25
 #: Members in one part of a group; the longest sketch that goes with a member; counts of a sketch that are compared.
 MEMBERS, SENT, COUNTS = 1 << 12, 1 << 12, 1 << 9
 #: Multiplier of hashes of words (a fixed odd number).
@@ -296,6 +301,7 @@ class Sketches:
         self.rows = [np.frombuffer(s, np.uint8) for s in sketches]
         self.total = np.array([int(r.sum(dtype=np.int64)) for r in self.rows], np.int64)
         self.width = np.array([0 if not len(r) or r.max() == 255 else min(len(r), COUNTS) for r in self.rows], np.int64)
+        self.long = np.array([len(r) for r in self.rows], np.int64)
         self.made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def of_width(self, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,9 +313,9 @@ class Sketches:
             self.made[width] = np.array([self.rows[k].reshape(width, -1).sum(axis=1, dtype=np.uint16) for k in wide], np.uint16), place
         return self.made[width]
 
-    def within(self, i: np.ndarray, j: np.ndarray, least: int) -> np.ndarray:
-        """:func:`within` for many pairs."""
-        found = np.ones(len(i), bool)
+    def within(self, i: np.ndarray, j: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """:func:`within` for many pairs; and the bound of their similarity, 1 where nothing is known."""
+        found, bound = np.ones(len(i), bool), np.ones(len(i))
         narrow = np.minimum(self.width[i], self.width[j])
         for width in np.unique(narrow[narrow > 0]).tolist():
             counts, place = self.of_width(width)
@@ -317,12 +323,26 @@ class Sketches:
             for at in range(0, len(these), (1 << 21) // width):
                 k = these[at : at + (1 << 21) // width]
                 both = np.minimum(counts[place[i[k]]], counts[place[j[k]]]).sum(axis=1, dtype=np.int64)
-                found[k] = 100 * both >= least * (self.total[i[k]] + self.total[j[k]] - both)
-        return found
+                union = self.total[i[k]] + self.total[j[k]] - both
+                found[k] = 100 * both >= least * union
+                bound[k] = both / np.maximum(union, 1)
+        return found, bound
+
+    def settled(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether :meth:`within` compared all that the sketches of these pairs hold."""
+        narrow = np.minimum(self.width[i], self.width[j])
+        return (narrow > 0) & (narrow == np.minimum(self.long[i], self.long[j]))
+
+
+NEAR = "u long, v long, settled boolean, bound double"
+
 
+def _near(least: int, best: bool = False, detailed: bool = False):
+    """Of rows sorted by group and part: pairs (u, v) of a pivot and another class of its group that the sketches allow.
 
-def _near(least: int):
-    """Of rows sorted by group and part: pairs (u, v) of a pivot and another class of its group that the sketches allow."""
+    ``best``: u is a pivot, v another class of its group, and of each v's pairs in a group only the one most alike is given.
+    ``detailed``: with ``settled``, whether the whole sketches were compared, and the ``bound`` of their similarity.
+    """
 
     def groups(held: pa.Table) -> Iterator[pa.RecordBatch]:
         sig, part, cls, label = (held.column(c).to_numpy() for c in ("sig", "part", "cls", "label"))
@@ -331,10 +351,25 @@ def _near(least: int):
         sizes = np.diff(np.append(start, len(sig)))
         start = np.repeat(start, sizes)
         sketches = Sketches([s for c in held.column("sketch").chunks for s in common.blobs(c)])
+
+        def out(i: np.ndarray, j: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+            u, v = (cls[i], cls[j]) if best else (np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]))
+            more = {"settled": pa.array(sketches.settled(i, j)), "bound": pa.array(bound)} if detailed else {}
+            return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)} | more)
+
+        most, chosen = np.zeros(len(sig)), np.full(len(sig), -1)
         for i, j in _blocks(start, start + np.repeat(sizes, sizes), pivot, label, part == 0):
-            close = sketches.within(i, j, least)
-            u, v = cls[i[close]], cls[j[close]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+            close, bound = sketches.within(i, j, least)
+            i, j, bound = i[close], j[close], bound[close]
+            if not best:
+                yield out(i, j, bound)
+                continue
+            order = np.argsort(bound, kind="stable")  # of those assigned to one place, the last stays
+            order = order[bound[order] > most[j[order]]]
+            most[j[order]], chosen[j[order]] = bound[order], i[order]
+        met = np.flatnonzero(chosen >= 0)
+        if len(met):
+            yield out(chosen[met], met, most[met])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -356,13 +391,20 @@ def _near(least: int):
     return run
 
 
-def _compared_in_groups(rest: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """(u, v) of the pivots of ``rest`` (sig, cls, label, pivot, size) and others of their groups, as far as sketches allow."""
+def _compared_in_groups(rest: DataFrame, classes: DataFrame, least: int, best: bool = False) -> DataFrame:
+    """(u, v, settled) of the pivots of ``rest`` (sig, cls, label, pivot, size) and others of their groups, as far as sketches allow.
+
+    ``settled``: the whole sketches were compared.  ``best``: each class comes with one pivot only, the one most alike.
+    """
     parts = F.ceil(F.col("size") / MEMBERS).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
     sent = classes.select("cls", F.when(F.length("sketch") <= SENT, F.col("sketch")).alias("sketch"))
     dealt = rest.join(sent, "cls").select("sig", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))).alias("part"), "cls", "label", "pivot", "sketch")
-    return dealt.repartition("sig", "part").sortWithinPartitions("sig", "part").mapInArrow(common.task("partenum", _near(least)), "u long, v long")
+    pairs = dealt.repartition("sig", "part").sortWithinPartitions("sig", "part").mapInArrow(common.task("partenum", _near(least, best, detailed=True)), NEAR)
+    if best:
+        pairs = pairs.groupBy("v").agg(F.max(F.struct("bound", "u", "settled")).alias("p"))
+        pairs = pairs.select(F.least("p.u", "v").alias("u"), F.greatest("p.u", "v").alias("v"), "p.settled")
+    return pairs.groupBy("u", "v").agg(F.max("settled").alias("settled"))
 
 
 def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -371,7 +413,7 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
     state = common.written(shared(of), "signatures", "size")
     common.released(spark)
     classes = common.written(of.groupBy("cls").agg(F.min(F.struct("key", "tid")).alias("d"), F.first("sketch").alias("sketch")).select("cls", "d.key", "d.tid", "sketch"), "sketches")
-    state, found, good, turn = state.withColumn("label", F.col("cls")), None, [], 0
+    state, found, good, turn, trials, salt = state.withColumn("label", F.col("cls")), None, [], 0, 0, 0
     while True:
         rest = state
         if turn:
@@ -380,33 +422,38 @@ def links(rows: DataFrame, of: DataFrame, shingle: int = SHINGLE, least: int = L
             rest = common.written(state.join(mixed, "sig"), "groups", "size")
         if rest.isEmpty():
             break
-        rank = F.xxhash64("cls", F.lit(turn))
+        rank = F.xxhash64("cls", F.lit(salt))
         if turn:
             # classes that nothing is linked to come first: once all of them have met the group, it is one component
             slots = max(PIVOTS, min(PAIRS // MEMBERS, PIVOTS ** min(turn, 16)))
             lone = F.col("label") == F.col("cls")
             among = F.greatest(F.when(lone, F.col("alone")).otherwise(F.col("size") - F.col("alone")), F.lit(1))
             rest = rest.withColumn("pivot", F.pmod(rank, among) < F.when(lone, F.lit(slots)).otherwise(F.lit(slots) - F.col("alone")))
-            pairs = _compared_in_groups(rest, classes, least).distinct()
+            pairs = common.written(_compared_in_groups(rest, classes, least, best=trials > 0), "allowed")
         else:  # at first each class meets one pivot, the same in most of its groups
             chosen = rest.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), F.col("cls").alias("pivot"))).alias("p"))
             met = rest.join(chosen, "sig").filter("cls <> p.pivot").groupBy("cls").agg(F.min("p").alias("p"))
             pairs = met.select(F.least("cls", "p.pivot").alias("u"), F.greatest("cls", "p.pivot").alias("v")).distinct()
-        close = common.written(_compared(pairs, classes, "sketch", lambda x, y: within(x, y, least)).filter("linked").select("u", "v"), "bounded")
+        close = _compared(pairs.filter("NOT settled") if turn else pairs, classes, "sketch", lambda x, y: within(x, y, least)).filter("linked").select("u", "v")
+        close = common.written(close.unionByName(pairs.filter("settled").select("u", "v")) if turn else close, "bounded")
         wanted = classes.join(close.select(F.col("u").alias("cls")).union(close.select("v")).distinct(), "cls").select("cls", "key", "tid")
         wanted = common.written(wanted if found is None else wanted.join(found, "cls", "left_anti"), "wanted")
         if found is None or not wanted.isEmpty():
             more = common.written(_elements(rows, wanted, shingle), "sets", "size")
             found = more if found is None else found.unionByName(more)
         good.append(common.written(_compared(close, found, "e", _alike(least)).filter("linked").select("u", "v"), "links"))
-        if turn:  # these have met all of their group
-            rest = rest.filter(~F.col("pivot")).select("sig", "cls", "label")
-        if not good[-1].isEmpty():
+        if turn and not trials:  # these have met all of their group
+            rest = rest.filter(~F.col("pivot"))
+        rest = rest.select("sig", "cls", "label")
+        linked = good[-1].count()
+        if linked:
             now = rest.select(F.col("cls").alias("c"), F.col("label").alias("l")).distinct()
             edges = good[-1].join(now.withColumnsRenamed({"c": "u", "l": "lu"}), "u", "left").join(now.withColumnsRenamed({"c": "v", "l": "lv"}), "v", "left")
             joined = components(edges.select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")))
             rest = rest.join(joined.withColumnRenamed("label", "to"), rest.label == joined.node, "left").select("sig", "cls", F.coalesce("to", "label").alias("label"))
-        state, turn = rest, turn + 1
+        turn += not trials
+        trials = trials + 1 if trials < TRIALS and linked and linked >= WORTH * close.count() else 0
+        state, salt = rest, salt + 1
         common.released(spark)
     every = spark.createDataFrame([], "u long, v long")
     for g in good:

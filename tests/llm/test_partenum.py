@@ -131,6 +131,33 @@ def test_groups_are_compared_in_blocks(monkeypatch, members):
     assert {p for p in found if max(len(rows[c]["sketch"]) for c in p) <= partenum.COUNTS} <= want
 
 
+def test_a_large_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    base = [f"w{x}" for x in rng.integers(0, 4000, 300)]
+    docs = documents(spark, [" ".join(edited(rng, base, int(n))) for n in rng.integers(1, 8, 400)])
+    compared, written = [], partenum.common.written
+
+    def counted(df, name, *deal):
+        out = written(df, name, *deal)
+        if name == "bounded":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum.common, "written", counted)
+    assert got(partenum.joined(docs)) == brute(plain(docs))
+    assert sum(compared) <= 20 * 400
+
+
+def test_of_each_class_the_pair_most_alike_is_tried():
+    base = np.unique(np.random.default_rng(19).integers(0, 2**64, 200, dtype=np.uint64))
+    sets = [base, base[:-9], base[:-3], base[:-12]]  # two pivots, and two others that the second and the first are nearest to
+    pivot = [True, True, False, False]
+    rows = [{"sig": 1, "part": 0, "cls": k, "label": k, "pivot": p, "sketch": partenum.sketch(s)} for k, (s, p) in enumerate(zip(sets, pivot, strict=True))]
+    batches = pa.Table.from_pylist(rows).to_batches()
+    found = {(x["u"], x["v"]) for b in partenum._near(85, best=True)(iter(batches)) for x in b.to_pylist()}
+    assert found == {(0, 1), (0, 2), (1, 3)}
+
+
 def test_no_rows(spark):
     assert partenum.joined(documents(spark).limit(0)).count() == 0
     assert got(partenum.joined(documents(spark, [None, "", " \n"]))) == Counter({(0, 0, 0): 1, (3, 0, 3): 1, (6, 0, 6): 1})
