@@ -146,9 +146,10 @@ def estimated_tokens(text: Column) -> Column:
 def overlap_text(text: Column, n: int) -> Column:
     """All of a short text; else, of its last ``n`` characters, the run that ends in a terminator, or the last line."""
     tail = F.right(text, F.lit(n))
-    sentence = F.regexp_extract(tail, r"([^.!?]*[.!?])\s*$", 1)
+    # anchored, from the last terminator but one: a search from every place would take the square of ``n``
+    sentence = strip(F.regexp_extract(tail, r"(?s)^(?:.*[.!?])?([^.!?]*+[.!?])\s*$", 1))
     line = F.element_at(F.split(tail, "\n"), -1)
-    return F.when(F.length(text) <= n, text).when(strip(sentence) != "", strip(sentence)).otherwise(line)
+    return F.when(F.length(text) <= n, text).otherwise(let(sentence, lambda s: F.when(s != "", s).otherwise(line)))
 
 
 def paragraph_chunks(text: Column, max_tokens: int = 1000, overlap: int = 2000) -> Column:

@@ -240,3 +240,27 @@ def test_embedding_rows(spark):
     df = spark.createDataFrame([(7, "A sentence that is long enough. Another sentence that is long.")], "doc_id int, text string")
     row = ch.embedding_rows(df).first()
     assert (row.chunk_id, row.total_chunks, row.chunk_word_count, row.chunk_quality) == ("7_chunk_000", 1, 11, "suboptimal") and '"chunk_position":0' in row.chunk_metadata
+
+
+def test_overlap_is_found_in_one_pass(spark):
+    import random
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    def want(t, n):
+        if len(t) <= n:
+            return t
+        found = re.search(r"([^.!?]*[.!?])[ \t\n\x0b\x0c\r]*$", t[-n:])
+        s = found[1].strip() if found else ""
+        return s or t[-n:].split("\n")[-1]
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab .!?\n\r\t") for _ in range(rng.randrange(40))) for _ in range(3000)] + ["abc" * 10, "a. b\n", "x\n..", "a" * 30 + "!\n \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 7, 20):
+        assert [r.o for r in df.select(ch.overlap_text(F.col("t"), n).alias("o")).collect()] == [want(t, n) for t in texts]
+    began = time.time()
+    assert spark.range(1).select(F.length(ch.overlap_text(F.concat(F.lit("x."), F.repeat(F.lit("y "), 200_000)), 300_000)).alias("n")).first().n == 300_000
+    assert time.time() - began < 10
